@@ -30,7 +30,7 @@ OTHER_LATIN = "iagyia"
 ARMENIAN = "ՕՏՍհոսօցԼ"
 ARMENIAN_LATIN = "OSUhnuogL"
 # Marks that look like plainer ones. A Greek mu looks like a micro sign, in a Greek word as well.
-MARKS = {"‐": "-", "‑": "-", "⁃": "-", "˗": "-", "’": "'", "‘": "'", "ʼ": "'", "′": "'", "“": '"', "”": '"', "․": ".", "‚": ",", "∶": ":", "ː": ":", "։": ":", "ǃ": "!", "⁄": "/", "∕": "/", "∗": "*", ";": ";", "·": "·", "μ": "µ", "Ω": "Ω", "K": "K", "Å": "Å"}
+MARKS = {"‐": "-", "‑": "-", "․": ".", "∶": ":", "։": ":", "ǃ": "!", ";": ";", "μ": "µ"}
 # Decompositions that change neither the meaning nor more than the width or the face of a character.
 _KEPT = ("<wide>", "<narrow>", "<font>", "<noBreak>")
 _LIGATURES = range(0xFB00, 0xFB07)
