@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asclera.llm import confusables, neardup
+from asclera.llm import confusables, leakage, neardup, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,29 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("id").alias("passage_id"), F.col("group").alias("group_id"), "copies", "links")
 
 
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p7_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.room(packing.pack(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every test item: the documents that carry it, and the largest share of it that one does."""
+    n = _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("share").alias("share"))
+    items = _table(spark, sf_dir, "eval_items").select("item_id", "dataset")
+    return items.join(n, "item_id", "left").select("item_id", "dataset", F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"), F.round(F.coalesce("share", F.lit(0.0)), 4).alias("share"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = confusables.lookalike_pairs(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
