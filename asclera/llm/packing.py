@@ -13,7 +13,6 @@ room. Rows that repeat an id are packed as often as they are given. No documents
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,39 +24,21 @@ from pyspark.sql import functions as F
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how byte-level BPE vocabularies of this kind cut a text into pieces before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-ASCII_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"""
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 OUT = "sequence long, position int, id long, piece int, token_from long, n_tokens int"
 
 
 class TokenCounter:
-    """Tokens of a text: the pieces are found once a text, and merged once a piece and process."""
+    """Tokens of a text. Strings of special tokens are ordinary text."""
 
-    def __init__(self, ranks: str = RANKS, most: int = 500_000):
-        import regex
+    def __init__(self, ranks: str = RANKS):
         import tiktoken
 
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
-        self.any, self.ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
-        encode = self.encoding.encode_ordinary
-
-        class Counts(dict):
-            def __missing__(self, piece: str) -> int:
-                if len(self) >= most:
-                    self.clear()
-                n = self[piece] = len(encode(piece))
-                return n
-
-        self.of = Counts().__getitem__
+        self.encode = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str | None) -> int:
-        if not text:
-            return 0
-        if text.isascii():
-            return len(self.encoding.encode_ordinary(text)) if _SEPARATORS.search(text) else sum(map(self.of, self.ascii(text)))
-        return sum(map(self.of, self.any(text)))
+        return len(self.encode(text)) if text else 0
 
 
 def _counts(ranks: str):

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asclera.llm import confusables, leakage, neardup, packing
+from asclera.llm import confusables, leakage, neardup, packing, pairs
+from asclera.llm.languages import fit_languages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,24 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("id").alias("passage_id"), F.col("group").alias("group_id"), "copies", "links")
 
 
+def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _table(spark, sf_dir, "meqsum").select("pair_id", "chq", "summary")
+    questions = m.groupBy("pair_id").agg(F.max("chq").alias("prompt"))
+    runs = _table(spark, sf_dir, "run_eval").select("pred_id", "pair_id", "preds").join(questions, "pair_id", "left")
+    own = m.select(F.lit("meqsum").alias("source"), F.col("pair_id").alias("id"), F.col("pair_id").alias("group"), F.col("chq").alias("prompt"), F.col("summary").alias("response"))
+    given = own.unionByName(runs.select(F.lit("run_eval").alias("source"), F.col("pred_id").alias("id"), F.col("pair_id").alias("group"), "prompt", F.col("preds").alias("response")))
+    return pairs.defective_pairs(given, fit_languages(_table(spark, sf_dir, "documents")), pairs.fit_endings(given))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _defects(spark, sf_dir).select(F.col("source").alias("table_name"), F.col("id").alias("record_id"), "defect")
+
+
+def p2_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records of each table have each defect."""
+    return _defects(spark, sf_dir).groupBy(F.col("source").alias("table_name"), "defect").agg(F.count("*").alias("n"))
+
+
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
