@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asclera.llm import confusables, leakage, neardup, packing, pairs
+from asclera.llm import confusables, leakage, neardup, packing, pairs, reading
 from asclera.llm.languages import fit_languages
 
 
@@ -44,6 +44,28 @@ def p2_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _defects(spark, sf_dir).groupBy(F.col("source").alias("table_name"), "defect").agg(F.count("*").alias("n"))
 
 
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _table(spark, sf_dir, "meqsum")
+    long = m.select(F.col("pair_id").alias("id"), F.explode(F.create_map(F.lit("chq"), "chq", F.lit("summary"), "summary")).alias("field", "text"))
+    grades = _table(spark, sf_dir, "reading_grades").select(F.col("pair_id").alias("id"), F.col("field_name").alias("field"), "grade")
+    models = reading.fit_levels(long, grades, ["id", "field"])
+    return reading.reading_levels(long, models, fit_languages(_table(spark, sf_dir, "documents")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).where("grade >= 4.5").select(F.col("id").alias("pair_id"), F.col("field").alias("field_name")).distinct()
+
+
+def p3_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _levels(spark, sf_dir).select(F.col("id").alias("pair_id"), F.col("field").alias("field_name"), "level", "grade", "median_bits", "p90_bits")
+    return g.withColumns({c: F.round(c, 3) for c in ("grade", "median_bits", "p90_bits")})
+
+
+def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts of each field have each level."""
+    return _levels(spark, sf_dir).groupBy(F.col("field").alias("field_name"), "level").agg(F.count("*").alias("n_texts"), F.round(F.avg("median_bits"), 3).alias("median_bits"))
+
+
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
