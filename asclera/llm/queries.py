@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asclera.llm import confusables, leakage, neardup, packing, pairs, reading
+from asclera.llm import confusables, leakage, neardup, packing, pairs, reading, splits
 from asclera.llm.languages import fit_languages
 
 
@@ -66,6 +66,26 @@ def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(spark, sf_dir).groupBy(F.col("field").alias("field_name"), "level").agg(F.count("*").alias("n_texts"), F.round(F.avg("median_bits"), 3).alias("median_bits"))
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = splits.cross_split_overlaps(_table(spark, sf_dir, "meqsum"), "pair_id", "chq", "summary", "split_name")
+    q = splits.cross_split_overlaps(_table(spark, sf_dir, "mqp"), "mqp_id", "question", "target", "split_name")
+    return m.withColumn("table_name", F.lit("meqsum")).unionByName(q.withColumn("table_name", F.lit("mqp")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _overlaps(spark, sf_dir)
+    return o.select("table_name", F.least("eval_id", "train_id").alias("record_id_a"), F.greatest("eval_id", "train_id").alias("record_id_b")).distinct()
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each table and evaluation split: pairs, and evaluation records that the training split has as well."""
+    m = _table(spark, sf_dir, "meqsum").select(F.lit("meqsum").alias("table_name"), F.col("pair_id").alias("eval_id"), "split_name")
+    names = m.unionByName(_table(spark, sf_dir, "mqp").select(F.lit("mqp").alias("table_name"), F.col("mqp_id").alias("eval_id"), "split_name"))
+    names = names.withColumn("split_name", F.lower(F.trim("split_name"))).distinct()
+    found = _overlaps(spark, sf_dir).join(names, ["table_name", "eval_id"])
+    return found.groupBy("table_name", "split_name").agg(F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_records"))
+
+
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
