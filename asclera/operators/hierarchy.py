@@ -120,14 +120,14 @@ def _doubled(links: DataFrame, max_rounds: int) -> DataFrame:
     return tree.unionByName(loop)
 
 
-def hierarchy(links: DataFrame, most: int = 200_000, max_rounds: int = 60) -> DataFrame:
+def hierarchy(links: DataFrame, most: int = 200_000, max_rounds: int = 60, one_task: int = 300_000) -> DataFrame:
     """One row for each node of (child, parent) links: node, parent, parents, root_node, depth, path, state.
 
     path runs from the root to the node. On or below a cycle root_node is empty, depth -1 and path empty.
     """
     links = links.select(F.col(links.columns[0]).cast("string").alias("child"), F.col(links.columns[1]).cast("string").alias("parent"))
     links = materialize(links.where("trim(child) != '' and trim(parent) != ''").distinct(), "links")
-    comp = connected_components(links)
+    comp = connected_components(links, one_task=one_task)
     placed = materialize(links.join(comp.withColumnRenamed("node", "child"), "child"), "placed")
     sizes = placed.groupBy("component").agg((F.count("*") + 1).alias("n"))
     large = sizes.where(F.col("n") > most).select("component")

@@ -117,7 +117,7 @@ def is_share(c: Column) -> Column:
 
 
 def parse_triples(df: DataFrame, relations: DataFrame, id_col: str = "line_id", raw_col: str = "raw_line") -> DataFrame:
-    """Typed columns of every record and, where it does not load, its reason, the offset of a bad quote (else -1) and the first
+    """Typed columns of every record (null where a value isn't valid) and, where it does not load, its reason, the offset of a bad quote (else -1) and the first
     field at fault. Records: triple_id, head, relation, tail, confidence, asserted_on. Blank relations load as nulls."""
     known = small(relations.select(normal(F.col("relation")).alias("known")).where("known != ''").distinct())
     s = split_records(df, id_col, raw_col, 6)
@@ -131,6 +131,6 @@ def parse_triples(df: DataFrame, relations: DataFrame, id_col: str = "line_id",
     reason = F.when(F.col("bad") >= 0, "quoting").when(F.col("fields") != 6, "column_count").when(bad_field.isNotNull(), "invalid_value")
     return s.select(
         F.col("id").alias(id_col), v[0].try_cast("long").alias("triple_id"), v[1].alias("head"), F.nullif(v[2], F.lit("")).alias("relation"), v[3].alias("tail"),
-        v[4].try_cast("double").alias("confidence"), v[5].try_cast("date").alias("asserted_on"), reason.alias("reason"), F.col("bad").alias("offset"),
+        F.when(is_share(v[4]), v[4].try_cast("double")).alias("confidence"), F.when(is_date(v[5]), v[5].try_cast("date")).alias("asserted_on"), reason.alias("reason"), F.col("bad").alias("offset"),
         F.when(reason == "invalid_value", bad_field).alias("field"),
     )
