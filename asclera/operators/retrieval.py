@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asclera.functions.text import section_weight
+from asclera.runtime import spread
 
 _WORD = re.compile(r"[^\W_]+")
 RANKED = "query_id long, passage_id long, score double"
@@ -131,7 +132,7 @@ def sparse_top_k(
     """(query_id, passage_id, score, rank) from (id, text) and (id, text): products of sparse vectors times the section prior."""
     q = queries.select(F.col(queries.columns[0]).cast("long").alias("id"), F.col(queries.columns[1]).alias("text")).where("trim(text) != ''").dropDuplicates(["id"])
     p = passages.select(F.col(passages.columns[0]).cast("long").alias("id"), F.col(passages.columns[1]).alias("text")).where("trim(text) != ''")
-    p = p.withColumn("prior", prior(F.col("text")) if prior else F.lit(1.0))
+    p = spread(p).withColumn("prior", prior(F.col("text")) if prior else F.lit(1.0))
     return _merged([p.mapInArrow(_sparse([r.id for r in b], [encode(r.text) for r in b], encode, k), RANKED) for b in _blocks(q, block)], k)
 
 
@@ -139,6 +140,7 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int =
     """(query_id, passage_id, score, rank) from (id, vector) and (id, vector): dot products in double precision."""
     q = queries.select(F.col(queries.columns[0]).cast("long").alias("id"), F.col(queries.columns[1]).alias("vector")).where("vector is not null").dropDuplicates(["id"])
     c = corpus.select(F.col(corpus.columns[0]).cast("long").alias("id"), F.col(corpus.columns[1]).alias("vector")).where("vector is not null")
+    c = spread(c)
     parts = []
     for b in _blocks(q, block):
         vectors = np.array([r.vector for r in b], np.float64).reshape(len(b), -1)

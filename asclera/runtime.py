@@ -53,10 +53,17 @@ def partitions_for(spark: SparkSession, rows: int, rows_each: int = 2_000_000) -
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, a scan or a projection of one, in at least as many partitions as there are cores: a table of a few small files
+    would keep one core busy. Scans of many splits stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has no more than ``most`` rows, else as it is, so that the join shuffles."""
     n = df.limit(most + 1).count() if rows is None else rows
     return F.broadcast(df) if n <= most else df
 
 
-__all__ = ["BROADCAST_ROWS", "materialize", "partitions_for", "shared_dir", "small"]
+__all__ = ["BROADCAST_ROWS", "materialize", "partitions_for", "shared_dir", "small", "spread"]
