@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from asclera.runtime import spread
+
 # Letters of other scripts and the Latin letters that they look like, in the same order.
 CYRILLIC = "АВСЕНІЈКМОРЅТХҮаԁсеһіјӏоԛрѕԝхуѵԌԚԜґ"
 CYRILLIC_LATIN = "ABCEHIJKMOPSTXYadcehijloqpswxyvGQWr"
@@ -129,7 +131,7 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
 
 
 def consistent_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

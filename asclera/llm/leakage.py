@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from asclera.llm.confusables import skeleton
 from asclera.llm.words import WORD
+from asclera.runtime import spread
 
 #: Scores of the alignment in quarters: match, mismatch, opening and extending a gap.
 MATCH, MISMATCH, OPEN, EXTEND = 8, -12, 12, 1
@@ -197,7 +198,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     """(doc_id, item_id, share): the documents that carry at least ``share`` of an item's words in its order and close together."""
     p = params or Leakage()
     given = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).cast("string").alias("text")).where("text is not null")
+    texts = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).cast("string").alias("text")).where("text is not null"))
     blocks = max(1, -(-given.count() // p.block))
     out = None
     for k in range(blocks):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from asclera.llm.words import WordHashes, mix, multiset_features
 from asclera.operators.components import connected_components
-from asclera.runtime import materialize, partitions_for, small
+from asclera.runtime import materialize, partitions_for, small, spread
 
 
 @dataclass(frozen=True)
@@ -242,7 +242,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, banding: Banding
     """
     b = banding or Banding()
     spark = df.sparkSession
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
+    texts = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()))
     n = df.count()
     keys = texts.mapInArrow(_keys_of(b), "key long, cls long").repartition(partitions_for(spark, n * b.keys), "key")
     found = materialize(keys.mapInArrow(_buckets(b), "a long, b long, hot boolean"), "buckets")

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from asclera.runtime import spread
+
 #: The vocabulary that sizes are counted in; a parameter of every function that counts.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how byte-level BPE vocabularies of this kind cut a text into pieces before merging.
@@ -52,7 +54,8 @@ def _counts(ranks: str):
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, ranks: str = RANKS) -> DataFrame:
     """(id, n): the tokens of each text."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_counts(ranks), "id long, n long")
+    texts = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
+    return texts.mapInArrow(_counts(ranks), "id long, n long")
 
 
 class _Sizes:

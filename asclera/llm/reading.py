@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asclera.llm.languages import Languages
+from asclera.runtime import spread
 
 LEVELS = (1, 2, 3, 4, 5)
 _TOKEN = re.compile(r"[^\W\d_]+|\d+")
@@ -178,5 +179,5 @@ def _leveled(models: ReadingLevels, languages: Languages, wanted: str, margin: f
 def reading_levels(texts: DataFrame, models: ReadingLevels, languages: Languages, wanted: str = "en", margin: float = 1.0) -> DataFrame:
     """(id, field, grade, level, median_bits, p90_bits) of the texts (id, field, text) in the wanted language."""
     given = texts.select(F.col("id").cast("long").alias("id"), F.col("field").cast("string").alias("field"), F.col("text").cast("string").alias("text")).where("text is not null")
-    out = given.mapInArrow(_leveled(models, languages, wanted, margin), "id long, field string, grade double, median_bits double, p90_bits double").distinct()
+    out = spread(given).mapInArrow(_leveled(models, languages, wanted, margin), "id long, field string, grade double, median_bits double, p90_bits double").distinct()
     return out.withColumn("level", F.least(F.lit(5), F.greatest(F.lit(1), F.floor(F.col("grade") + 0.5))).cast("int"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asclera.llm.words import WordHashes, mix, multiset_features
-from asclera.runtime import materialize, partitions_for, small
+from asclera.runtime import materialize, partitions_for, small, spread
 
 SLOTS = 1 << 18
 _PARTS = "key long, cls long, train boolean, n int, s0 long, s1 long, s2 long, s3 long"
@@ -224,6 +224,7 @@ def cross_split_overlaps(df: DataFrame, id_col: str, question_col: str, other_co
         F.col(id_col).cast("long").alias("id"), F.lower(F.trim(F.coalesce(F.col(split_col), F.lit("")))).eqNullSafe("train").alias("train"),
         F.concat(F.col(question_col), F.lit("\n"), F.coalesce(F.col(other_col), F.lit(""))).alias("text"), F.col(question_col).alias("question"),
     ).where(F.col("question").rlike(r"[\p{L}\p{N}]")).drop("question")
+    given = spread(given)
     slots = given.select("text").mapInArrow(_count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     often = np.zeros(SLOTS, np.int64)
     often[slots["slot"]] = slots["n"]
