@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from asclera.llm import confusables, leakage, neardup, packing, pairs, reading, splits
+from asclera.llm import confusables, leakage, neardup, packing, pairs, reading, splits, sql
 from asclera.llm.languages import fit_languages
 
 
@@ -123,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
