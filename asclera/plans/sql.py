@@ -159,7 +159,7 @@ def _bleu(by: str) -> str:
     sizes = ", ".join(f"sum(greatest(len(p) - {n - 1}, 0)) AS t{n}" for n in range(1, 5))
     hits = ", ".join(f"coalesce(sum(least(a, b)) FILTER (n = {n}), 0) AS m{n}" for n in range(1, 5))
     logs = " + ".join(f"ln(m{n} / t{n}::double)" for n in range(1, 5))
-    return f"""{_PAIRS}, t AS (SELECT {by}, pred_id, {toks.format('prediction')} AS p, {toks.format('reference')} AS r FROM pairs),
+    return f"""t AS (SELECT {by}, pred_id, {toks.format('prediction')} AS p, {toks.format('reference')} AS r FROM pairs),
 grams AS ({grams}),
 sides AS (SELECT {by}, pred_id, n, g, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM grams GROUP BY ALL),
 hits AS (SELECT {by}, {hits} FROM sides GROUP BY {by}),
@@ -167,6 +167,54 @@ sizes AS (SELECT {by}, sum(len(p)) AS c, sum(len(r)) AS r, {sizes} FROM t GROUP
 bleus AS (SELECT {by}, CASE WHEN least(m1, m2, m3, m4) = 0 THEN 0.0::double ELSE CASE WHEN c >= r THEN 1.0 ELSE exp(1 - r / c::double) END * exp(({logs}) / 4) END AS bleu FROM sizes JOIN hits USING ({by}))"""
 
 
+_ROUGE = """
+toks AS (SELECT pred_id, run_id, regexp_extract_all(lower(coalesce(prediction, '')), '[a-z0-9]+') AS p, regexp_extract_all(lower(coalesce(reference, '')), '[a-z0-9]+') AS r FROM pairs),
+lcs AS (
+  SELECT pred_id, p, r, 0 AS j, list_transform(range(0, len(r)), lambda x: 0::bigint) AS row FROM toks
+  UNION ALL
+  SELECT pred_id, p, r, j + 1, list_transform(range(1, len(r) + 1), lambda i: list_max(c[1:i])) FROM (
+    SELECT pred_id, p, r, j, list_transform(range(1, len(r) + 1), lambda i: CASE WHEN r[i] = p[j + 1] THEN coalesce(row[i - 1], 0) + 1 ELSE row[i] END) AS c FROM lcs WHERE j < len(p) AND len(r) > 0)),
+rouges AS (SELECT pred_id, CASE WHEN len(p) = 0 OR len(r) = 0 THEN 0.0::double ELSE 2 * row[len(r)] / (len(p) + len(r))::double END AS rouge_l FROM lcs WHERE j = len(p) OR len(r) = 0 AND j = 0)"""
+
+
+
+def _measured(by: str) -> str:
+    """CTEs after per ([by,] ...) that end in measured (by, n_samples, fkgl, rouge_l, macro_f1, chr_pct, risk, f1_*, bleu)."""
+    f1_of = ", ".join(f"round(max(f1) FILTER (category = '{k}'), 4) AS f1_{k.lower()}" for k in cfg.CATEGORIES)
+    return f"""{_ROUGE}, {_bleu(by)},
+f1s AS (SELECT {by}, category, {_F1} AS f1 FROM per),
+macros AS (SELECT {by}, sum(f1) / 4 AS m, {f1_of} FROM f1s GROUP BY {by}),
+simple AS (SELECT {by}, count(*) AS n_samples, round(avg({_fkgl("coalesce(prediction, '')")}), 1) AS fkgl, round(avg(rouge_l), 4) AS rouge_l FROM pairs JOIN rouges USING (pred_id) GROUP BY {by}),
+measured AS (SELECT {by}, n_samples, fkgl, rouge_l, round(m, 4) AS macro_f1, round((1 - m) * 100, 2) AS chr_pct,
+  CASE WHEN (1 - m) * 100 >= 40 THEN 'High' WHEN (1 - m) * 100 >= 30 THEN 'Moderate' ELSE 'Low' END AS risk, f1_dx, f1_rx, f1_proc, f1_fup, round(bleu, 4) AS bleu
+  FROM simple JOIN macros USING ({by}) JOIN bleus USING ({by}))"""
+
+
+# Greedy selection: the state is what is chosen (ranks, in order), what is left, and the tokens used.
+_MMR = f"""{_RERANKED},
+units AS (SELECT id, b, x / (sqrt(sum(x * x) OVER (PARTITION BY id)) + 1e-9::double) AS x FROM p_vec),
+pairwise AS (SELECT a.query_id, a.rank AS i, c.rank AS j, coalesce((SELECT sum(u.x * v.x) FROM units u JOIN units v USING (b) WHERE u.id = a.passage_id AND v.id = c.passage_id), 0) AS sim
+  FROM reranked a JOIN reranked c USING (query_id)),
+rows_ AS (SELECT query_id, i, list(sim ORDER BY j) AS sims FROM pairwise GROUP BY query_id, i),
+matrix AS (SELECT query_id, list(sims ORDER BY i) AS sims FROM rows_ GROUP BY query_id),
+lists AS (SELECT query_id, list(passage_id ORDER BY rank) AS ids,
+  list(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE score END ORDER BY rank) AS rel,
+  list(len(list_filter(string_split_regex(text, '[{_WS}]+'), lambda v: v <> '')) ORDER BY rank) AS tok
+  FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM reranked WINDOW w AS (PARTITION BY query_id)) JOIN passages USING (passage_id) GROUP BY query_id),
+given AS (SELECT * FROM lists JOIN matrix USING (query_id)),
+walk AS (
+  SELECT query_id, ids, rel, tok, sims, [1::bigint] AS sel, range(2, len(ids) + 1) AS rem, tok[1] AS used FROM given
+  UNION ALL
+  SELECT query_id, ids, rel, tok, sims, list_append(sel, pick), list_filter(left_, lambda i: i <> pick), used + tok[pick] FROM (
+    SELECT *, CASE WHEN over THEN list_min(fits) ELSE best END AS pick, CASE WHEN over THEN list_filter(rem, lambda i: i <> best) ELSE rem END AS left_ FROM (
+      SELECT *, used + tok[best] > 512 AS over, list_filter(rem, lambda i: i <> best AND used + tok[i] <= 512) AS fits FROM (
+        SELECT *, -list_max(list_transform(rem, lambda i: {{'s': round(0.7::double * rel[i] - (1 - 0.7::double) * list_max(list_transform(sel, lambda j: sims[i][j])), 9), 'n': -i}})).n AS best
+        FROM walk WHERE len(rem) > 0 AND used < 512)))
+  WHERE pick IS NOT NULL),
+longest AS (SELECT query_id, ids, sel FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY len(sel) DESC) AS k FROM walk) WHERE k = 1),
+selected AS (SELECT query_id, unnest(range(1, len(sel) + 1)) AS ord, ids[unnest(sel)] AS passage_id FROM longest)"""
+
+
 def oracle_sql() -> dict[str, str]:
     low = {k: k.lower() for k in cfg.CATEGORIES}
     bucket = ", ".join(f"coalesce(string_agg(span, '; ' ORDER BY pos) FILTER (category = '{k}'), '') AS {v}" for k, v in low.items())
@@ -217,10 +265,18 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT span, category, CASE {aliases} ELSE span END AS preferred FROM a",
         "base_prompt": f"WITH {_QUESTIONS} SELECT id, {_text(P.SYSTEM)} AS system, {_fill(P.BASE, question='source')} AS user FROM questions",
         "training_prompt": f"WITH {_QUESTIONS} SELECT id, {_fill(P.TRAINING.replace('{evidence}', '(no evidence)').replace('{knowledge}', '(no knowledge context)'), question='source')} AS user, target FROM questions",
+        "mmr_select": f"WITH RECURSIVE {_MMR} SELECT query_id, ord, passage_id FROM selected",
+        "grounded_prompt": f"WITH RECURSIVE {_MMR}, {_SUBGRAPH.replace(_QUERIES + ', ', '')}, evidence AS (SELECT query_id, string_agg('[E' || ord || '] ' || replace({_strip('text')}, chr(10), ' '), chr(10) ORDER BY ord) AS evidence FROM selected JOIN passages USING (passage_id) WHERE ord <= 5 GROUP BY query_id), "
+        "knowledge AS (SELECT query_id, string_agg('• (' || head || ') --[' || relation || ']--> (' || tail || ')', chr(10) ORDER BY ord) AS knowledge FROM sub GROUP BY query_id), "
+        f"known AS (SELECT query_id, question, coalesce(evidence, {_text(P.NO_EVIDENCE)}) AS evidence, CASE WHEN query_id NOT IN (SELECT query_id FROM entities) THEN {_text(P.NO_CONCEPTS)} ELSE coalesce(knowledge, {_text(P.NO_KNOWLEDGE)}) END AS knowledge "
+        f"FROM queries LEFT JOIN evidence USING (query_id) LEFT JOIN knowledge USING (query_id)) SELECT query_id, {_text(P.SYSTEM)} AS system, {_fill(P.GROUNDED, evidence='evidence', knowledge='knowledge', question='question')} AS user FROM known",
+        "rouge_l": f"WITH RECURSIVE {_PAIRS}, {_ROUGE} SELECT pred_id, round(rouge_l, 6) AS rouge_l FROM rouges",
+        "eval_metrics": f"WITH RECURSIVE {_per_category('one').replace('pairs AS (SELECT pred_id, run_id', 'pairs AS (SELECT 1 AS one, pred_id, run_id')}, {_measured('one')} SELECT n_samples, fkgl, rouge_l, macro_f1, chr_pct, risk, f1_dx AS \"Dx\", f1_rx AS \"Rx\", f1_proc AS \"Proc\", f1_fup AS \"Fup\", bleu FROM measured",
+        "experiment_grid": f"WITH RECURSIVE {_per_category('run_id')}, {_measured('run_id')} SELECT run_id, model_name, setting, retrieval, n_samples, f1_dx AS dx, f1_rx AS rx, f1_proc AS proc, f1_fup AS fup, macro_f1, chr_pct, risk, fkgl, rouge_l, bleu FROM eval_runs LEFT JOIN measured USING (run_id)",
         "train_test_split": f"WITH {_SPLIT} SELECT id, is_test FROM split",
         "few_shot_prompt": f"WITH {_SPLIT}, shots AS (SELECT * FROM split WHERE NOT is_test ORDER BY h, id LIMIT 3), prefix AS (SELECT {_text(P.FEW_SHOT)} || chr(10) || "
         f"string_agg('Input: ' || source || chr(10) || 'Reformulated: ' || target || chr(10), chr(10) ORDER BY h, id) AS p FROM shots) SELECT id, p || chr(10) || chr(10) || {_fill(P.BASE, question='source')} AS user FROM split, prefix WHERE is_test",
-        "bleu4": f"WITH {_bleu('run_id')} SELECT run_id, round(bleu, 6) AS bleu FROM bleus",
+        "bleu4": f"WITH {_PAIRS}, {_bleu('run_id')} SELECT run_id, round(bleu, 6) AS bleu FROM bleus",
         "batch_inference": f"WITH {_QUESTIONS} SELECT id, regexp_extract(source, '^[^.?!]*') AS output FROM questions",
         "event_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
         "top_runs": f"WITH {_per_category('run_id')}, f AS (SELECT run_id, {_F1} AS f1 FROM per), g AS (SELECT run_id, round(sum(f1) / 4, 6) AS macro_f1 FROM f GROUP BY run_id) "
