@@ -93,30 +93,41 @@ def _colocated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
+def _rounds(start: DataFrame, paths: bool, max_rounds: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Doubles how far each node sees until it sees its root: (rested, never resting) of (node, parent, above[, seen]), where
+    ``above`` is the furthest ancestor seen and ``seen`` the nodes from just below it down to the node."""
+    own = ["node", "parent", "above", *["seen"] * paths]
+
+    def begin(rows: DataFrame, above: str, seen: Column) -> DataFrame:
+        return rows.select("node", "parent", F.col(above).alias("above"), *[seen.alias("seen")] * paths)
+
+    rested = materialize(begin(start.where("parent is null"), "node", F.array().cast("array<string>")), "rested")
+    moving = materialize(begin(start.where("parent is not null"), "parent", F.array("node")), "moving")
+    for r in range(max_rounds):
+        if moving.isEmpty() or 2**r > most:
+            break
+        beyond = rested.withColumn("rest", F.lit(True)).unionByName(moving.withColumn("rest", F.lit(False)))
+        beyond = beyond.select(F.col("node").alias("above"), F.col("above").alias("above2"), *[F.col("seen").alias("seen2")] * paths, "rest")
+        step = moving.join(beyond, "above").select("node", "parent", F.col("above2").alias("above"), *[F.concat("seen2", "seen").alias("seen")] * paths, "rest")
+        step = materialize(step, "step")
+        rested = materialize(rested.unionByName(step.where("rest").select(*own)), "rested")
+        moving = step.where("not rest").select(*own)
+    return rested, moving
+
+
 def _doubled(links: DataFrame, max_rounds: int) -> DataFrame:
-    """The rows of components too large for a task. A round doubles how far each node sees; who has seen a root rests."""
+    """The rows of components too large for a task, by pointer doubling: first which nodes ever see a root, without paths;
+    then the paths of those, so that none is kept for a node on or below a cycle."""
     nodes = links.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
     own = links.groupBy("child").agg(F.min("parent").alias("parent"))
-    start = nodes.join(own.withColumnRenamed("child", "node"), "node", "left")
-    # above: the furthest ancestor seen; seen: the nodes from just below it down to the node
-    roots = start.where("parent is null").select("node", "parent", F.col("node").alias("above"), F.array().cast("array<string>").alias("seen"))
-    done = materialize(roots, "roots")
-    open_ = materialize(start.where("parent is not null").select("node", "parent", F.col("parent").alias("above"), F.array("node").alias("seen")), "open")
-    finished = done
-    most = nodes.count()
-    for r in range(max_rounds):
-        rested = finished.select(F.col("node").alias("above"), F.col("above").alias("above2"), F.col("seen").alias("seen2"), F.lit(True).alias("rest"))
-        moving = open_.select(F.col("node").alias("above"), F.col("above").alias("above2"), F.col("seen").alias("seen2"), F.lit(False).alias("rest"))
-        step = open_.join(rested.unionByName(moving), "above").select("node", "parent", F.col("above2").alias("above"), F.concat("seen2", "seen").alias("seen"), "rest")
-        # a node on or below a cycle never rests: once it has seen more nodes than there are, its path says nothing more
-        step = materialize(step.withColumn("seen", F.when(F.size("seen") <= most, F.col("seen")).otherwise(F.array("node"))), "step")
-        finished = materialize(finished.unionByName(step.where("rest").drop("rest")), "finished")
-        open_ = step.where("not rest").drop("rest")
-        if open_.isEmpty() or 2 ** (r + 1) > most:
-            break
-    tree = finished.select("node", "parent", F.col("above").alias("root_node"), F.size("seen").cast("long").alias("depth"), F.concat(F.array("above"), "seen").alias("path"), F.lit(TREE).alias("state"))
-    on = open_.select(F.col("above").alias("node")).distinct().withColumn("on", F.lit(True))
-    loop = open_.join(on, "node", "left").select("node", "parent", F.lit("").alias("root_node"), F.lit(-1).cast("long").alias("depth"), F.array().cast("array<string>").alias("path"), F.when(F.col("on"), ON_CYCLE).otherwise(BELOW).alias("state"))
+    start = materialize(nodes.join(own.withColumnRenamed("child", "node"), "node", "left"), "start")
+    most = start.count()
+    _, endless = _rounds(start, False, max_rounds, most)
+    endless = materialize(endless, "endless")
+    rested, _ = _rounds(start.join(endless.select("node"), "node", "left_anti"), True, max_rounds, most)
+    tree = rested.select("node", "parent", F.col("above").alias("root_node"), F.size("seen").cast("long").alias("depth"), F.concat(F.array("above"), "seen").alias("path"), F.lit(TREE).alias("state"))
+    on = endless.select(F.col("above").alias("node")).distinct().withColumn("on", F.lit(True))  # after so many steps each is on a cycle
+    loop = endless.join(on, "node", "left").select("node", "parent", F.lit("").alias("root_node"), F.lit(-1).cast("long").alias("depth"), F.array().cast("array<string>").alias("path"), F.when(F.col("on"), ON_CYCLE).otherwise(BELOW).alias("state"))
     return tree.unionByName(loop)
 
 
