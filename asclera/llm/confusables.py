@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asclera.runtime import spread
+from asclera.runtime import materialize, spread
 
 # Letters of other scripts and the Latin letters that they look like, in the same order.
 CYRILLIC = "АВСЕНІЈКМОРЅТХҮаԁсеһіјӏоԛрѕԝхуѵԌԚԜґ"
@@ -148,8 +148,12 @@ def lookalike_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b), a < b: ids whose texts look the same but are stored differently."""
-    c = lookalike_classes(df, id_col, text_col)
-    other = c.select("look", F.col("stored").alias("stored_b"), F.col("id").alias("b"))
-    pairs = c.join(other, "look").where((F.col("stored") != F.col("stored_b")) & (F.col("id") < F.col("b")))
-    return pairs.select(F.col("id").alias("a"), "b").distinct()
+    """(a, b), a < b: ids whose texts look the same but are stored differently. The ways to store a look are paired first, then
+    their ids, so that copies meet only what they are paired with."""
+    c = materialize(lookalike_classes(df, id_col, text_col), "looks")
+    kinds = c.select("look", "stored").distinct()
+    other = kinds.withColumnRenamed("stored", "stored_b")
+    differ = kinds.join(other, "look").where("stored < stored_b")
+    one, two = c.withColumnRenamed("id", "x"), c.select("look", F.col("stored").alias("stored_b"), F.col("id").alias("y"))
+    pairs = differ.join(one, ["look", "stored"]).join(two, ["look", "stored_b"])
+    return pairs.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

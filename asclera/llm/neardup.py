@@ -89,7 +89,7 @@ def _keys_of(b: Banding):
             mins = _minhashes(features, starts, b.hashes, b.seed)
             cls = _class_ids(features, starts, mins)
             # copies within a task are left out before the shuffle; the set is emptied, not grown without bound
-            if len(seen) > 4_000_000:
+            if len(seen) > 500_000:
                 seen.clear()
             new = [i for i, c in enumerate(cls.tolist()) if c not in seen and not seen.add(c)]
             cls, mins = cls[new], mins[:, new].astype(np.uint64)

@@ -61,7 +61,7 @@ def _segments(often: np.ndarray, threshold: float):
             cls, has = _classes(features, counts)
             if not len(has):
                 continue
-            if len(seen) > 2_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
             new = np.array([(key := (c, t)) not in seen and not seen.add(key) for c, t in zip(cls.tolist(), train[has].tolist(), strict=True)])
             text = np.repeat(np.arange(len(counts)), counts)

@@ -25,7 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, computed once a word and process; emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 400_000):
         super().__init__()
         self.most = most
 
