@@ -11,14 +11,12 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asclera.operators.components import connected_components
-from asclera.runtime import materialize
+from asclera.runtime import materialize, partitions_for
 
 ROW = "node string, parent string, root_node string, depth long, path array<string>, state string"
 #: state of a node: in a tree, on a cycle, closing a cycle (its link to its parent is the back edge), or below one.
@@ -71,26 +69,16 @@ def traverse(links: list[tuple[str, str]]) -> list[tuple]:
     return out
 
 
-def _colocated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links sorted by component -> the rows of each component. Only one component is held at a time."""
-    schema = pa.schema([("node", pa.string()), ("parent", pa.string()), ("root_node", pa.string()), ("depth", pa.int64()), ("path", pa.list_(pa.string())), ("state", pa.string())])
-    held, at, rows = [], None, []
+_SCHEMA = pa.schema([("node", pa.string()), ("parent", pa.string()), ("root_node", pa.string()), ("depth", pa.int64()), ("path", pa.list_(pa.string())), ("state", pa.string())])
 
-    def batch() -> pa.RecordBatch:
-        return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    for b in batches:
-        for component, child, parent in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            if component != at:
-                rows += traverse(held)
-                held, at = [], component
-                if len(rows) > 10_000:
-                    yield batch()
-                    rows = []
-            held.append((child, parent))
-    rows += traverse(held)
-    if rows:
-        yield batch()
+def _bucket(t: pa.Table) -> pa.Table:
+    """The links of the components of one bucket -> the rows of these components, one component after the other."""
+    held: dict[str, list[tuple[str, str]]] = {}
+    for component, child, parent in zip(*(t.column(c).to_pylist() for c in ("component", "child", "parent")), strict=True):
+        held.setdefault(component, []).append((child, parent))
+    rows = [r for links in held.values() for r in traverse(links)]
+    return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
 def _rounds(start: DataFrame, paths: bool, max_rounds: int, most: int) -> tuple[DataFrame, DataFrame]:
@@ -144,7 +132,9 @@ def hierarchy(links: DataFrame, most: int = 200_000, max_rounds: int = 60, one_t
     large = sizes.where(F.col("n") > most).select("component")
     fits = sizes.where(F.col("n") <= most).select("component")
     here = placed.join(fits, "component", "left_semi").select("component", "child", "parent")
-    out = here.repartition("component").sortWithinPartitions("component").mapInArrow(_colocated, ROW)
+    # a group, not a repartition: what comes after a repartition may be planned without it
+    buckets = partitions_for(links.sparkSession, placed.count(), most)
+    out = here.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets))).groupBy("bucket").applyInArrow(_bucket, ROW)
     if not large.isEmpty():
         out = out.unionByName(_doubled(placed.join(large, "component", "left_semi").select("child", "parent"), max_rounds))
     parents = links.groupBy("child").agg(F.count("*").alias("parents")).withColumnRenamed("child", "node")

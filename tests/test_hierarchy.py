@@ -82,3 +82,18 @@ def test_components(spark):
     for most in (0, 1000):
         assert {r.node: r.component for r in connected_components(df, one_task=most).collect()} == {x: find(x) for x in own}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_stay_together_when_joins_are_replanned(spark):
+    """A join that turns into a broadcast at run time must not tear components apart."""
+    links = [(f"c{c}n{i}", f"c{c}n{i + 1}") for c in range(60) for i in range(9)]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = H.hierarchy(spark.createDataFrame(links, LINKS).repartition(7)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(got) == 600 and {r.node: r.depth for r in got} == {f"c{c}n{i}": 9 - i for c in range(60) for i in range(10)}
