@@ -7,7 +7,7 @@ ones whose sum fits its expanded gap most tightly. Only a block's last sequences
 
 Defined results: a document longer than the capacity is cut into pieces of the capacity and a rest, which is packed as any
 other document; no other is cut. Null and empty texts have no tokens and join a sequence of their block without taking
-room. Rows that repeat an id are packed as often as they are given. No documents give no rows.
+room. Rows that repeat an id are packed as often as they are given; rows without an id are left out. No documents give no rows.
 """
 
 from __future__ import annotations
