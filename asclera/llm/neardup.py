@@ -1,9 +1,16 @@
-"""Near-duplicate texts: tensored minhash banding, then exact verification of the multiset word overlap.
+"""Near-duplicate texts: candidates that miss no pair, then exact verification of the multiset word overlap.
 
 A text is the multiset of its words. Texts with equal multisets form one *class*; everything after the first pass works on
-classes, so that copies cost nothing however many there are. A class emits ``repetitions * left * right`` table keys. Each
-is the combination of one *half* of the left and one of the right collection of a repetition, and a half is the
-combination of ``rows`` minhashes. So 48 keys of 10 minhashes each take 120 minhashes in place of 480.
+classes, so that copies cost nothing however many there are.
+
+Candidates (``exact``): in one order of all features, rarest first, a class of n features emits its first n - t n + 1. Two
+classes whose overlap reaches t have one of these in common, and 256 parities of their features differ in no more places
+than the features do. So no pair is lost, but the pairs that are compared grow with the square of the classes.
+
+Without ``exact`` candidates come from tensored minhash banding, which is faster on large tables but misses pairs: a class
+emits ``repetitions * left * right`` table keys, each the combination of one *half* of the left and one of the right
+collection of a repetition, and a half is the combination of ``rows`` minhashes. So 48 keys of 10 minhashes each take 120
+minhashes in place of 480; of the pairs at overlap 0.80 they meet 0.46, at 0.85 0.78.
 
 Defined results: null texts and texts without a word take part in nothing; a text id that occurs more than once with the
 same text counts once; other columns of the input are ignored, whatever their names; an empty table gives empty results.
@@ -28,7 +35,9 @@ from asclera.runtime import materialize, partitions_for, small, spread
 class Banding:
     """threshold: least word overlap. sketch_bits: of the 32 sketch bits of two classes, so many must agree (two texts that
     share J of their words agree in (1 + J) / 2 of them; overlap 0.8 is J 0.67 at least, of which fewer than 20 of 32 agree
-    in less than 0.4 % of the cases). hot: classes of one bucket that are compared in one task; more are compared in blocks."""
+    in less than 0.4 % of the cases). hot: classes of one bucket that are compared in one task; more are compared in blocks.
+    exact: find all pairs; repetitions, left, right, rows and sketch_bits are for banding only. ordered: texts that the order
+    of the features is taken from (any order gives the same pairs), and features that have a place of their own in it."""
 
     threshold: float = 0.8
     repetitions: int = 3
@@ -36,8 +45,10 @@ class Banding:
     right: int = 4
     rows: int = 5
     sketch_bits: int = 21
-    hot: int = 4096
+    hot: int = 16_384
     seed: int = 7
+    exact: bool = True
+    ordered: int = 20_000
 
     @property
     def keys(self) -> int:
@@ -107,6 +118,153 @@ def _keys_of(b: Banding):
     return run
 
 
+_ROW = "key long, cls long, n int, rest int, s0 long, s1 long, s2 long, s3 long"
+
+
+def _needed(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Features that a text of n must share with one that is no longer."""
+    return np.ceil(n * (threshold - 1e-9) - 1e-12).astype(np.int64)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        value, n = np.unique(_texts(batch, hashes)[1], return_counts=True)
+        yield pa.record_batch([_signed(value), pa.array(n.astype(np.int64))], names=["f", "n"])
+
+
+def _common(texts: DataFrame, n: int, b: Banding) -> np.ndarray:
+    """Features by rising frequency in about ``ordered`` texts. Those that are not among them count as rarer."""
+    some = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(max(1, n // b.ordered))) == 0)
+    counts = some.mapInArrow(_frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where("n > 1")
+    return np.array([r.f for r in counts.orderBy(F.desc("n"), "f").limit(b.ordered).collect()][::-1], np.int64).view(np.uint64)
+
+
+def _prefixes_of(b: Banding, common: np.ndarray):
+    """(id, text) -> the rarest features of each class: with cls, features of the class, how many come from this one on, and
+    the parities of all of them."""
+    place = np.argsort(common)
+    value, place = common[place], place + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = WordHashes(), set()
+        for batch in batches:
+            ids, features, starts, counts = _texts(batch, hashes)
+            if not len(ids):
+                continue
+            cls = _class_ids(features, starts, _minhashes(features, starts, 32, b.seed))
+            # copies within a task are left out before the shuffle; the set is emptied, not grown without bound
+            if len(seen) > 500_000:
+                seen.clear()
+            new = np.zeros(len(cls), bool)
+            new[[i for i, c in enumerate(cls.tolist()) if c not in seen and not seen.add(c)]] = True
+            cls, features, counts = cls[new], features[np.repeat(new, counts)], counts[new]
+            if not len(cls):
+                continue
+            starts = np.cumsum(counts) - counts
+            at, one = (features >> np.uint64(32)) & np.uint64(255), np.uint64(1) << ((features >> np.uint64(32)) & np.uint64(63))
+            parities = [np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == k, one, np.uint64(0)), starts) for k in range(4)]
+            rank = np.zeros(len(features), np.uint64)
+            if len(value):
+                found = np.minimum(np.searchsorted(value, features), len(value) - 1)
+                rank = np.where(value[found] == features, place[found], 0).astype(np.uint64)
+            doc = np.repeat(np.arange(len(cls), dtype=np.uint64), counts)
+            # stable: features that are equal here stay in the order of their words, which is one for all texts
+            order = np.argsort((doc << np.uint64(48)) | (rank << np.uint64(24)) | (features >> np.uint64(40)), kind="stable")
+            position = np.arange(len(features)) - np.repeat(starts, counts)
+            emitted = position <= np.repeat(counts - _needed(counts, b.threshold), counts)
+            key, doc, position = features[order][emitted], doc[emitted].astype(np.int64), position[emitted]
+            yield pa.record_batch(
+                [_signed(key), _signed(cls[doc]), pa.array(counts[doc].astype(np.int32)), pa.array((counts[doc] - position).astype(np.int32)), *[_signed(s[doc]) for s in parities]],
+                names=["key", "cls", "n", "rest", "s0", "s1", "s2", "s3"],
+            )
+
+    return run
+
+
+def _sharing(cls: np.ndarray, n: np.ndarray, rest: np.ndarray, parities: list[np.ndarray], threshold: float, own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of classes, all with one feature and by rising n, that may reach the threshold; with ``own`` only those
+    of which it differs. Of two classes with no feature in common before this one, each must have enough from it on."""
+    need = _needed(n, threshold)
+    low = np.searchsorted(n, need)
+    every = np.arange(len(n))
+    slack = n - 2 * need
+    for a in range(0, len(n), 32):
+        x = slice(a, min(a + 32, len(n)))
+        for c in range(low[a], x.stop, 2048):
+            y = slice(c, min(c + 2048, x.stop))
+            differ = np.bitwise_count(parities[0][x, None] ^ parities[0][y]).astype(np.int16)
+            for s in parities[1:]:
+                differ += np.bitwise_count(s[x, None] ^ s[y])
+            ok = differ <= (slack[x].astype(np.int16)[:, None] + n[y].astype(np.int16) if n[x.stop - 1] < 1 << 13 else slack[x, None] + n[y])
+            i, j = np.nonzero(ok)
+            i, j = i + a, j + c
+            keep = (every[j] < every[i]) & (rest[j] >= need[i]) & (cls[i] != cls[j])
+            if own is not None:
+                keep &= own[i] != own[j]
+            yield cls[i[keep]], cls[j[keep]]
+
+
+def _meetings(b: Banding):
+    """Rows of ``_prefixes_of`` of one partition -> candidate pairs (a, b); rows of hot features as they are, with a null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        del got
+        key, cls, n, rest, *parities = (t.column(c).to_numpy() for c in range(8))
+        order = np.lexsort((cls, n, key))
+        key, cls, n, rest = key[order], cls[order], n[order].astype(np.int64), rest[order].astype(np.int64)
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        order, key, cls, n, rest = order[new], key[new], cls[new].view(np.uint64), n[new], rest[new]
+        parities = [s[order].view(np.uint64) for s in parities]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(first, len(key)))
+        hot = np.repeat(size > b.hot, size)
+        if hot.any():
+            rows = t.take(pa.array(order[hot]))
+            empty = pa.nulls(rows.num_rows, pa.int64())
+            yield from pa.table([empty, empty, *rows.columns], names=["a", "b", *rows.column_names]).combine_chunks().to_batches()
+        held, many = [], 0
+        for at, end in zip(first.tolist(), (first + size).tolist(), strict=True):
+            if not 1 < end - at <= b.hot:
+                continue
+            r = slice(at, end)
+            for x in _sharing(cls[r], n[r], rest[r], [s[r] for s in parities], b.threshold):
+                if len(x[0]):
+                    held.append(np.sort(np.stack(x).view(np.int64), axis=0))
+                    many += len(x[0])
+            if many > 1_000_000:
+                held, many = [np.unique(np.concatenate(held, 1), axis=1)], 0
+                if held[0].shape[1] > 2_000_000:
+                    yield _met(held.pop(), t.schema)
+        if held:
+            yield _met(np.unique(np.concatenate(held, 1), axis=1), t.schema)
+
+    return run
+
+
+def _met(pairs: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1]), *[pa.nulls(pairs.shape[1], f.type) for f in schema]], names=["a", "b", *schema.names])
+
+
+def _hot_meetings(hot: DataFrame, b: Banding) -> DataFrame:
+    """As ``_hot_pairs``, for rows of ``_prefixes_of``."""
+
+    def cell(_: tuple, t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.argsort(t.column("n").to_numpy(), kind="stable")))
+        own, n, rest = (t.column(c).to_numpy().astype(np.int64) for c in ("own", "n", "rest"))
+        cls, *parities = (t.column(c).to_numpy().view(np.uint64) for c in ("cls", "s0", "s1", "s2", "s3"))
+        out = [np.stack(p) for p in _sharing(cls, n, rest, parities, b.threshold, own if t.column("i")[0] != t.column("j")[0] else None)]
+        p = np.unique(np.concatenate([np.empty((2, 0), np.uint64), *out], 1).view(np.int64), axis=1)
+        return pa.table({"a": np.minimum(*p), "b": np.maximum(*p)})
+
+    return _cells(hot, b).groupBy("key", "i", "j").applyInArrow(cell, "a long, b long")
+
+
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many of the 32 sketch bits agree."""
     return 32 - np.bitwise_count((a ^ b) & np.uint64(0xFFFFFFFF))
@@ -173,16 +331,20 @@ def _pair_batch(p: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c)), pa.array(np.zeros(p.shape[1], bool))], names=["a", "b", "hot"])
 
 
-def _hot_pairs(hot: DataFrame, b: Banding) -> DataFrame:
-    """All pairs of hot buckets, in blocks of about ``hot`` classes: each pair of blocks is a group of its own."""
+def _cells(hot: DataFrame, b: Banding) -> DataFrame:
+    """The rows of hot buckets in blocks of about ``hot`` classes, once for each pair (i, j) of blocks that ``own`` is in."""
     sizes = hot.groupBy("key").agg(F.ceil(F.count("*") / b.hot).cast("int").alias("blocks"))
-    cells = (
+    return (
         hot.join(sizes, "key")
         .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "cls", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .select(*hot.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
 
+
+def _hot_pairs(hot: DataFrame, b: Banding) -> DataFrame:
+    """All pairs of hot buckets, in blocks of about ``hot`` classes: each pair of blocks is a group of its own."""
+
     def cell(_: tuple, t: pa.Table) -> pa.Table:
         own, cls = t.column("own").to_numpy(), t.column("cls").to_numpy().view(np.uint64)
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
@@ -194,7 +356,7 @@ def _hot_pairs(hot: DataFrame, b: Banding) -> DataFrame:
         p = np.concatenate(out, 1).view(np.int64) if out else np.empty((2, 0), np.int64)
         return pa.table({"a": np.minimum(*p), "b": np.maximum(*p)})
 
-    return cells.groupBy("key", "i", "j").applyInArrow(cell, "a long, b long")
+    return _cells(hot, b).groupBy("key", "i", "j").applyInArrow(cell, "a long, b long")
 
 
 def _overlapping(threshold: float):
@@ -244,12 +406,19 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, banding: Banding
     spark = df.sparkSession
     texts = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()))
     n = df.count()
-    keys = texts.mapInArrow(_keys_of(b), "key long, cls long").repartition(partitions_for(spark, n * b.keys), "key")
-    found = materialize(keys.mapInArrow(_buckets(b), "a long, b long, hot boolean"), "buckets")
-    candidates = found.where(~F.col("hot")).select("a", "b")
-    hot = found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("cls"))
+    if b.exact:
+        rows = texts.mapInArrow(_prefixes_of(b, _common(texts, n, b)), _ROW).repartition(partitions_for(spark, n * 24), "key")
+        found = materialize(rows.mapInArrow(_meetings(b), f"a long, b long, {_ROW}"), "buckets")
+        candidates, hot = found.where("a is not null").select("a", "b"), found.where("a is null").drop("a", "b")
+        of_hot = _hot_meetings
+    else:
+        keys = texts.mapInArrow(_keys_of(b), "key long, cls long").repartition(partitions_for(spark, n * b.keys), "key")
+        found = materialize(keys.mapInArrow(_buckets(b), "a long, b long, hot boolean"), "buckets")
+        candidates = found.where(~F.col("hot")).select("a", "b")
+        hot = found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("cls"))
+        of_hot = _hot_pairs
     if not hot.isEmpty():
-        candidates = candidates.unionByName(_hot_pairs(hot, b))
+        candidates = candidates.unionByName(of_hot(hot, b))
     candidates = materialize(candidates.distinct(), "candidates")
 
     members = materialize(texts.mapInArrow(_members_of(b, False), "id long, cls long").distinct(), "members")

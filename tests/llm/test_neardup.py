@@ -68,6 +68,32 @@ def test_production_banding_finds_nearly_all(spark):
     assert got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_finds_all_from_the_threshold_on(spark):
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows, want = [], set()
+    for i in range(400):
+        base = rng.choices(vocab, k=100)
+        changed = i % 26  # overlaps from 1.00 down to 0.75
+        new = base[changed:] + rng.choices(vocab, k=changed) if i % 2 else base[changed // 2 :] + ["more"] * (changed // 2)
+        rng.shuffle(new)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(new))]
+        if overlap(rows[-2][1], rows[-1][1]) >= 0.8:
+            want.add((2 * i, 2 * i + 1))
+    assert sum(overlap(rows[a][1], rows[b][1]) < 0.86 for a, b in want) > 40
+    df = spark.createDataFrame(rows, "id long, t string")
+    for banding in (N.Banding(), N.Banding(hot=20, ordered=50)):
+        assert {tuple(r) for r in N.duplicate_pairs(*N.near_duplicates(df, "id", "t", banding)).collect()} == want
+
+
+def test_banding_equals_brute_force_when_wide(spark):
+    t = texts(random.Random(4))
+    df = spark.createDataFrame(list(enumerate(t)), "id long, t string")
+    for hot in (3, 4096):
+        wide = N.Banding(repetitions=8, left=6, right=6, rows=2, sketch_bits=0, hot=hot, exact=False)
+        assert {tuple(r) for r in N.duplicate_pairs(*N.near_duplicates(df, "id", "t", wide)).collect()} == pairs_of(list(enumerate(t)))
+
+
 def test_empty_table(spark):
     members, links = N.near_duplicates(spark.createDataFrame([], COLS), "passage_id", "passage_text")
     assert N.duplicate_pairs(members, links).count() == 0 and N.duplicate_groups(members, links).count() == 0
