@@ -15,7 +15,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from asclera.llm.languages import Languages
 from asclera.llm.leakage import align
+from asclera.runtime import materialize
 
 EMPTY, TRUNCATED, REFUSAL, COPY, OTHER_LANGUAGE = "empty", "truncated", "refusal", "copy", "other_language"
 
@@ -76,73 +77,95 @@ def is_refusal(shown: str) -> bool:
     return bool(REFUSALS.search(re.sub(r"\s+", " ", shown.lower().replace("’", "'"))))
 
 
+def sentences_of(text: str) -> tuple[list[list[str]], bool]:
+    """The words of each sentence, and whether the text has an end mark."""
+    return [_TOKEN.findall(s.lower()) for s in _SENTENCE.split(text)], bool(_END.search(text))
+
+
+def words_in(sentences: list[list[str]], marked: bool) -> Iterator[tuple[str, bool]]:
+    """Each word, and whether it is the last one of a text without an end mark."""
+    for k, s in enumerate(sentences):
+        for i, w in enumerate(s):
+            yield w, not marked and k + 1 == len(sentences) and i + 1 == len(s)
+
+
 class Endings:
     """How likely texts and words end where they do, learned from answers most of which are complete.
 
-    answers: (group, text); a word is known if it is in answers of at least ``known_share`` of the groups, ``known_least`` at
+    answers: (group, text); ``counted``: the texts that are asked for are among them. A word is known if it is in answers of at least ``known_share`` of the groups, ``known_least`` at
     least. Others are one class, as names are. Where texts can end, ``ends`` of
     those that come there do; where they cannot, ``breaks`` do, as they break off. A word is whole if it is seen before another word, before an end mark, in one of
     ``others``, or at several unmarked ends without being the beginning of another.
     """
 
     def __init__(self, answers: list[tuple[int, str]], others: list[str] | None = None, known_share: float = 0.004, known_least: int = 3, ends: float = 0.5, breaks: float = 0.04, longest: int = 7):
-        groups: dict[str, set] = defaultdict(set)
-        split: list[tuple[list[list[str]], bool]] = []
-        for g, t in answers:
-            sentences, marked = [_TOKEN.findall(s.lower()) for s in _SENTENCE.split(t)], bool(_END.search(t))
-            split.append((sentences, marked))
-            for k, s in enumerate(sentences):
-                for w in s if marked or k + 1 < len(sentences) else s[:-1]:
-                    groups[w].add(g)
-        most = max(known_least, known_share * len({g for g, _ in answers}))
-        finals: dict[str, set] = defaultdict(set)
-        for (g, _), (sentences, marked) in zip(answers, split, strict=True):
-            if not marked and sentences[-1] and sentences[-1][-1] not in groups:
-                finals[sentences[-1][-1]].add(g)
-        starts = {w[:n] for w in groups for n in range(2, len(w))}
-        groups.update({w: g for w, g in finals.items() if len(g) >= known_least + 1 and w not in starts})
-        self.known = {w for w, g in groups.items() if len(g) >= most}
-        self.whole = set(groups)
-        for t in others or ():
-            self.whole.update(w.lower() for w in _TOKEN.findall(t))
+        split = [(g, *sentences_of(t)) for g, t in answers]
+        inside, finals = defaultdict(set), defaultdict(set)
+        for g, sentences, marked in split:
+            for w, last in words_in(sentences, marked):
+                (finals if last else inside)[w].add(g)
+        prompts = {w.lower() for t in others or () for w in _TOKEN.findall(t)}
+        self._know({w: len(g) for w, g in inside.items()}, {w: len(g) for w, g in finals.items()}, prompts, len({g for g, _ in answers}), known_share, known_least)
+        self.longest, self.ends, self.breaks, self.counted = longest, ends, breaks, False
+        self._follow(self.neighbours((s, m) for _, s, m in split))
+        sequences = Counter(x for _, s, m in split for x in self.sequences(s, m))
+        self.counts = self.tally(sequences.items())
+
+    def _know(self, inside: dict[str, int], finals: dict[str, int], prompts: set[str], groups: int, known_share: float = 0.004, known_least: int = 3) -> None:
+        """Known and whole words, from the groups that have a word inside, and as the last one without an end mark."""
+        most = max(known_least, known_share * groups)
+        starts = {w[:n] for w in inside for n in range(2, len(w))}
+        inside = inside | {w: n for w, n in finals.items() if n >= known_least + 1 and w not in inside and w not in starts}
+        self.known = {w for w, n in inside.items() if n >= most}
+        self.whole = set(inside) | prompts
         self.starts = {w[:n] for w in self.whole for n in range(2, len(w))}
-        self.longest, self.ends, self.breaks = longest, ends, breaks
-        self.tails = self._tails(split)
-        seen, ended = Counter(), Counter()
-        for sentences, marked in split:
-            for k, s in enumerate(sentences):
-                last = k + 1 == len(sentences)
-                part = last and not marked and bool(s) and s[-1] not in self.whole  # perhaps its last word is a part of one
-                classes = self.classes(s[:-1] if part else s)
-                stop = -1 if part else len(classes)
-                for i in range(1, len(classes) + 1):
-                    for c in self.contexts(classes[:i]):
-                        seen[c] += 1
-                        ended[c] += i == stop
-        self.counts = {c: (ended[c], n) for c, n in seen.items() if n > 1}
-        whole, inside = Counter(), Counter()
+        self.tails: set[str] = set()
+        whole, within = Counter(), Counter()
         for w in self.whole:
             if w.isalpha():
                 padded = f"^^{w}"
                 for i in range(2, len(padded)):
                     for n in (2, 3, 4):
                         if i + 1 >= n:
-                            inside[padded[i + 1 - n : i + 1]] += 1
+                            within[padded[i + 1 - n : i + 1]] += 1
                             whole[padded[i + 1 - n : i + 1]] += i == len(padded) - 1
-        self.word_end = {k: whole[k] / n for k, n in inside.items() if n >= 6}
+        self.word_end = {k: whole[k] / n for k, n in within.items() if n >= 6}
 
-    def _tails(self, split: list[tuple[list[list[str]], bool]]) -> set[str]:
-        """Known words that nearly always follow a rare one and can end a sentence: the second parts of names."""
-        all_, after, last = Counter(), Counter(), Counter()
+    def neighbours(self, split: Iterable[tuple[list[list[str]], bool]]) -> dict[str, list[int]]:
+        """Of each known word: how often it occurs, follows a rare one, and ends a sentence."""
+        out: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
         for sentences, marked in split:
             for k, s in enumerate(sentences):
                 for before, w in zip(["", *s], s, strict=False):
                     if w in self.known:
-                        all_[w] += 1
-                        after[w] += bool(before) and before.isalpha() and before not in self.known
-                if s and (marked or k + 1 < len(sentences)):
-                    last[s[-1]] += 1
-        return {w for w, n in all_.items() if after[w] >= 0.8 * n and last[w] >= 0.08 * n}
+                        out[w][0] += 1
+                        out[w][1] += bool(before) and before.isalpha() and before not in self.known
+                if s and s[-1] in self.known and (marked or k + 1 < len(sentences)):
+                    out[s[-1]][2] += 1
+        return out
+
+    def _follow(self, neighbours: dict[str, list[int]]) -> None:
+        """Known words that nearly always follow a rare one and can end a sentence: the second parts of names."""
+        self.tails = {w for w, (n, after, last) in neighbours.items() if after >= 0.8 * n and last >= 0.08 * n}
+
+    def sequences(self, sentences: list[list[str]], marked: bool) -> Iterator[tuple[str, bool]]:
+        """The classes of each sentence, and whether its end counts as one."""
+        for k, s in enumerate(sentences):
+            # perhaps the last word is a part of one
+            part = k + 1 == len(sentences) and not marked and bool(s) and s[-1] not in self.whole
+            yield " ".join(self.classes(s[:-1] if part else s)), not part
+
+    def tally(self, sequences: Iterable[tuple[tuple[str, bool], int]], of: set[str] | None = None) -> dict[str, tuple[int, int]]:
+        """How often each context (of those in ``of``) ended and was seen."""
+        out: dict[str, tuple[int, int]] = {}
+        for (sequence, ends), n in sequences:
+            classes = sequence.split()
+            for i in range(1, len(classes) + 1):
+                for c in self.contexts(classes[:i]):
+                    if of is None or c in of:
+                        ended, seen = out.get(c, (0, 0))
+                        out[c] = (ended + n * (ends and i == len(classes)), seen + n)
+        return out
 
     def classes(self, words: list[str]) -> list[str]:
         out: list[str] = []
@@ -165,13 +188,14 @@ class Endings:
         for n in range(min(self.longest, len(before)), 0, -1):
             yield " ".join(before[-n:])
 
-    def end_evidence(self, words: list[str]) -> float:
+    def end_evidence(self, words: list[str], own: dict[str, tuple[int, int]] | None = None) -> float:
         """Log likelihood ratio of an end against a break after these words of the last sentence: a sequential test over
-        contexts from the longest, less one occurrence of each, which may be this very text."""
+        contexts from the longest, less the text's ``own`` occurrences."""
         total = 0.0
         for c in self.contexts(self.classes(words)):
-            ended, seen = self.counts.get(c, (1, 1))
-            ended, seen = max(0, ended - 1), seen - 1
+            ended, seen = self.counts.get(c, (0, 0))
+            if own and c in own:
+                ended, seen = max(0, ended - own[c][0]), max(0, seen - own[c][1])
             most = 4.0 if c[0] == "^" else 2.5 if c[0] == "*" else min(4.0, 0.8 * (c.count(" ") + 1))
             total += max(-most, min(most, ended * math.log(self.ends / self.breaks) + (seen - ended) * math.log((1 - self.ends) / (1 - self.breaks))))
             if abs(total) >= 3:
@@ -201,7 +225,10 @@ class Endings:
             near = {w.lower() for w in _TOKEN.findall(prompt)} | {w.lower() for w in _TOKEN.findall(shown)[:-1]}
             if last not in near and (last in self.starts or any(w.startswith(last) for w in near) or self.word_end_rate(last) < word_rate):
                 return True
-        return self.end_evidence(words) < 0
+        own = None
+        if self.counted:
+            own = self.tally(Counter(self.sequences(*sentences_of(shown))).items(), set(self.contexts(self.classes(words))))
+        return self.end_evidence(words, own) < 0
 
 
 _COPY_WORD = re.compile(r"[^\W_]+")
@@ -253,17 +280,91 @@ def _judge(languages: Languages, endings: Endings, margin: float, copied: float)
                 if d is None and endings.breaks_off(shown[i], prompts[i]):
                     defect[i] = TRUNCATED
             keep = [i for i, d in enumerate(defect) if d]
+            if not keep:
+                continue
             yield pa.record_batch([b.column("source").take(keep), b.column("id").take(keep), pa.array([defect[i] for i in keep], pa.string())], names=["source", "id", "defect"])
 
     return run
 
 
-def fit_endings(pairs: DataFrame, most: int = 12_000) -> Endings:
-    """Learned from up to ``most`` responses (the bound of the sample; the least by a hash of their ids) that are not empty,
-    refusals or visibly broken off. The few that break off without a mark end where most others go on."""
-    rows = pairs.where("response is not null").select("group", "prompt", "response", F.xxhash64("source", "id").alias("h")).distinct().orderBy("h", "response").limit(most).collect()
-    answers = [(r["group"], s) for r in rows if not is_empty(s := visible(r.response)) and not is_refusal(s) and not _BROKEN_OFF.search(s)]
-    return Endings(answers, sorted({r.prompt for r in rows if r.prompt}))
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, response) -> (group, words, marked) of those that are not empty, refusals or visibly broken off: words with a
+    space between them, sentences with a line end."""
+    for b in batches:
+        got = []
+        for g, t in zip(b.column("group").to_pylist(), b.column("response").to_pylist(), strict=True):
+            if not is_empty(s := visible(t)) and not is_refusal(s) and not _BROKEN_OFF.search(s):
+                sentences, marked = sentences_of(s)
+                got.append((g, "\n".join(" ".join(x) for x in sentences), marked))
+        if got:
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*got, strict=True), (pa.int64(), pa.string(), pa.bool_()), strict=True)], names=["group", "words", "marked"])
+
+
+def _split(b: pa.RecordBatch) -> Iterator[tuple[list[list[str]], bool]]:
+    for words, marked in zip(b.column("words").to_pylist(), b.column("marked").to_pylist(), strict=True):
+        yield [s.split() for s in words.split("\n")], marked
+
+
+def _rows(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = {(w, last, g) for g, x in zip(b.column("group").to_pylist(), _split(b), strict=True) for w, last in words_in(*x)}
+        yield _rows(list(got), word=pa.string(), last=pa.bool_(), group=pa.int64())
+
+
+def _prompt_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        count = Counter(w for t in set(b.column(0).to_pylist()) for w in _TOKEN.findall(t.lower()))
+        yield _rows(list(count.items()), word=pa.string(), n=pa.int64())
+
+
+def fit_endings(pairs: DataFrame, words: int = 300_000, contexts: int = 1_000_000) -> Endings:
+    """Learned from all responses that are not empty, refusals or visibly broken off, repeated rows once. The few that break off
+    without a mark end where most others go on. Only contexts that some unmarked text ends with are counted. Bounds, by
+    frequency: the words of responses and as many of prompts, and the contexts, that are in most texts."""
+    rows = pairs.where("response is not null").select("source", "id", F.col("group").cast("long").alias("group"), "prompt", "response").distinct()
+    answers = materialize(rows.select("group", "response").mapInArrow(_answers, "group long, words string, marked boolean"), "answers")
+    each = answers.mapInArrow(_words, "word string, last boolean, group long").distinct().groupBy("word", "last").agg(F.count("*").alias("n"))
+    found = each.orderBy(F.desc("n"), "word").limit(words).collect()
+    asked = pairs.where("response is not null and prompt is not null").select("prompt").distinct().mapInArrow(_prompt_words, "word string, n long")
+    prompts = asked.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()
+    e = Endings([])
+    groups = answers.select("group").distinct().count()
+    e._know({r.word: r.n for r in found if not r["last"]}, {r.word: r.n for r in found if r["last"]}, {r.word for r in prompts}, groups)
+    e.counted = True
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _rows([(w, *n) for w, n in e.neighbours(_split(b)).items()], word=pa.string(), n=pa.int64(), after=pa.int64(), last=pa.int64())
+
+    near = answers.mapInArrow(neighbours, "word string, n long, after long, last long").groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "after", "last")])
+    e._follow({r.word: (r.n, r.after, r["last"]) for r in near.collect()})
+
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = Counter(x for t in _split(b) for x in e.sequences(*t))
+            yield _rows([(*k, n) for k, n in got.items()], classes=pa.string(), ends=pa.bool_(), n=pa.int64())
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = Counter(c for s, marked in _split(b) if not marked and s[-1] for c in e.contexts(e.classes(s[-1])))
+            yield _rows(list(got.items()), context=pa.string(), n=pa.int64())
+
+    asked = answers.where("not marked").mapInArrow(ends, "context string, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    of = {r.context for r in asked.orderBy(F.desc("n"), "context").limit(contexts).collect()}
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = e.tally((((c, x), n) for c, x, n in zip(*(c.to_pylist() for c in b.columns), strict=True)), of)
+            yield _rows([(k, *n) for k, n in got.items()], context=pa.string(), ended=pa.int64(), seen=pa.int64())
+
+    told = answers.mapInArrow(sequences, "classes string, ends boolean, n long").groupBy("classes", "ends").agg(F.sum("n").alias("n"))
+    total = told.mapInArrow(counts, "context string, ended long, seen long").groupBy("context").agg(F.sum("ended").alias("ended"), F.sum("seen").alias("seen"))
+    e.counts = {r.context: (r.ended, r.seen) for r in total.collect()}
+    return e
 
 
 def defective_pairs(pairs: DataFrame, languages: Languages, endings: Endings, margin: float = 4.0, copied: float = 0.47) -> DataFrame:

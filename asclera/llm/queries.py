@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from asclera.llm import confusables, leakage, neardup, packing, pairs, reading, splits, sql
 from asclera.llm.languages import fit_languages
+from asclera.runtime import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,7 @@ def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = _table(spark, sf_dir, "run_eval").select("pred_id", "pair_id", "preds").join(questions, "pair_id", "left")
     own = m.select(F.lit("meqsum").alias("source"), F.col("pair_id").alias("id"), F.col("pair_id").alias("group"), F.col("chq").alias("prompt"), F.col("summary").alias("response"))
     given = own.unionByName(runs.select(F.lit("run_eval").alias("source"), F.col("pred_id").alias("id"), F.col("pair_id").alias("group"), "prompt", F.col("preds").alias("response")))
+    given = materialize(given.distinct(), "pairs")
     return pairs.defective_pairs(given, fit_languages(_table(spark, sf_dir, "documents")), pairs.fit_endings(given))
 
 

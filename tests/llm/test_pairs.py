@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from asclera.llm import pairs as D
@@ -68,6 +70,21 @@ def test_defects(spark):
     assert D.defective_pairs(df.where("false"), LANGS, ENDINGS).count() == 0
 
 
+def test_endings_are_counted_over_all_responses_and_less_the_texts_own(spark):
+    rows = [("m", k, k, "the prompt", t) for k, t in answers()] + [("m", 0, 0, "the prompt", next(answers())[1])]
+    rows += [("r", k, k, None, f"Common words here number {k}.") for k in range(13_000)] + [("r", 20_000, 1, None, "Side effects of"), ("r", 20_001, 2, None, "")]
+    e = D.fit_endings(spark.createDataFrame(rows, "source string, id long, group long, prompt string, response string"))
+    assert e.counts["^ side effects of"] == (1, 41) and e.counts["of"] == (1, 81)  # as many as there are, none left out
+    assert e.breaks_off("Side effects of") and {"prompt", "zolpamine"} <= e.whole and "number" in e.known
+    own = e.tally(Counter(e.sequences(*D.sentences_of("Side effects of"))).items())
+    assert own["^ side effects of"] == (1, 1)
+
+
+def test_a_batch_without_defects(spark):
+    df = spark.createDataFrame([("m", 1, EN[0], "What are the side effects of zolpamine in older adults?")], "source string, id long, prompt string, response string")
+    assert D.defective_pairs(df, LANGS, ENDINGS).count() == 0
+
+
 def test_tags_and_languages():
     assert [language_of_tag(t) for t in ("EN", "en-US", "fra", "und", None, "", "gr")] == ["en", "en", "fr", None, None, None, "el"]
     assert LANGS.best([EN[1], FR[1], DE[1]]) == ["en", "fr", "de"] and LANGS.scores(["", "123"]).tolist() == [[0, 0, 0]] * 2
