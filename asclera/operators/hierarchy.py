@@ -19,7 +19,8 @@ from asclera.operators.components import connected_components
 from asclera.runtime import materialize, partitions_for
 
 ROW = "node string, parent string, root_node string, depth long, path array<string>, state string"
-#: state of a node: in a tree, on a cycle, closing a cycle (its link to its parent is the back edge), or below one.
+#: state of a node: in a tree, on a cycle, closing a cycle (its link to its parent is the back edge), or below one. The back
+#: edge of a cycle is the link to its least node, where a walk from that node comes back.
 TREE, ON_CYCLE, BACK_EDGE, BELOW = "tree", "cycle", "back_edge", "below_cycle"
 
 
@@ -63,8 +64,9 @@ def traverse(links: list[tuple[str, str]]) -> list[tuple]:
             walk.append(node)
             node = parent[node]
         loop = set(walk[walk.index(node) :]) if state[node] == grey else set()
+        least = min(loop, default=None)
         for n in walk:
-            state[n] = (BACK_EDGE if n == walk[-1] else ON_CYCLE) if n in loop else BELOW
+            state[n] = (BACK_EDGE if parent[n] == least else ON_CYCLE) if n in loop else BELOW
     out.extend((n, parent[n], "", -1, [], s) for n, s in state.items())
     return out
 
@@ -103,6 +105,19 @@ def _rounds(start: DataFrame, paths: bool, max_rounds: int, most: int) -> tuple[
     return rested, moving
 
 
+def _least_of_loops(loop: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, least) of the nodes (node, parent) of loops: the least of the nodes within a doubling number of steps up, until
+    it is the whole loop's for every node."""
+    most = loop.count()
+    seen = materialize(loop.select("node", F.col("parent").alias("above"), F.col("node").alias("least")), "loops")
+    for r in range(max_rounds):
+        if 2**r >= most:
+            break
+        beyond = seen.select(F.col("node").alias("above"), F.col("above").alias("above2"), F.col("least").alias("least2"))
+        seen = materialize(seen.join(beyond, "above").select("node", F.col("above2").alias("above"), F.least("least", "least2").alias("least")), "loops")
+    return seen.select("node", "least")
+
+
 def _doubled(links: DataFrame, max_rounds: int) -> DataFrame:
     """The rows of components too large for a task, by pointer doubling: first which nodes ever see a root, without paths;
     then the paths of those, so that none is kept for a node on or below a cycle."""
@@ -114,8 +129,10 @@ def _doubled(links: DataFrame, max_rounds: int) -> DataFrame:
     endless = materialize(endless, "endless")
     rested, _ = _rounds(start.join(endless.select("node"), "node", "left_anti"), True, max_rounds, most)
     tree = rested.select("node", "parent", F.col("above").alias("root_node"), F.size("seen").cast("long").alias("depth"), F.concat(F.array("above"), "seen").alias("path"), F.lit(TREE).alias("state"))
-    on = endless.select(F.col("above").alias("node")).distinct().withColumn("on", F.lit(True))  # after so many steps each is on a cycle
-    loop = endless.join(on, "node", "left").select("node", "parent", F.lit("").alias("root_node"), F.lit(-1).cast("long").alias("depth"), F.array().cast("array<string>").alias("path"), F.when(F.col("on"), ON_CYCLE).otherwise(BELOW).alias("state"))
+    on = endless.select(F.col("above").alias("node")).distinct()  # after so many steps each is on a cycle
+    least = _least_of_loops(endless.join(on, "node", "left_semi").select("node", "parent"), max_rounds)
+    state = F.when(F.col("least") == F.col("parent"), BACK_EDGE).when(F.col("least").isNotNull(), ON_CYCLE).otherwise(BELOW)
+    loop = endless.join(least, "node", "left").select("node", "parent", F.lit("").alias("root_node"), F.lit(-1).cast("long").alias("depth"), F.array().cast("array<string>").alias("path"), state.alias("state"))
     return tree.unionByName(loop)
 
 

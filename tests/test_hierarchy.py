@@ -43,6 +43,16 @@ def test_states(spark):
     assert {(r.node, r.back_edge) for r in H.cycles(h).collect()} == {("a", False), ("b", True)}
 
 
+def test_states_are_the_same_by_doubling(spark):
+    rng = random.Random(6)
+    links = [(f"n{i}", f"n{rng.randrange(40)}") for i in range(40)] + [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("self", "self"), ("below", "self")]
+    ring = [f"r{i}" for i in rng.sample(range(100), 37)]
+    links += list(zip(ring, ring[1:] + ring[:1], strict=True)) + [(f"x{i}", r) for i, r in enumerate(ring[:5])]
+    df = spark.createDataFrame(links, LINKS)
+    one, doubled = ({r.node: r.state for r in H.hierarchy(df, most=m, one_task=t).collect()} for m, t in ((200_000, 300_000), (1, 0)))
+    assert one == doubled and doubled["c"] == doubled["self"] == "back_edge" and sum(doubled[r] == "back_edge" for r in ring) == 1
+
+
 def test_descendants(spark):
     h = H.hierarchy(spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "a")], LINKS))
     assert {tuple(r) for r in H.descendants(h).collect()} == {("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)}
