@@ -1,9 +1,9 @@
-"""Test items that leak into training documents: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Test items that leak into training documents: n-gram seeds, then Smith-Waterman alignment of words.
 
 Words are compared in the consistent form of ``confusables`` and in lower case, so that case, punctuation, spacing, line
-layout and look-alike characters make no difference. A seed is an n-gram that no more than ``rare`` items have. A document
-is aligned to an item near every place where at least ``seeds`` seeds of the item lie on nearly one diagonal; the alignment
-decides. Gaps have an opening and a small extension cost, so that a sentence put between two copied ones does not end it.
+layout and look-alike characters make no difference. Every n-gram of an item is a seed, however many
+items have it. A document is aligned to an item near every place where at least ``seeds`` seeds of the item lie on nearly one
+diagonal (fewer if ``share`` of a short item has fewer n-grams, but one at least); the alignment decides. Gaps have an opening and a small extension cost, so that a sentence put between two copied ones does not end it.
 
 Items are the stated query set: they go to every task in blocks of at most ``block`` items, one pass over the documents
 a block. Defined results: null or empty items and documents give no rows; repeated rows give one row; several items with
@@ -33,11 +33,10 @@ _COUNT = 1 << 20  # the number of matches rides in the low bits of the score
 @dataclass(frozen=True)
 class Leakage:
     """share: least part of the item's words in the alignment. n: words in a seed. band: diagonals between seeds that count
-    as one. rare: items that may share a seed. block: items in a pass."""
+    as one. block: items in a pass."""
 
     share: float = 0.4
     n: int = 3
-    rare: int = 2
     seeds: int = 3
     band: int = 6
     block: int = 20_000
@@ -72,7 +71,11 @@ class _Index:
 
     def __init__(self, items: list[tuple[int, list[str]]], p: Leakage):
         self.p = p
-        self.ids = [i for i, _ in items]
+        same: dict[tuple[str, ...], list[int]] = {}
+        for i, ws in items:
+            same.setdefault(tuple(ws), []).append(i)
+        items = [(ids, ws) for ws, ids in same.items()]
+        self.ids = [ids for ids, _ in items]
         self.vocab: dict[str, int] = {}
         self.words = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int64) for _, ws in items]
         self.base = len(self.vocab) + 1
@@ -85,11 +88,9 @@ class _Index:
             item.append(np.full(len(c), k))
             place.append(np.arange(len(c)))
         code, item, place = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in (codes, item, place))
-        each = np.unique(np.stack([code, item]), axis=1)[0]
-        value, count = np.unique(each, return_counts=True)
-        keep = np.isin(code, value[count <= p.rare])
-        order = np.argsort(code[keep], kind="stable")
-        self.code, self.item, self.place = code[keep][order], item[keep][order], place[keep][order]
+        self.asked = np.array([max(1, min(p.seeds, int(np.ceil(p.share * len(w) - 1e-9)) - p.n + 1)) for w in self.words], np.int64)
+        order = np.argsort(code, kind="stable")
+        self.code, self.item, self.place = code[order], item[order], place[order]
         self.unique, self.first = np.unique(self.code, return_index=True)
         self.many = np.diff(np.append(self.first, len(self.code)))
 
@@ -130,12 +131,12 @@ class _Index:
         diagonal = at - place
         order = np.lexsort((diagonal, item, doc))
         at, doc, item, diagonal = at[order], doc[order], item[order], diagonal[order]
-        # at least `seeds` hits of the item within `band` diagonals
-        k = p.seeds - 1
-        if len(at) <= k:
+        # at least as many hits of the item as asked for within `band` diagonals
+        if not len(at):
             return
-        near = (doc[k:] == doc[:-k]) & (item[k:] == item[:-k]) & (diagonal[k:] - diagonal[:-k] <= p.band)
-        w = np.flatnonzero(near)
+        to = np.arange(len(at)) + self.asked[item] - 1
+        end = np.minimum(to, len(at) - 1)
+        w = np.flatnonzero((to == end) & (doc[end] == doc) & (item[end] == item) & (diagonal[end] - diagonal <= p.band))
         if not len(w):
             return
         lo = diagonal[w] - p.band - np.array([len(x) for x in self.words])[item[w]]
@@ -184,10 +185,10 @@ def _search(index: _Index):
                     words += w
                     counts.append(len(w))
                 ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-                got = index.leaks(ids, np.array(counts, np.int64))
+                got = [(d, i, s) for d, k, s in index.leaks(ids, np.array(counts, np.int64)) for i in index.ids[k]]
                 doc = part.column(0).to_pylist()
                 yield pa.record_batch(
-                    [pa.array([doc[d] for d, _, _ in got], pa.int64()), pa.array([index.ids[i] for _, i, _ in got], pa.int64()), pa.array([s for _, _, s in got], pa.float64())],
+                    [pa.array([doc[d] for d, _, _ in got], pa.int64()), pa.array([i for _, i, _ in got], pa.int64()), pa.array([s for _, _, s in got], pa.float64())],
                     names=["doc_id", "item_id", "share"],
                 )
 

@@ -67,3 +67,14 @@ def test_empty_tables(found):
     d, i, _ = found
     for docs, items in ((d.where("false"), i), (d, i.where("false"))):
         assert L.find_leaks(docs, items, "doc_id", "text", "item_id", "item_text").count() == 0
+
+
+def test_finds_items_in_many_copies_and_versions_and_short_ones(spark):
+    base = [f"word{i}" for i in range(50)]
+    versions = [[*base[:k], f"other{k}", *base[k + 1 :]] for k in (5, 20, 35, 45)]
+    short = "seven short words make one little item plus".split()
+    items = [(i, " ".join(base)) for i in range(5)] + [(10 + i, " ".join(v)) for i, v in enumerate(versions)] + [(20, " ".join(short))]
+    docs = [(1, "before " + " ".join(base) + " after"), (2, "x " + " ".join(base[22:44]) + " y"), (3, "nothing of it"), (4, "z " + " ".join(short[2:6]) + " z")]
+    got = L.find_leaks(spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame(items, "i long, t string"), "d", "t", "i", "t")
+    want = {(d, i) for d in (1, 2) for i in [*range(5), *range(10, 14)]} | {(4, 20)}
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
