@@ -3,11 +3,14 @@
 Words are compared in the consistent form of ``confusables`` and in lower case, so that case, punctuation, spacing, line
 layout and look-alike characters make no difference. Every n-gram of an item is a seed, however many
 items have it. A document is aligned to an item near every place where at least ``seeds`` seeds of the item lie on nearly one
-diagonal (fewer if ``share`` of a short item has fewer n-grams, but one at least); the alignment decides. Gaps have an opening and a small extension cost, so that a sentence put between two copied ones does not end it.
-
-Items are the stated query set: they go to every task in blocks of at most ``block`` items, one pass over the documents
-a block. Defined results: null or empty items and documents give no rows; repeated rows give one row; several items with
-the same text are each reported; items of fewer words than an n-gram are not searched for.
+diagonal (fewer if ``share`` of a short item has fewer n-grams, but one at least), unless the longest common subsequence of
+item and place, which no alignment can exceed, is too short; the alignment decides. Gaps have an opening and a small
+extension cost, so that a sentence put between two copied ones does not end it.
+
+Items are the stated query set: they go to every task in blocks of at most ``block`` items and ``block_chars`` characters
+(about), one pass over the documents a block. Defined results: null or empty items and documents give no rows; repeated
+rows give one row; several items with the same text are each reported; an item of fewer words than an n-gram is reported
+where all of it occurs in one place.
 """
 
 from __future__ import annotations
@@ -33,13 +36,14 @@ _COUNT = 1 << 20  # the number of matches rides in the low bits of the score
 @dataclass(frozen=True)
 class Leakage:
     """share: least part of the item's words in the alignment. n: words in a seed. band: diagonals between seeds that count
-    as one. block: items in a pass."""
+    as one. block, block_chars: items, and their characters, in a pass."""
 
     share: float = 0.4
     n: int = 3
     seeds: int = 3
     band: int = 6
     block: int = 20_000
+    block_chars: int = 16_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -93,9 +97,13 @@ class _Index:
         self.code, self.item, self.place = code[order], item[order], place[order]
         self.unique, self.first = np.unique(self.code, return_index=True)
         self.many = np.diff(np.append(self.first, len(self.code)))
+        self.length = np.array([len(w) for w in self.words], np.int64)
+        self.short = {n: dict(zip((int(self.codes(self.words[k], n)[0]) for k in own), own, strict=True)) for n in range(1, p.n) if (own := np.flatnonzero(self.length == n).tolist())}
+        self.bits: list[dict[int, int] | None] = [None] * len(self.words)
 
-    def codes(self, w: np.ndarray) -> np.ndarray:
-        n = self.p.n
+    def codes(self, w: np.ndarray, n: int | None = None) -> np.ndarray:
+        """A code of each n-gram."""
+        n = n or self.p.n
         if len(w) < n:
             return np.empty(0, np.int64)
         c = np.zeros(len(w) - n + 1, np.int64)
@@ -103,6 +111,30 @@ class _Index:
             c = c * self.base + w[k : len(w) - n + 1 + k]
         return c
 
+    def can_reach(self, item: int, words: list[int]) -> bool:
+        """Whether the longest common subsequence with the item is long enough: bit-parallel, in one integer."""
+        bits = self.bits[item]
+        if bits is None:
+            bits = self.bits[item] = {}
+            for k, w in enumerate(self.words[item].tolist()):
+                bits[w] = bits.get(w, 0) | 1 << k
+        n = len(self.words[item])
+        every = row = (1 << n) - 1
+        for b in filter(None, map(bits.get, words)):
+            hit = row & b
+            row = ((row + hit) | (row - hit)) & every
+        return n - row.bit_count() >= self.p.share * n - 1e-9
+
+    def whole_short_items(self, ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(document, item, 1.0) where all words of an item shorter than an n-gram stand in one place."""
+        start = np.cumsum(counts) - counts
+        for n, own in self.short.items():
+            code = self.codes(ids, n)
+            at = np.flatnonzero(np.isin(code, list(own)))
+            doc = np.searchsorted(start, at, "right") - 1
+            at, doc = (x[at + n <= start[doc] + counts[doc]] for x in (at, doc))
+            yield from {(d, own[c], 1.0) for d, c in zip(doc.tolist(), code[at].tolist(), strict=True)}
+
     def candidates(self, ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, from, to): windows of documents, given as the word ids of all of them one after another."""
         p = self.p
@@ -139,8 +171,8 @@ class _Index:
         w = np.flatnonzero((to == end) & (doc[end] == doc) & (item[end] == item) & (diagonal[end] - diagonal <= p.band))
         if not len(w):
             return
-        lo = diagonal[w] - p.band - np.array([len(x) for x in self.words])[item[w]]
-        hi = diagonal[w] + p.band + 2 * np.array([len(x) for x in self.words])[item[w]]
+        lo = diagonal[w] - p.band - self.length[item[w]]
+        hi = diagonal[w] + p.band + 2 * self.length[item[w]]
         lo, hi = np.maximum(lo, start[doc[w]]), np.minimum(hi, start[doc[w]] + counts[doc[w]])
         last = None
         for d, i, a, b in zip(doc[w].tolist(), item[w].tolist(), lo.tolist(), hi.tolist(), strict=True):
@@ -154,8 +186,10 @@ class _Index:
 
     def leaks(self, ids: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, float]]:
         """(document, item, share of the item's words) of those that reach the threshold."""
-        out: dict[tuple[int, int], float] = {}
-        todo = sorted(self.candidates(ids, counts), key=lambda c: (len(self.words[c[1]]), c[3] - c[2]))
+        out: dict[tuple[int, int], float] = {(d, i): s for d, i, s in self.whole_short_items(ids, counts)} if self.short else {}
+        words = ids.tolist()
+        near = [c for c in self.candidates(ids, counts) if self.can_reach(c[1], words[c[2] : c[3]])]
+        todo = sorted(near, key=lambda c: (len(self.words[c[1]]), c[3] - c[2]))
         while todo:
             part, cells = [], 0
             while todo and len(part) < 512 and (not part or cells < 200_000):
@@ -200,11 +234,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str, doc_text: str, it
     p = params or Leakage()
     given = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
     texts = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(doc_text).cast("string").alias("text")).where("text is not null"))
-    blocks = max(1, -(-given.count() // p.block))
+    size = given.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size.n // p.block), -(-size.chars // p.block_chars))
     out = None
     for k in range(blocks):
         block = given.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        index = _Index([(r.i, w) for r in block.collect() if len(w := words_of(r.t)) >= p.n], p)
+        index = _Index([(r.i, w) for r in block.collect() if (w := words_of(r.t))], p)
         found = texts.mapInArrow(_search(index), "doc_id long, item_id long, share double")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))

@@ -53,14 +53,29 @@ def found(spark):
         13: " ".join(items[100][:15] + noise(400) + items[100][15:24]),
     }
     rows = [(k, v, "x") for k, v in docs.items()] + [(1, docs[1], "again")] + [(500 + i, " ".join(items[104]), "hot") for i in range(8)]
-    it = [(k, " ".join(v), "y") for k, v in items.items()] + [(100, " ".join(items[100]), "again"), (900, " ".join(items[100]), "same"), (901, None, ""), (902, "", ""), (903, "two words", "")]
+    it = [(k, " ".join(v), "y") for k, v in items.items()] + [(100, " ".join(items[100]), "again"), (900, " ".join(items[100]), "same"), (901, None, ""), (902, "", ""), (903, "two words", ""), (904, "Word2,", ""), (905, "word2 word1", "")]
     d, i = spark.createDataFrame(rows, "doc_id long, text string, item_id string"), spark.createDataFrame(it, "item_id long, item_text string, doc_id string")
-    return d, i, [{(r.doc_id, r.item_id) for r in L.find_leaks(d, i, "doc_id", "text", "item_id", "item_text", p).collect()} for p in (None, L.Leakage(block=2))]
+    return d, i, [{(r.doc_id, r.item_id) for r in L.find_leaks(d, i, "doc_id", "text", "item_id", "item_text", p).collect()} for p in (None, L.Leakage(block=2), L.Leakage(block_chars=500))]
 
 
 def test_leaks(found):
-    want = {(1, 100), (1, 900), (2, 101), (3, 102), (6, 104), (7, 105), (8, 100), (8, 900), (12, 103)} | {(500 + i, 104) for i in range(8)}
-    assert found[2] == [want, want]
+    want = {(1, 100), (1, 900), (2, 101), (3, 102), (6, 104), (7, 105), (8, 100), (8, 900), (12, 103), (11, 904)} | {(500 + i, 104) for i in range(8)}
+    for got in found[2]:
+        assert {(d, i) for d, i in got if i != 904 or d == 11} == want
+        assert all(d in (1, 2, 3, 4, 5, 6, 7, 8, 12, 13) or d >= 500 for d, i in got if i == 904 and d != 11)
+
+
+def test_short_items_whole_and_recall_by_rate_of_edits(spark):
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(4000)]
+    items = [rng.choices(words, k=60) for _ in range(120)]
+    docs = [(1000 * r + k, " ".join(rng.choices(words, k=40) + [rng.choice(words) if rng.random() * 100 < r else w for w in item] + rng.choices(words, k=40))) for r in (5, 10, 15, 20) for k, item in enumerate(items)]
+    got = L.find_leaks(spark.createDataFrame(docs, "d long, t string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "i long, t string"), "d", "t", "i", "t")
+    rates = {r: 0 for r in (5, 10, 15, 20)}
+    for d, i, _ in got.collect():
+        assert d % 1000 == i
+        rates[d // 1000] += 1
+    assert rates[5] == rates[10] == 120 and rates[15] >= 114 and rates[20] >= 102
 
 
 def test_empty_tables(found):
