@@ -1,16 +1,20 @@
-"""Near-duplicate texts: candidates that miss no pair, then exact verification of the multiset word overlap.
+"""Near-duplicate texts by tensored minhash banding, then exact verification of the multiset word overlap.
 
 A text is the multiset of its words. Texts with equal multisets form one *class*; everything after the first pass works on
-classes, so that copies cost nothing however many there are.
+classes, so that copies cost nothing however many there are. A class is named by 128 bits of an order-free hash.
 
-Candidates (``exact``): in one order of all features, rarest first, a class of n features emits its first n - t n + 1. Two
-classes whose overlap reaches t have one of these in common, and 256 parities of their features differ in no more places
-than the features do. So no pair is lost, but the pairs that are compared grow with the square of the classes.
+Candidates: a repetition has a left and a right collection of *halves*, each the combination of ``rows`` minhashes, and its
+table keys are all pairs of a left and a right half. 3 repetitions of 8 x 8 halves of 3 minhashes are 192 keys of 6 minhashes
+each from 144 minhashes, where independent keys would take 1,152. A class is shuffled once a left half, with the right halves
+of the repetition in the same row, so that 24 rows stand for its 192 keys. Two texts of one length and overlap 0.80 meet with
+probability 0.998, at 0.85 with 0.99997 (``Banding.recall``). In tables of very many classes longer keys make fewer chance
+meetings; ``Banding.tuned`` gives the repetitions that they take.
 
-Without ``exact`` candidates come from tensored minhash banding, which is faster on large tables but misses pairs: a class
-emits ``repetitions * left * right`` table keys, each the combination of one *half* of the left and one of the right
-collection of a repetition, and a half is the combination of ``rows`` minhashes. So 48 keys of 10 minhashes each take 120
-minhashes in place of 480; of the pairs at overlap 0.80 they meet 0.46, at 0.85 0.78.
+Classes that meet are compared by their lengths and by one bit of each of 56 minhashes; what is left is verified exactly.
+
+Hot halves: a bounded sample of the texts tells, before the shuffle, which left halves very many classes will have. Their
+rows go under their whole keys instead, and keys that are still hot are split into blocks, a task for each pair of blocks. So
+do left halves that turn out hot only where they meet; they are streamed past, never held.
 
 Defined results: null texts and texts without a word take part in nothing; a text id that occurs more than once with the
 same text counts once; other columns of the input are ignored, whatever their names; an empty table gives empty results.
@@ -30,42 +34,45 @@ from asclera.llm.words import WordHashes, mix, multiset_features
 from asclera.operators.components import connected_components
 from asclera.runtime import materialize, partitions_for, small, spread
 
+#: Sketch bits in the label of a class, and in the key of a row beside the number of words (or LONGEST).
+_LABEL_BITS, _KEY_BITS, _LONGEST = 44, 12, 4095
+_ROW = "key long, label long, r0 long, r1 long"
+
 
 @dataclass(frozen=True)
 class Banding:
-    """threshold: least word overlap. sketch_bits: of the 32 sketch bits of two classes, so many must agree (two texts that
-    share J of their words agree in (1 + J) / 2 of them; overlap 0.8 is J 0.67 at least, of which fewer than 20 of 32 agree
-    in less than 0.4 % of the cases). hot: classes of one bucket that are compared in one task; more are compared in blocks.
-    exact: find all pairs; repetitions, left, right, rows and sketch_bits are for banding only. ordered: texts that the order
-    of the features is taken from (any order gives the same pairs), and features that have a place of their own in it."""
+    """threshold: least word overlap. apart: by so many standard deviations the sketches of two classes may agree in less than
+    the threshold lets expect (one pair in some thousands does at 3.5). hot: classes of one key that are compared in one task;
+    more are compared in blocks. sampled: texts, about, that hot halves are looked for in before the shuffle."""
 
     threshold: float = 0.8
     repetitions: int = 3
-    left: int = 4
-    right: int = 4
-    rows: int = 5
-    sketch_bits: int = 21
+    left: int = 8
+    right: int = 8
+    rows: int = 3
+    apart: float = 3.5
     hot: int = 16_384
+    sampled: int = 20_000
     seed: int = 7
-    exact: bool = True
-    ordered: int = 20_000
 
-    @property
-    def keys(self) -> int:
-        return self.repetitions * self.left * self.right
+    def __post_init__(self):
+        if not 1 <= self.right <= 8 or self.hashes < _LABEL_BITS + _KEY_BITS:
+            raise ValueError("1 to 8 right halves, and 56 minhashes at least")
 
     @property
     def hashes(self) -> int:
         return self.repetitions * (self.left + self.right) * self.rows
 
+    def recall(self, overlap: float, ratio: float = 1.0) -> float:
+        """The probability that two texts of this overlap, the shorter ``ratio`` times as long, meet in a key."""
+        half = (overlap / (1 + ratio - overlap)) ** self.rows
+        return 1 - (1 - (1 - (1 - half) ** self.left) * (1 - (1 - half) ** self.right)) ** self.repetitions
 
-def _class_ids(features: np.ndarray, starts: np.ndarray, mins: np.ndarray) -> np.ndarray:
-    """32 bits of an order-free hash of the whole multiset, then one bit of each of 32 minhashes."""
-    exact = mix(np.add.reduceat(features, starts)) >> np.uint64(32)
-    sketch = np.zeros(len(starts), np.uint64)
-    for i in range(32):
-        sketch |= ((mins[i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)) << np.uint64(i)
-    return (exact << np.uint64(32)) | sketch
+    @classmethod
+    def tuned(cls, recall: float, rows: int, **others) -> Banding:
+        """With keys of 2 ``rows`` minhashes and as many repetitions as reach the recall at the threshold."""
+        n = next(n for n in range(1, 10_000) if n * rows * 16 > 56 and cls(**{**others, "rows": rows, "repetitions": n}).recall(others.get("threshold", cls.threshold)) >= recall)
+        return cls(**{**others, "rows": rows, "repetitions": n})
 
 
 def _minhashes(features: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -78,285 +85,246 @@ def _minhashes(features: np.ndarray, starts: np.ndarray, n: int, seed: int) -> n
 
 
 def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _texts(batch: pa.RecordBatch, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, features, first feature of each text and number of features, of the texts that have a word."""
-    features, counts = multiset_features([t or "" for t in batch.column(1).to_pylist()], hashes)
-    has = counts > 0
-    ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False))[has]
-    counts = counts[has]
-    return ids, features, np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64) if len(counts) else counts, counts
+def _texts(batch: pa.RecordBatch, hashes: WordHashes, each: int = 2000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, features, first feature of each text and number of features, of the texts that have a word, some at a time."""
+    for at in range(0, batch.num_rows, each):
+        part = batch.slice(at, each)
+        features, counts = multiset_features([t or "" for t in part.column(1).to_pylist()], hashes)
+        has = counts > 0
+        if has.any():
+            counts = counts[has]
+            yield np.asarray(part.column(0).to_numpy(zero_copy_only=False))[has], features, np.cumsum(counts) - counts, counts
 
 
-def _keys_of(b: Banding):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        for batch in batches:
-            ids, features, starts, _ = _texts(batch, hashes)
-            if not len(ids):
-                continue
-            mins = _minhashes(features, starts, b.hashes, b.seed)
-            cls = _class_ids(features, starts, mins)
-            # copies within a task are left out before the shuffle; the set is emptied, not grown without bound
-            if len(seen) > 500_000:
-                seen.clear()
-            new = [i for i, c in enumerate(cls.tolist()) if c not in seen and not seen.add(c)]
-            cls, mins = cls[new], mins[:, new].astype(np.uint64)
-            halves = mins.reshape(b.repetitions * (b.left + b.right), b.rows, -1)
-            folded = halves[:, 0]
-            for r in range(1, b.rows):
-                folded = mix(folded * np.uint64(0x100000001B3) + halves[:, r])
-            folded = folded.reshape(b.repetitions, b.left + b.right, -1)
-            for rep in range(b.repetitions):
-                for i in range(b.left):
-                    salt = np.uint64((rep << 16) | (i << 8))
-                    keys = [mix(folded[rep, i] * np.uint64(0x9E3779B97F4A7C15) + folded[rep, b.left + j] + salt + np.uint64(j)) for j in range(b.right)]
-                    yield pa.record_batch([_signed(np.concatenate(keys)), _signed(np.tile(cls, b.right))], names=["key", "cls"])
-
-    return run
+def _classes(features: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """128 bits of an order-free hash of each multiset, as two columns."""
+    one, two = np.add.reduceat(features, starts), np.add.reduceat(mix(features ^ np.uint64(0xD6E8FEB86659FD93)), starts)
+    return np.stack([mix(one), mix(two)], 1)
 
 
-_ROW = "key long, cls long, n int, rest int, s0 long, s1 long, s2 long, s3 long"
+def _binary(cls: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(cls), [None, pa.py_buffer(np.ascontiguousarray(cls).tobytes())]).cast(pa.binary())
 
 
-def _needed(n: np.ndarray, threshold: float) -> np.ndarray:
-    """Features that a text of n must share with one that is no longer."""
-    return np.ceil(n * (threshold - 1e-9) - 1e-12).astype(np.int64)
+def _sketches(mins: np.ndarray, first: int, n: int) -> np.ndarray:
+    """One bit of each of n minhashes."""
+    out = np.zeros(mins.shape[1], np.uint64)
+    for i in range(n):
+        out |= ((mins[first + i].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)) << np.uint64(i)
+    return out
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        value, n = np.unique(_texts(batch, hashes)[1], return_counts=True)
-        yield pa.record_batch([_signed(value), pa.array(n.astype(np.int64))], names=["f", "n"])
+def _labels(cls: np.ndarray, mins: np.ndarray) -> np.ndarray:
+    """A short name for a class: bits of its hash and its sketch. Classes that share one are compared with each other."""
+    return ((cls[:, 0] >> np.uint64(_LABEL_BITS)) << np.uint64(_LABEL_BITS)) | _sketches(mins, 0, _LABEL_BITS)
 
 
-def _common(texts: DataFrame, n: int, b: Banding) -> np.ndarray:
-    """Features by rising frequency in about ``ordered`` texts. Those that are not among them count as rarer."""
-    some = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(max(1, n // b.ordered))) == 0)
-    counts = some.mapInArrow(_frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where("n > 1")
-    return np.array([r.f for r in counts.orderBy(F.desc("n"), "f").limit(b.ordered).collect()][::-1], np.int64).view(np.uint64)
+def _folded(halves: np.ndarray, salt: int) -> np.ndarray:
+    """One 64-bit hash of the minhashes (rows of ``halves``)."""
+    out = np.full(halves.shape[1], salt + 1, np.uint64)
+    for h in halves:
+        out = mix(out * np.uint64(0x100000001B3) + h)
+    return out
 
 
-def _prefixes_of(b: Banding, common: np.ndarray):
-    """(id, text) -> the rarest features of each class: with cls, features of the class, how many come from this one on, and
-    the parities of all of them."""
-    place = np.argsort(common)
-    value, place = common[place], place + 1
+def _rows_of(b: Banding, hot: np.ndarray, wanted: bool):
+    """(id, text) -> a row for each class and left half; only those whose left half is in ``hot`` (or only those it isn't in).
+    key: 40 bits of the left half, the number of words, bits of the sketch; r0, r1: 16 bits of each right half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
-            ids, features, starts, counts = _texts(batch, hashes)
-            if not len(ids):
-                continue
-            cls = _class_ids(features, starts, _minhashes(features, starts, 32, b.seed))
-            # copies within a task are left out before the shuffle; the set is emptied, not grown without bound
-            if len(seen) > 500_000:
-                seen.clear()
-            new = np.zeros(len(cls), bool)
-            new[[i for i, c in enumerate(cls.tolist()) if c not in seen and not seen.add(c)]] = True
-            cls, features, counts = cls[new], features[np.repeat(new, counts)], counts[new]
-            if not len(cls):
-                continue
-            starts = np.cumsum(counts) - counts
-            at, one = (features >> np.uint64(32)) & np.uint64(255), np.uint64(1) << ((features >> np.uint64(32)) & np.uint64(63))
-            parities = [np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == k, one, np.uint64(0)), starts) for k in range(4)]
-            rank = np.zeros(len(features), np.uint64)
-            if len(value):
-                found = np.minimum(np.searchsorted(value, features), len(value) - 1)
-                rank = np.where(value[found] == features, place[found], 0).astype(np.uint64)
-            doc = np.repeat(np.arange(len(cls), dtype=np.uint64), counts)
-            # stable: features that are equal here stay in the order of their words, which is one for all texts
-            order = np.argsort((doc << np.uint64(48)) | (rank << np.uint64(24)) | (features >> np.uint64(40)), kind="stable")
-            position = np.arange(len(features)) - np.repeat(starts, counts)
-            emitted = position <= np.repeat(counts - _needed(counts, b.threshold), counts)
-            key, doc, position = features[order][emitted], doc[emitted].astype(np.int64), position[emitted]
-            yield pa.record_batch(
-                [_signed(key), _signed(cls[doc]), pa.array(counts[doc].astype(np.int32)), pa.array((counts[doc] - position).astype(np.int32)), *[_signed(s[doc]) for s in parities]],
-                names=["key", "cls", "n", "rest", "s0", "s1", "s2", "s3"],
-            )
-
-    return run
-
-
-def _sharing(cls: np.ndarray, n: np.ndarray, rest: np.ndarray, parities: list[np.ndarray], threshold: float, own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of classes, all with one feature and by rising n, that may reach the threshold; with ``own`` only those
-    of which it differs. Of two classes with no feature in common before this one, each must have enough from it on."""
-    need = _needed(n, threshold)
-    low = np.searchsorted(n, need)
-    every = np.arange(len(n))
-    slack = n - 2 * need
-    for a in range(0, len(n), 32):
-        x = slice(a, min(a + 32, len(n)))
-        for c in range(low[a], x.stop, 2048):
-            y = slice(c, min(c + 2048, x.stop))
-            differ = np.bitwise_count(parities[0][x, None] ^ parities[0][y]).astype(np.int16)
-            for s in parities[1:]:
-                differ += np.bitwise_count(s[x, None] ^ s[y])
-            ok = differ <= (slack[x].astype(np.int16)[:, None] + n[y].astype(np.int16) if n[x.stop - 1] < 1 << 13 else slack[x, None] + n[y])
-            i, j = np.nonzero(ok)
-            i, j = i + a, j + c
-            keep = (every[j] < every[i]) & (rest[j] >= need[i]) & (cls[i] != cls[j])
-            if own is not None:
-                keep &= own[i] != own[j]
-            yield cls[i[keep]], cls[j[keep]]
-
-
-def _meetings(b: Banding):
-    """Rows of ``_prefixes_of`` of one partition -> candidate pairs (a, b); rows of hot features as they are, with a null."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        del got
-        key, cls, n, rest, *parities = (t.column(c).to_numpy() for c in range(8))
-        order = np.lexsort((cls, n, key))
-        key, cls, n, rest = key[order], cls[order], n[order].astype(np.int64), rest[order].astype(np.int64)
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        order, key, cls, n, rest = order[new], key[new], cls[new].view(np.uint64), n[new], rest[new]
-        parities = [s[order].view(np.uint64) for s in parities]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(first, len(key)))
-        hot = np.repeat(size > b.hot, size)
-        if hot.any():
-            rows = t.take(pa.array(order[hot]))
-            empty = pa.nulls(rows.num_rows, pa.int64())
-            yield from pa.table([empty, empty, *rows.columns], names=["a", "b", *rows.column_names]).combine_chunks().to_batches()
-        held, many = [], 0
-        for at, end in zip(first.tolist(), (first + size).tolist(), strict=True):
-            if not 1 < end - at <= b.hot:
-                continue
-            r = slice(at, end)
-            for x in _sharing(cls[r], n[r], rest[r], [s[r] for s in parities], b.threshold):
-                if len(x[0]):
-                    held.append(np.sort(np.stack(x).view(np.int64), axis=0))
-                    many += len(x[0])
-            if many > 1_000_000:
-                held, many = [np.unique(np.concatenate(held, 1), axis=1)], 0
-                if held[0].shape[1] > 2_000_000:
-                    yield _met(held.pop(), t.schema)
-        if held:
-            yield _met(np.unique(np.concatenate(held, 1), axis=1), t.schema)
+            for _, features, starts, counts in _texts(batch, hashes):
+                cls = _classes(features, starts)
+                # copies within a task are left out before the shuffle; the set is emptied, not grown without bound
+                if len(seen) > 300_000:
+                    seen.clear()
+                new = np.zeros(len(cls), bool)
+                new[[i for i, c in enumerate(map(tuple, cls.tolist())) if c not in seen and not seen.add(c)]] = True
+                if not new.any():
+                    continue
+                cls, features, counts = cls[new], features[np.repeat(new, counts)], counts[new]
+                mins = _minhashes(features, np.cumsum(counts) - counts, b.hashes, b.seed)
+                label = _labels(cls, mins)
+                low = (np.minimum(counts, _LONGEST).astype(np.uint64) << np.uint64(_KEY_BITS)) | _sketches(mins, _LABEL_BITS, _KEY_BITS)
+                halves = mins.reshape(b.repetitions, b.left + b.right, b.rows, -1)
+                for rep in range(b.repetitions):
+                    rights = np.zeros((2, len(cls)), np.uint64)
+                    for j in range(b.right):
+                        rights[j // 4] |= (_folded(halves[rep, b.left + j], 0) >> np.uint64(48)) << np.uint64(16 * (j % 4))
+                    for i in range(b.left):
+                        half = _folded(halves[rep, i], rep * b.left + i) >> np.uint64(24)
+                        key = (half << np.uint64(24)) | low
+                        at = np.isin(half, hot) == wanted if len(hot) else slice(None)
+                        yield pa.record_batch([_signed(key[at]), _signed(label[at]), _signed(rights[0, at]), _signed(rights[1, at])], names=["key", "label", "r0", "r1"])
 
     return run
 
 
-def _met(pairs: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1]), *[pa.nulls(pairs.shape[1], f.type) for f in schema]], names=["a", "b", *schema.names])
-
-
-def _hot_meetings(hot: DataFrame, b: Banding) -> DataFrame:
-    """As ``_hot_pairs``, for rows of ``_prefixes_of``."""
-
-    def cell(_: tuple, t: pa.Table) -> pa.Table:
-        t = t.take(pa.array(np.argsort(t.column("n").to_numpy(), kind="stable")))
-        own, n, rest = (t.column(c).to_numpy().astype(np.int64) for c in ("own", "n", "rest"))
-        cls, *parities = (t.column(c).to_numpy().view(np.uint64) for c in ("cls", "s0", "s1", "s2", "s3"))
-        out = [np.stack(p) for p in _sharing(cls, n, rest, parities, b.threshold, own if t.column("i")[0] != t.column("j")[0] else None)]
-        p = np.unique(np.concatenate([np.empty((2, 0), np.uint64), *out], 1).view(np.int64), axis=1)
-        return pa.table({"a": np.minimum(*p), "b": np.maximum(*p)})
-
-    return _cells(hot, b).groupBy("key", "i", "j").applyInArrow(cell, "a long, b long")
-
-
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many of the 32 sketch bits agree."""
-    return 32 - np.bitwise_count((a ^ b) & np.uint64(0xFFFFFFFF))
-
-
-def _pairs(cls: np.ndarray, first: np.ndarray, run: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs within each run of a bucket whose sketches agree; shift by shift, so that no loop goes over single pairs."""
+def _hot_halves(texts: DataFrame, n: int, b: Banding) -> np.ndarray:
+    """Left halves that, by a sample, very many classes have. This decides where rows meet, not whether."""
+    every = max(1, n // b.sampled)
+    some = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(every)) == 0) if every > 1 else texts
+    rows = some.mapInArrow(_rows_of(b, np.empty(0, np.uint64), False), _ROW).select(F.shiftrightunsigned("key", 24).alias("half"), "label").distinct()
+    found = rows.groupBy("half").count().where(F.col("count") >= max(20, b.hot // every)).select("half").collect()
+    return np.array(sorted(r.half for r in found), np.uint64)
+
+
+def _least_agreement(n: np.ndarray, m: np.ndarray, b: Banding) -> np.ndarray:
+    """How many of the 56 sketch bits must agree in texts of n and m words; 57 where the lengths are too different."""
+    most = np.maximum(n, m).astype(float)
+    shared = b.threshold * most
+    known = most < _LONGEST
+    j = np.where(known, shared / np.maximum(n + m - shared, 1e-9), b.threshold / (2 - b.threshold))
+    p = (1 + np.minimum(j, 1)) / 2
+    bits = _LABEL_BITS + _KEY_BITS
+    return np.where(known & (np.minimum(n, m) < shared - 1e-6), bits + 1, bits * p - b.apart * np.sqrt(bits * p * (1 - p)))
+
+
+def _near(key: np.ndarray, label: np.ndarray, x: np.ndarray, y: np.ndarray, b: Banding) -> np.ndarray:
+    """Which of the pairs (x, y) of rows may reach the threshold."""
+    n, m = (((key[i] >> np.uint64(_KEY_BITS)) & np.uint64(_LONGEST)).astype(np.int64) for i in (x, y))
+    ok = np.flatnonzero((np.minimum(n, m) >= b.threshold * np.maximum(n, m) - 1e-6) | (np.maximum(n, m) == _LONGEST))
+    x, y, n, m = x[ok], y[ok], n[ok], m[ok]
+    differ = np.bitwise_count((label[x] ^ label[y]) & np.uint64((1 << _LABEL_BITS) - 1)) + np.bitwise_count((key[x] ^ key[y]) & np.uint64((1 << _KEY_BITS) - 1))
+    return ok[(_LABEL_BITS + _KEY_BITS - differ.astype(np.int64)) >= _least_agreement(n, m, b)]
+
+
+def _meetings(key: np.ndarray, label: np.ndarray, run: np.ndarray, b: Banding) -> Iterator[np.ndarray]:
+    """The pairs of labels within each run (rows of one number in ``run``, which is sorted); shift by shift, so that no loop
+    goes over single pairs."""
+    first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))) if len(run) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(run)))
     shift = 1
-    while len(first):
-        keep = run > shift
-        first, run = first[keep], run[keep]
+    while True:
+        keep = size > shift
+        first, size = first[keep], size[keep]
         if not len(first):
             return
-        n = run - shift
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-        a, c = cls[at], cls[at + shift]
-        near = _agree(a, c) >= bits
-        yield a[near], c[near]
+        n = size - shift
+        x = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        for at in range(0, len(x), 4_000_000):
+            p = x[at : at + 4_000_000]
+            ok = _near(key, label, p, p + shift, b)
+            yield np.stack([label[p[ok]], label[p[ok] + shift]])
         shift += 1
 
 
-def _buckets(b: Banding):
-    """(key, cls) of one partition -> candidate pairs (a, b, false); members of hot buckets as (key, cls, true)."""
+def _pairs_of(held: list[np.ndarray]) -> np.ndarray:
+    p = np.concatenate([np.empty((2, 0), np.uint64), *held], 1).view(np.int64)
+    p = np.sort(p[:, p[0] != p[1]], axis=0)
+    return np.unique(p, axis=1) if p.shape[1] else p
+
+
+def _met(b: Banding, whole: bool, chunk: int = 1_000_000):
+    """Rows in the order of their keys -> candidate pairs (a, b); rows of hot keys as they are, with nulls as a and b.
+
+    Rows of one left half meet if they agree in a right half as well; all rows of one key do if it is ``whole``."""
+
+    def hot_rows(rows: list[np.ndarray]) -> pa.RecordBatch:
+        none = pa.nulls(len(rows[0]), pa.int64())
+        return pa.record_batch([none, none, *map(_signed, rows)], names=["a", "b", "key", "label", "r0", "r1"])
+
+    def pairs(p: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(p.shape[1], pa.int64())
+        return pa.record_batch([pa.array(p[0]), pa.array(p[1]), none, none, none, none], names=["a", "b", "key", "label", "r0", "r1"])
+
+    def compared(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        half = rows[0] >> np.uint64(24)
+        order = np.lexsort((rows[1], half))
+        new = np.ones(len(order), bool)
+        new[1:] = (half[order[1:]] != half[order[:-1]]) | (rows[1][order[1:]] != rows[1][order[:-1]])
+        order = order[new]
+        half = half[order]
+        first = np.flatnonzero(np.concatenate(([True], half[1:] != half[:-1]))) if len(half) else np.empty(0, np.int64)
+        size = np.diff(np.append(first, len(half)))
+        many = np.repeat(size > b.hot, size)
+        if many.any():
+            yield hot_rows([r[order[many]] for r in rows])
+        keep = ~many & np.repeat(size > 1, size)
+        number = np.repeat(np.arange(len(size), dtype=np.uint64), size)[keep]
+        key, label, *rights = (r[order[keep]] for r in rows)
+        held, n = [], 0
+        for j in range(1 if whole else b.right):
+            run = number if whole else (number << np.uint64(16)) | ((rights[j // 4] >> np.uint64(16 * (j % 4))) & np.uint64(0xFFFF))
+            by = np.argsort(run, kind="stable")
+            for p in _meetings(key[by], label[by], run[by], b):
+                held.append(p)
+                n += p.shape[1]
+                if n > 2_000_000:
+                    held, n = [_pairs_of(held).view(np.uint64)], 0
+        yield pairs(_pairs_of(held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
-        if not got:
-            return
-        key, cls = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
-        order = np.argsort(key)
-        key, cls = key[order], cls[order].view(np.uint64)
-        edge = np.concatenate(([True], key[1:] != key[:-1]))
-        first = np.flatnonzero(edge)
-        size = np.diff(np.append(first, len(key)))
-        keep = np.repeat(size > 1, size)
-        key, cls = key[keep], cls[keep]
-        order = np.lexsort((cls, key))
-        key, cls = key[order], cls[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls = key[new], cls[new]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-        size = np.diff(np.append(first, len(key)))
-        hot = np.repeat(size > b.hot, size)
-        if hot.any():
-            yield pa.record_batch([pa.array(key[hot]), _signed(cls[hot]), pa.array(np.ones(hot.sum(), bool))], names=["a", "b", "hot"])
-        held, n = [], 0
-        for a, c in _pairs(cls, first[size <= b.hot], size[size <= b.hot], b.sketch_bits):
-            held.append(np.stack([a, c]))
-            n += len(a)
-            if n > 1_000_000:
-                held, n = [np.unique(np.concatenate(held, 1), axis=1)], 0
-                if held[0].shape[1] > 2_000_000:
-                    yield _pair_batch(held.pop())
-        if held:
-            yield _pair_batch(np.unique(np.concatenate(held, 1), axis=1))
+        held: list[list[np.ndarray]] = []
+        n, streamed = 0, None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy().view(np.uint64) for c in ("key", "label", "r0", "r1")]
+            if streamed is not None:  # the rest of a half that is hot goes on as it comes
+                same = (rows[0] >> np.uint64(24)) == streamed
+                yield hot_rows([r[same] for r in rows])
+                if same.all():
+                    continue
+                rows, streamed = [r[~same] for r in rows], None
+            held.append(rows)
+            n += len(rows[0])
+            if n >= chunk:
+                all_ = [np.concatenate(c) for c in zip(*held, strict=True)]
+                last = all_[0][-1] >> np.uint64(24)
+                cut = int(np.flatnonzero((all_[0] >> np.uint64(24)) == last)[0])
+                if cut:
+                    yield from compared([c[:cut] for c in all_])
+                rest = [c[cut:] for c in all_]
+                _, one = np.unique(rest[1], return_index=True)
+                rest = [c[one] for c in rest]
+                if len(one) > b.hot:
+                    yield hot_rows(rest)
+                    streamed, rest = last, [c[:0] for c in rest]
+                held, n = [rest], len(rest[0])
+        if n:
+            yield from compared([np.concatenate(c) for c in zip(*held, strict=True)])
 
     return run
 
 
-def _pair_batch(p: np.ndarray) -> pa.RecordBatch:
-    a, c = p.view(np.int64)
-    return pa.record_batch([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c)), pa.array(np.zeros(p.shape[1], bool))], names=["a", "b", "hot"])
-
-
-def _cells(hot: DataFrame, b: Banding) -> DataFrame:
-    """The rows of hot buckets in blocks of about ``hot`` classes, once for each pair (i, j) of blocks that ``own`` is in."""
-    sizes = hot.groupBy("key").agg(F.ceil(F.count("*") / b.hot).cast("int").alias("blocks"))
-    return (
-        hot.join(sizes, "key")
-        .withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+def _of_hot(rows: DataFrame, b: Banding) -> DataFrame:
+    """Candidate pairs (a, b) of the rows of hot halves: by their whole keys, and where these are hot too, in blocks."""
+    spark = rows.sparkSession
+    right = [F.shiftrightunsigned(f"r{j // 4}", 16 * (j % 4)).bitwiseAND(F.lit(0xFFFF)) for j in range(b.right)]
+    half = F.xxhash64(F.shiftrightunsigned("key", 24), F.col("j"), F.col("right")).bitwiseAND(F.lit(-1 << 24))
+    each = rows.select("key", "label", F.posexplode(F.array(*right)).alias("j", "right"))
+    zero = F.lit(0).cast("long")
+    each = each.select(half.bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 24) - 1))).alias("key"), "label", zero.alias("r0"), zero.alias("r1"))
+    each = each.repartition(partitions_for(spark, rows.count() * b.right), F.shiftright("key", 24)).sortWithinPartitions("key")
+    found = materialize(each.mapInArrow(_met(b, True), f"a long, b long, {_ROW}"), "hot")
+    candidates, hot = found.where("a is not null").select("a", "b"), found.where("a is null").select(F.shiftright("key", 24).alias("half"), "key", "label")
+    if hot.isEmpty():
+        return candidates
+    hot = hot.distinct()
+    sizes = hot.groupBy("half").agg(F.ceil(F.count("*") / b.hot).cast("int").alias("blocks"))
+    cells = (
+        hot.join(sizes, "half").withColumn("own", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(*hot.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    )
-
-
-def _hot_pairs(hot: DataFrame, b: Banding) -> DataFrame:
-    """All pairs of hot buckets, in blocks of about ``hot`` classes: each pair of blocks is a group of its own."""
+        .select("half", "key", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    )
 
     def cell(_: tuple, t: pa.Table) -> pa.Table:
-        own, cls = t.column("own").to_numpy(), t.column("cls").to_numpy().view(np.uint64)
+        own = t.column("own").to_numpy()
+        key, label = (t.column(c).to_numpy().view(np.uint64) for c in ("key", "label"))
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        left, right, out = cls[own == i], cls[own == j], []
-        for k, x in enumerate(left):
-            others = right[k + 1 :] if i == j else right
-            near = others[_agree(x, others) >= b.sketch_bits]
-            out.append(np.stack([np.full(len(near), x), near]))
-        p = np.concatenate(out, 1).view(np.int64) if out else np.empty((2, 0), np.int64)
-        return pa.table({"a": np.minimum(*p), "b": np.maximum(*p)})
+        x, y, held = np.flatnonzero(own == i), np.flatnonzero(own == j), []
+        step = max(1, 4_000_000 // max(1, len(y)))
+        for at in range(0, len(x), step):
+            p, q = (v.reshape(-1) for v in np.meshgrid(x[at : at + step], y, indexing="ij"))
+            ok = _near(key, label, p, q, b)
+            held.append(np.stack([label[p[ok]], label[q[ok]]]))
+        p = _pairs_of(held)
+        return pa.table({"a": p[0], "b": p[1]})
 
-    return _cells(hot, b).groupBy("key", "i", "j").applyInArrow(cell, "a long, b long")
+    return candidates.unionByName(cells.groupBy("half", "i", "j").applyInArrow(cell, "a long, b long"))
 
 
 def _overlapping(threshold: float):
@@ -373,31 +341,34 @@ def _overlapping(threshold: float):
             f = np.sort((pair << np.uint64(32)) | np.concatenate(lists))
             both = (f[1:][f[1:] == f[:-1]] >> np.uint64(32)).astype(np.int64)
             overlap = np.bincount(both, minlength=n) / np.maximum(counts[:n], counts[n:])
-            ok = overlap >= threshold - 1e-9
-            yield pa.record_batch([x.column("a").filter(pa.array(ok)), x.column("b").filter(pa.array(ok)), pa.array(overlap[ok])], names=["a", "b", "overlap"])
+            ok = pa.array(overlap >= threshold - 1e-9)
+            yield pa.record_batch([x.column("a").filter(ok), x.column("b").filter(ok), pa.array(overlap).filter(ok)], names=["a", "b", "overlap"])
 
     return run
 
 
-def _members_of(b: Banding, features_for_repeats: bool):
-    """(id, text) -> (id, cls), or (cls, features) once a class and task."""
+def _members_of(b: Banding):
+    """(id, text) -> (id, cls, label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, features, starts, counts = _texts(batch, hashes)
-            if not len(ids):
-                continue
-            cls = _signed(_class_ids(features, starts, _minhashes(features, starts, 32, b.seed)))
-            if features_for_repeats:
-                low, ends = (features & np.uint64(0xFFFFFFFF)).astype(np.uint32), starts + counts
-                yield pa.record_batch([cls, pa.array([low[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())], names=["cls", "features"])
-            else:
-                yield pa.record_batch([pa.array(ids.astype(np.int64)), cls], names=["id", "cls"])
+            for ids, features, starts, _ in _texts(batch, hashes):
+                cls = _classes(features, starts)
+                label = _labels(cls, _minhashes(features, starts, b.hashes, b.seed)[:_LABEL_BITS])
+                yield pa.record_batch([pa.array(ids.astype(np.int64)), _binary(cls), _signed(label)], names=["id", "cls", "label"])
 
     return run
 
 
+def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        for _, features, starts, counts in _texts(batch, hashes):
+            low, ends = (features & np.uint64(0xFFFFFFFF)).astype(np.uint32), starts + counts
+            yield pa.record_batch([_binary(_classes(features, starts)), pa.array([low[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary())], names=["cls", "features"])
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, banding: Banding | None = None) -> tuple[DataFrame, DataFrame]:
     """Membership (id, cls), one row for each id and class, and links (a, b, overlap), a < b, one for each pair of classes
     whose word overlap reaches the threshold. Ids whose cls is the same have the same words. Both are written tables.
@@ -406,42 +377,44 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, banding: Banding
     spark = df.sparkSession
     texts = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()))
     n = df.count()
-    if b.exact:
-        rows = texts.mapInArrow(_prefixes_of(b, _common(texts, n, b)), _ROW).repartition(partitions_for(spark, n * 24), "key")
-        found = materialize(rows.mapInArrow(_meetings(b), f"a long, b long, {_ROW}"), "buckets")
-        candidates, hot = found.where("a is not null").select("a", "b"), found.where("a is null").drop("a", "b")
-        of_hot = _hot_meetings
-    else:
-        keys = texts.mapInArrow(_keys_of(b), "key long, cls long").repartition(partitions_for(spark, n * b.keys), "key")
-        found = materialize(keys.mapInArrow(_buckets(b), "a long, b long, hot boolean"), "buckets")
-        candidates = found.where(~F.col("hot")).select("a", "b")
-        hot = found.where("hot").select(F.col("a").alias("key"), F.col("b").alias("cls"))
-        of_hot = _hot_pairs
+    hot_halves = _hot_halves(texts, n, b)
+    rows = texts.mapInArrow(_rows_of(b, hot_halves, False), _ROW)
+    rows = rows.repartition(partitions_for(spark, n * b.repetitions * b.left), F.shiftright("key", 24)).sortWithinPartitions("key")
+    found = materialize(rows.mapInArrow(_met(b, False), f"a long, b long, {_ROW}"), "buckets")
+    candidates, hot = found.where("a is not null").select("a", "b"), found.where("a is null").drop("a", "b")
+    if len(hot_halves):
+        hot = hot.unionByName(texts.mapInArrow(_rows_of(b, hot_halves, True), _ROW))
     if not hot.isEmpty():
-        candidates = candidates.unionByName(of_hot(hot, b))
-    candidates = materialize(candidates.distinct(), "candidates")
-
-    members = materialize(texts.mapInArrow(_members_of(b, False), "id long, cls long").distinct(), "members")
-    needed = materialize(candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "needed")
-    needed = small(needed)
-    first = members.groupBy("cls").agg(F.min("id").alias("id")).join(needed, "cls", "left_semi")
-    first = materialize(first, "representatives")
-    own = texts.join(small(first.select("id")), "id", "left_semi")
-    features = own.mapInArrow(_members_of(b, True), "cls long, features binary").dropDuplicates(["cls"])
-    features = materialize(features, "features")
-    pairs = candidates.join(features.select(F.col("cls").alias("a"), F.col("features").alias("fa")), "a").join(features.select(F.col("cls").alias("b"), F.col("features").alias("fb")), "b")
-    links = materialize(pairs.select("a", "b", "fa", "fb").mapInArrow(_overlapping(b.threshold), "a long, b long, overlap double"), "links")
+        candidates = candidates.unionByName(_of_hot(hot.distinct(), b))
+
+    parts = partitions_for(spark, n)
+    named = materialize(texts.mapInArrow(_members_of(b), "id long, cls binary, label long").distinct(), "members")
+    members = named.select("id", "cls")
+    same = named.groupBy("label").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select(F.col("label").alias("a"), F.col("label").alias("b"))
+    candidates = materialize(candidates.repartition(parts, "a", "b").distinct().unionByName(same), "candidates")
+    needed = small(materialize(candidates.select(F.explode(F.array("a", "b")).alias("label")).distinct(), "needed"))
+    first = materialize(named.join(needed, "label", "left_semi").groupBy("label", "cls").agg(F.min("id").alias("id")), "representatives")
+    features = texts.join(small(first.select("id")), "id", "left_semi").mapInArrow(_features_of, "cls binary, features binary").dropDuplicates(["cls"])
+    features = materialize(first.select("label", "cls").join(features, "cls"), "features")
+    left, right = (features.select(F.col("label").alias(x), F.col("cls").alias(f"c{x}"), F.col("features").alias(f"f{x}")) for x in "ab")
+    pairs = candidates.join(left, "a").join(right, "b").where("a != b or ca < cb")
+    swap = F.col("ca") > F.col("cb")
+    pairs = pairs.select(F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("a"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("b"), "fa", "fb")
+    links = materialize(pairs.mapInArrow(_overlapping(b.threshold), "a binary, b binary, overlap double"), "links")
     return members, links
 
 
-def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs of ids (a < b) that are in linked classes or in one class."""
-    m = members
-    one, two = m.select(F.col("cls").alias("a"), F.col("id").alias("x")), m.select(F.col("cls").alias("b"), F.col("id").alias("y"))
-    across = links.select("a", "b").join(one, "a").join(two, "b").select("x", "y")
-    more = m.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
-    repeated = m.join(more, "cls", "left_semi")
-    within = repeated.select("cls", F.col("id").alias("x")).join(repeated.select("cls", F.col("id").alias("y")), "cls").where("x < y").select("x", "y")
+def duplicate_pairs(members: DataFrame, links: DataFrame, hot: int = 1000) -> DataFrame:
+    """All pairs of ids (a < b) that are in linked classes or in one class. A class of more than ``hot`` ids meets its partners
+    in parts, as the result is as large as the product of the two."""
+    parts = members.groupBy("cls").agg(F.ceil(F.count("*") / hot).cast("int").alias("parts"), F.count("*").alias("n"))
+    m = members.join(parts, "cls")
+    one = m.select(F.col("cls").alias("a"), F.col("id").alias("x"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "n")
+    every = m.select(F.col("cls").alias("b"), F.col("id").alias("y"))
+    of_a = parts.select(F.col("cls").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    across = links.select("a", "b").join(of_a, "a").join(every, "b").join(one, ["a", "part"]).select("x", "y")
+    again = m.where("n > 1").select(F.col("cls").alias("a"), F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    within = one.where("n > 1").join(again, ["a", "part"]).where("x < y").select("x", "y")
     return across.unionByName(within).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -457,5 +430,3 @@ def duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
         members.join(of_class.drop("least"), "cls").join(group, "component")
         .select("id", "group", F.col("copies").cast("long").alias("copies"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     )
-
-
