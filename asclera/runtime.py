@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 #: Rows that a side may have to be broadcast; of up to 64 bytes each, that is 64 MB.
 BROADCAST_ROWS = 1_000_000
 
-_written: list = []
+#: Path -> session of the tables that exist.
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,21 +33,36 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/asclera/{name}-{uuid.uuid4().hex}"
     if not _written:
-        atexit.register(_clean)
-    _written.append((spark, path))
+        atexit.register(release_all)
+    _written[path] = spark
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-def _clean() -> None:
-    while _written:
-        spark, path = _written.pop()
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more, and let Spark remove the shuffle files of plans that are out of use;
+    it does so when the driver collects its garbage."""
+    for t in tables:
+        _delete(t._written_at)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release_all() -> None:
+    """Delete every table that is left: at the end of Python, or of a session's last query."""
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:
-            return
+            _delete(path)
+        except Exception:  # the session is gone, and with it the way to its files
+            _written.pop(path, None)
 
 
 def partitions_for(spark: SparkSession, rows: int, rows_each: int = 2_000_000) -> int:
@@ -66,4 +83,4 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= most else df
 
 
-__all__ = ["BROADCAST_ROWS", "materialize", "partitions_for", "shared_dir", "small", "spread"]
+__all__ = ["BROADCAST_ROWS", "materialize", "partitions_for", "release", "release_all", "shared_dir", "small", "spread"]
