@@ -4,13 +4,13 @@ A text is the multiset of its words. Texts with equal multisets form one *class*
 classes, so that copies cost nothing however many there are. A class is named by 128 bits of an order-free hash.
 
 Candidates: a repetition has a left and a right collection of *halves*, each the combination of ``rows`` minhashes, and its
-table keys are all pairs of a left and a right half. 3 repetitions of 8 x 8 halves of 3 minhashes are 192 keys of 6 minhashes
-each from 144 minhashes, where independent keys would take 1,152. A class is shuffled once a left half, with the right halves
-of the repetition in the same row, so that 24 rows stand for its 192 keys. Two texts of one length and overlap 0.80 meet with
-probability 0.998, at 0.85 with 0.99997 (``Banding.recall``). In tables of very many classes longer keys make fewer chance
+table keys are all pairs of a left and a right half. 3 repetitions of 8 x 14 halves of 4 minhashes are 336 keys of 8 minhashes
+each from 264 minhashes, where independent keys would take 2,688. A class is shuffled once a left half, with the right halves
+of the repetition in the same row, so that 24 rows stand for its 336 keys. Two texts of one length and overlap 0.80 meet with
+probability 0.991, at 0.85 with 0.9997 (``Banding.recall``). In tables of very many classes longer keys make fewer chance
 meetings; ``Banding.tuned`` gives the repetitions that they take.
 
-Classes that meet are compared by their lengths and by one bit of each of 56 minhashes; what is left is verified exactly.
+Classes that meet are compared by their lengths and by one bit of each of 120 minhashes; what is left is verified exactly.
 
 Hot halves: a bounded sample of the texts tells, before the shuffle, which left halves very many classes will have. Their
 rows go under their whole keys instead, and keys that are still hot are split into blocks, a task for each pair of blocks. So
@@ -32,32 +32,33 @@ from pyspark.sql import functions as F
 
 from asclera.llm.words import WordHashes, mix, multiset_features
 from asclera.operators.components import connected_components
-from asclera.runtime import materialize, partitions_for, small, spread
+from asclera.runtime import materialize, partitions_for, release, small, spread
 
-#: Sketch bits in the label of a class, and in the key of a row beside the number of words (or LONGEST).
-_LABEL_BITS, _KEY_BITS, _LONGEST = 44, 12, 4095
-_ROW = "key long, label long, r0 long, r1 long"
+#: Sketch bits in the label of a class, in the key of a row beside the number of words (or LONGEST), and in all.
+_LABEL_BITS, _KEY_BITS, _BITS, _LONGEST = 44, 12, 120, 4095
+_ROW = "key long, label long, r0 long, r1 long, sketch long"
+_NAMES = ["key", "label", "r0", "r1", "sketch"]
 
 
 @dataclass(frozen=True)
 class Banding:
     """threshold: least word overlap. apart: by so many standard deviations the sketches of two classes may agree in less than
-    the threshold lets expect (one pair in some thousands does at 3.5). hot: classes of one key that are compared in one task;
+    the threshold lets expect (of the pairs at the threshold one in 700 does at 3). hot: classes of one key that are compared in one task;
     more are compared in blocks. sampled: texts, about, that hot halves are looked for in before the shuffle."""
 
     threshold: float = 0.8
     repetitions: int = 3
     left: int = 8
-    right: int = 8
-    rows: int = 3
-    apart: float = 3.5
+    right: int = 14
+    rows: int = 4
+    apart: float = 3.0
     hot: int = 16_384
     sampled: int = 20_000
     seed: int = 7
 
     def __post_init__(self):
-        if not 1 <= self.right <= 8 or self.hashes < _LABEL_BITS + _KEY_BITS:
-            raise ValueError("1 to 8 right halves, and 56 minhashes at least")
+        if not 1 <= self.right <= 14 or self.hashes < _BITS:
+            raise ValueError(f"1 to 14 right halves, and {_BITS} minhashes at least")
 
     @property
     def hashes(self) -> int:
@@ -71,16 +72,18 @@ class Banding:
     @classmethod
     def tuned(cls, recall: float, rows: int, **others) -> Banding:
         """With keys of 2 ``rows`` minhashes and as many repetitions as reach the recall at the threshold."""
-        n = next(n for n in range(1, 10_000) if n * rows * 16 > 56 and cls(**{**others, "rows": rows, "repetitions": n}).recall(others.get("threshold", cls.threshold)) >= recall)
+        n = next(n for n in range(1, 10_000) if n * rows * 22 >= _BITS and cls(**{**others, "rows": rows, "repetitions": n}).recall(others.get("threshold", cls.threshold)) >= recall)
         return cls(**{**others, "rows": rows, "repetitions": n})
 
 
 def _minhashes(features: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     x = (features >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((n, len(starts)), np.uint32)
+    out, h = np.empty((n, len(starts)), np.uint32), np.empty_like(x)
     for i, (a, b) in enumerate(rng.integers(0, 1 << 32, (n, 2), dtype=np.uint64).astype(np.uint32)):
-        out[i] = np.minimum.reduceat(x * (a | np.uint32(1)) ^ b, starts)
+        np.multiply(x, a | np.uint32(1), out=h)
+        np.bitwise_xor(h, b, out=h)
+        np.minimum.reduceat(h, starts, out=out[i])
     return out
 
 
@@ -88,7 +91,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _texts(batch: pa.RecordBatch, hashes: WordHashes, each: int = 2000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _texts(batch: pa.RecordBatch, hashes: WordHashes, each: int = 1000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Ids, features, first feature of each text and number of features, of the texts that have a word, some at a time."""
     for at in range(0, batch.num_rows, each):
         part = batch.slice(at, each)
@@ -132,7 +135,7 @@ def _folded(halves: np.ndarray, salt: int) -> np.ndarray:
 
 def _rows_of(b: Banding, hot: np.ndarray, wanted: bool):
     """(id, text) -> a row for each class and left half; only those whose left half is in ``hot`` (or only those it isn't in).
-    key: 40 bits of the left half, the number of words, bits of the sketch; r0, r1: 16 bits of each right half."""
+    key: 40 bits of the left half, the number of words, bits of the sketch; r0, r1: 9 bits of each right half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
@@ -150,16 +153,21 @@ def _rows_of(b: Banding, hot: np.ndarray, wanted: bool):
                 mins = _minhashes(features, np.cumsum(counts) - counts, b.hashes, b.seed)
                 label = _labels(cls, mins)
                 low = (np.minimum(counts, _LONGEST).astype(np.uint64) << np.uint64(_KEY_BITS)) | _sketches(mins, _LABEL_BITS, _KEY_BITS)
+                sketch = _sketches(mins, _LABEL_BITS + _KEY_BITS, 64)
                 halves = mins.reshape(b.repetitions, b.left + b.right, b.rows, -1)
+                keys, rights = [], []
                 for rep in range(b.repetitions):
-                    rights = np.zeros((2, len(cls)), np.uint64)
+                    own = np.zeros((2, len(cls)), np.uint64)
                     for j in range(b.right):
-                        rights[j // 4] |= (_folded(halves[rep, b.left + j], 0) >> np.uint64(48)) << np.uint64(16 * (j % 4))
+                        own[j // 7] |= (_folded(halves[rep, b.left + j], 0) >> np.uint64(55)) << np.uint64(9 * (j % 7))
                     for i in range(b.left):
-                        half = _folded(halves[rep, i], rep * b.left + i) >> np.uint64(24)
-                        key = (half << np.uint64(24)) | low
-                        at = np.isin(half, hot) == wanted if len(hot) else slice(None)
-                        yield pa.record_batch([_signed(key[at]), _signed(label[at]), _signed(rights[0, at]), _signed(rights[1, at])], names=["key", "label", "r0", "r1"])
+                        keys.append((_folded(halves[rep, i], rep * b.left + i) >> np.uint64(24) << np.uint64(24)) | low)
+                        rights.append(own)
+                rows = [np.concatenate(keys), np.tile(label, len(keys)), *np.concatenate(rights, 1), np.tile(sketch, len(keys))]
+                if len(hot):
+                    at = np.isin(rows[0] >> np.uint64(24), hot) == wanted
+                    rows = [r[at] for r in rows]
+                yield pa.record_batch([_signed(r) for r in rows], names=_NAMES)
 
     return run
 
@@ -174,26 +182,31 @@ def _hot_halves(texts: DataFrame, n: int, b: Banding) -> np.ndarray:
 
 
 def _least_agreement(n: np.ndarray, m: np.ndarray, b: Banding) -> np.ndarray:
-    """How many of the 56 sketch bits must agree in texts of n and m words; 57 where the lengths are too different."""
+    """How many of the sketch bits must agree in texts of n and m words, whose lengths may be unknown."""
     most = np.maximum(n, m).astype(float)
     shared = b.threshold * most
     known = most < _LONGEST
     j = np.where(known, shared / np.maximum(n + m - shared, 1e-9), b.threshold / (2 - b.threshold))
     p = (1 + np.minimum(j, 1)) / 2
-    bits = _LABEL_BITS + _KEY_BITS
-    return np.where(known & (np.minimum(n, m) < shared - 1e-6), bits + 1, bits * p - b.apart * np.sqrt(bits * p * (1 - p)))
+    return _BITS * p - b.apart * np.sqrt(_BITS * p * (1 - p))
 
 
-def _near(key: np.ndarray, label: np.ndarray, x: np.ndarray, y: np.ndarray, b: Banding) -> np.ndarray:
-    """Which of the pairs (x, y) of rows may reach the threshold."""
-    n, m = (((key[i] >> np.uint64(_KEY_BITS)) & np.uint64(_LONGEST)).astype(np.int64) for i in (x, y))
-    ok = np.flatnonzero((np.minimum(n, m) >= b.threshold * np.maximum(n, m) - 1e-6) | (np.maximum(n, m) == _LONGEST))
+def _near(rows: list[np.ndarray], x: np.ndarray, y: np.ndarray, b: Banding) -> np.ndarray:
+    """Which of the pairs (x, y) of rows (key, label, ..., sketch) may reach the threshold."""
+    words = ((rows[0] >> np.uint64(_KEY_BITS)) & np.uint64(_LONGEST)).astype(np.int32)
+    n, m = words[x], words[y]
+    most = np.maximum(n, m)
+    ok = np.flatnonzero((np.minimum(n, m) >= b.threshold * most - 1e-6) | (most == _LONGEST))
     x, y, n, m = x[ok], y[ok], n[ok], m[ok]
-    differ = np.bitwise_count((label[x] ^ label[y]) & np.uint64((1 << _LABEL_BITS) - 1)) + np.bitwise_count((key[x] ^ key[y]) & np.uint64((1 << _KEY_BITS) - 1))
-    return ok[(_LABEL_BITS + _KEY_BITS - differ.astype(np.int64)) >= _least_agreement(n, m, b)]
+    differ = np.bitwise_count(rows[-1][x] ^ rows[-1][y]) + np.bitwise_count((rows[1][x] ^ rows[1][y]) & np.uint64((1 << _LABEL_BITS) - 1))
+    least = float(_least_agreement(np.array([_LONGEST]), np.array([_LONGEST]), b)[0])  # other lengths ask for more
+    some = np.flatnonzero(differ <= _BITS - least)
+    ok, x, y, n, m, differ = (v[some] for v in (ok, x, y, n, m, differ))
+    differ = differ + np.bitwise_count((rows[0][x] ^ rows[0][y]) & np.uint64((1 << _KEY_BITS) - 1))
+    return ok[_BITS - differ.astype(np.int64) >= _least_agreement(n, m, b)]
 
 
-def _meetings(key: np.ndarray, label: np.ndarray, run: np.ndarray, b: Banding) -> Iterator[np.ndarray]:
+def _meetings(rows: list[np.ndarray], run: np.ndarray, b: Banding) -> Iterator[np.ndarray]:
     """The pairs of labels within each run (rows of one number in ``run``, which is sorted); shift by shift, so that no loop
     goes over single pairs."""
     first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))) if len(run) else np.empty(0, np.int64)
@@ -208,8 +221,8 @@ def _meetings(key: np.ndarray, label: np.ndarray, run: np.ndarray, b: Banding) -
         x = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
         for at in range(0, len(x), 4_000_000):
             p = x[at : at + 4_000_000]
-            ok = _near(key, label, p, p + shift, b)
-            yield np.stack([label[p[ok]], label[p[ok] + shift]])
+            ok = _near(rows, p, p + shift, b)
+            yield np.stack([rows[1][p[ok]], rows[1][p[ok] + shift]])
         shift += 1
 
 
@@ -226,11 +239,11 @@ def _met(b: Banding, whole: bool, chunk: int = 1_000_000):
 
     def hot_rows(rows: list[np.ndarray]) -> pa.RecordBatch:
         none = pa.nulls(len(rows[0]), pa.int64())
-        return pa.record_batch([none, none, *map(_signed, rows)], names=["a", "b", "key", "label", "r0", "r1"])
+        return pa.record_batch([none, none, *map(_signed, rows)], names=["a", "b", *_NAMES])
 
     def pairs(p: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(p.shape[1], pa.int64())
-        return pa.record_batch([pa.array(p[0]), pa.array(p[1]), none, none, none, none], names=["a", "b", "key", "label", "r0", "r1"])
+        return pa.record_batch([pa.array(p[0]), pa.array(p[1]), *[none] * len(_NAMES)], names=["a", "b", *_NAMES])
 
     def compared(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         half = rows[0] >> np.uint64(24)
@@ -246,12 +259,17 @@ def _met(b: Banding, whole: bool, chunk: int = 1_000_000):
             yield hot_rows([r[order[many]] for r in rows])
         keep = ~many & np.repeat(size > 1, size)
         number = np.repeat(np.arange(len(size), dtype=np.uint64), size)[keep]
-        key, label, *rights = (r[order[keep]] for r in rows)
+        rows = [r[order[keep]] for r in rows]
         held, n = [], 0
         for j in range(1 if whole else b.right):
-            run = number if whole else (number << np.uint64(16)) | ((rights[j // 4] >> np.uint64(16 * (j % 4))) & np.uint64(0xFFFF))
-            by = np.argsort(run, kind="stable")
-            for p in _meetings(key[by], label[by], run[by], b):
+            run = number if whole else (number << np.uint64(9)) | ((rows[2 + j // 7] >> np.uint64(9 * (j % 7))) & np.uint64(511))
+            by = np.argsort(run)
+            run = run[by]
+            met = np.zeros(len(run), bool)
+            met[1:] = run[1:] == run[:-1]
+            met[:-1] |= met[1:]
+            by, run = by[met], run[met]
+            for p in _meetings([r[by] for r in rows], run, b):
                 held.append(p)
                 n += p.shape[1]
                 if n > 2_000_000:
@@ -262,7 +280,7 @@ def _met(b: Banding, whole: bool, chunk: int = 1_000_000):
         held: list[list[np.ndarray]] = []
         n, streamed = 0, None
         for batch in batches:
-            rows = [batch.column(c).to_numpy().view(np.uint64) for c in ("key", "label", "r0", "r1")]
+            rows = [batch.column(c).to_numpy().view(np.uint64) for c in _NAMES]
             if streamed is not None:  # the rest of a half that is hot goes on as it comes
                 same = (rows[0] >> np.uint64(24)) == streamed
                 yield hot_rows([r[same] for r in rows])
@@ -293,14 +311,14 @@ def _met(b: Banding, whole: bool, chunk: int = 1_000_000):
 def _of_hot(rows: DataFrame, b: Banding) -> DataFrame:
     """Candidate pairs (a, b) of the rows of hot halves: by their whole keys, and where these are hot too, in blocks."""
     spark = rows.sparkSession
-    right = [F.shiftrightunsigned(f"r{j // 4}", 16 * (j % 4)).bitwiseAND(F.lit(0xFFFF)) for j in range(b.right)]
+    right = [F.shiftrightunsigned(f"r{j // 7}", 9 * (j % 7)).bitwiseAND(F.lit(511)) for j in range(b.right)]
     half = F.xxhash64(F.shiftrightunsigned("key", 24), F.col("j"), F.col("right")).bitwiseAND(F.lit(-1 << 24))
-    each = rows.select("key", "label", F.posexplode(F.array(*right)).alias("j", "right"))
+    each = rows.select("key", "label", "sketch", F.posexplode(F.array(*right)).alias("j", "right"))
     zero = F.lit(0).cast("long")
-    each = each.select(half.bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 24) - 1))).alias("key"), "label", zero.alias("r0"), zero.alias("r1"))
+    each = each.select(half.bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 24) - 1))).alias("key"), "label", zero.alias("r0"), zero.alias("r1"), "sketch")
     each = each.repartition(partitions_for(spark, rows.count() * b.right), F.shiftright("key", 24)).sortWithinPartitions("key")
     found = materialize(each.mapInArrow(_met(b, True), f"a long, b long, {_ROW}"), "hot")
-    candidates, hot = found.where("a is not null").select("a", "b"), found.where("a is null").select(F.shiftright("key", 24).alias("half"), "key", "label")
+    candidates, hot = found.where("a is not null").select("a", "b"), found.where("a is null").select(F.shiftright("key", 24).alias("half"), "key", "label", "sketch")
     if hot.isEmpty():
         return candidates
     hot = hot.distinct()
@@ -308,19 +326,19 @@ def _of_hot(rows: DataFrame, b: Banding) -> DataFrame:
     cells = (
         hot.join(sizes, "half").withColumn("own", F.pmod(F.xxhash64("label"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("half", "key", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        .select("half", "key", "label", "sketch", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     )
 
     def cell(_: tuple, t: pa.Table) -> pa.Table:
         own = t.column("own").to_numpy()
-        key, label = (t.column(c).to_numpy().view(np.uint64) for c in ("key", "label"))
+        rows = [t.column(c).to_numpy().view(np.uint64) for c in ("key", "label", "sketch")]
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         x, y, held = np.flatnonzero(own == i), np.flatnonzero(own == j), []
         step = max(1, 4_000_000 // max(1, len(y)))
         for at in range(0, len(x), step):
             p, q = (v.reshape(-1) for v in np.meshgrid(x[at : at + step], y, indexing="ij"))
-            ok = _near(key, label, p, q, b)
-            held.append(np.stack([label[p[ok]], label[q[ok]]]))
+            ok = _near(rows, p, q, b)
+            held.append(np.stack([rows[1][p[ok]], rows[1][q[ok]]]))
         p = _pairs_of(held)
         return pa.table({"a": p[0], "b": p[1]})
 
@@ -355,7 +373,7 @@ def _members_of(b: Banding):
         for batch in batches:
             for ids, features, starts, _ in _texts(batch, hashes):
                 cls = _classes(features, starts)
-                label = _labels(cls, _minhashes(features, starts, b.hashes, b.seed)[:_LABEL_BITS])
+                label = _labels(cls, _minhashes(features, starts, _LABEL_BITS, b.seed))
                 yield pa.record_batch([pa.array(ids.astype(np.int64)), _binary(cls), _signed(label)], names=["id", "cls", "label"])
 
     return run
@@ -381,6 +399,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, banding: Banding
     rows = texts.mapInArrow(_rows_of(b, hot_halves, False), _ROW)
     rows = rows.repartition(partitions_for(spark, n * b.repetitions * b.left), F.shiftright("key", 24)).sortWithinPartitions("key")
     found = materialize(rows.mapInArrow(_met(b, False), f"a long, b long, {_ROW}"), "buckets")
+    del rows
+    release(spark)
     candidates, hot = found.where("a is not null").select("a", "b"), found.where("a is null").drop("a", "b")
     if len(hot_halves):
         hot = hot.unionByName(texts.mapInArrow(_rows_of(b, hot_halves, True), _ROW))
@@ -392,15 +412,18 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, banding: Banding
     members = named.select("id", "cls")
     same = named.groupBy("label").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select(F.col("label").alias("a"), F.col("label").alias("b"))
     candidates = materialize(candidates.repartition(parts, "a", "b").distinct().unionByName(same), "candidates")
-    needed = small(materialize(candidates.select(F.explode(F.array("a", "b")).alias("label")).distinct(), "needed"))
-    first = materialize(named.join(needed, "label", "left_semi").groupBy("label", "cls").agg(F.min("id").alias("id")), "representatives")
+    release(spark, found)
+    needed = materialize(candidates.select(F.explode(F.array("a", "b")).alias("label")).distinct(), "needed")
+    first = materialize(named.join(small(needed), "label", "left_semi").groupBy("label", "cls").agg(F.min("id").alias("id")), "representatives")
     features = texts.join(small(first.select("id")), "id", "left_semi").mapInArrow(_features_of, "cls binary, features binary").dropDuplicates(["cls"])
     features = materialize(first.select("label", "cls").join(features, "cls"), "features")
+    release(spark, first)
     left, right = (features.select(F.col("label").alias(x), F.col("cls").alias(f"c{x}"), F.col("features").alias(f"f{x}")) for x in "ab")
     pairs = candidates.join(left, "a").join(right, "b").where("a != b or ca < cb")
     swap = F.col("ca") > F.col("cb")
     pairs = pairs.select(F.when(swap, F.col("cb")).otherwise(F.col("ca")).alias("a"), F.when(swap, F.col("ca")).otherwise(F.col("cb")).alias("b"), "fa", "fb")
     links = materialize(pairs.mapInArrow(_overlapping(b.threshold), "a binary, b binary, overlap double"), "links")
+    release(spark, candidates, features, needed)
     return members, links
 
 
