@@ -38,6 +38,7 @@ from asclera.runtime import materialize, partitions_for, release, small, spread
 _LABEL_BITS, _KEY_BITS, _BITS, _LONGEST = 44, 12, 120, 4095
 _ROW = "key long, label long, r0 long, r1 long, sketch long"
 _NAMES = ["key", "label", "r0", "r1", "sketch"]
+_FOUND = f"a long, b long, {_ROW}, cls binary"
 
 
 @dataclass(frozen=True)
@@ -129,35 +130,44 @@ def _folded(halves: np.ndarray, salt: int) -> np.ndarray:
     """One 64-bit hash of the minhashes (rows of ``halves``)."""
     out = np.full(halves.shape[1], salt + 1, np.uint64)
     for h in halves:
-        out = mix(out * np.uint64(0x100000001B3) + h)
-    return out
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h
+    return mix(out)
 
 
-def _rows_of(b: Banding, hot: np.ndarray, wanted: bool):
+def _rows_of(b: Banding, hot: np.ndarray, wanted: bool, members: bool = False):
     """(id, text) -> a row for each class and left half; only those whose left half is in ``hot`` (or only those it isn't in).
-    key: 40 bits of the left half, the number of words, bits of the sketch; r0, r1: 9 bits of each right half."""
+    key: 40 bits of the left half, the number of words, bits of the sketch; r0, r1: 9 bits of each right half.
+
+    ``members``: with a row for each text as well, that has its class, its id in place of the sketch, and no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        hashes, seen = WordHashes(), {}
         for batch in batches:
-            for _, features, starts, counts in _texts(batch, hashes):
+            for ids, features, starts, counts in _texts(batch, hashes):
                 cls = _classes(features, starts)
-                # copies within a task are left out before the shuffle; the set is emptied, not grown without bound
+                names = list(map(tuple, cls.tolist()))
+                # copies within a task are left out before the shuffle; the labels are forgotten, not kept without bound
                 if len(seen) > 300_000:
                     seen.clear()
                 new = np.zeros(len(cls), bool)
-                new[[i for i, c in enumerate(map(tuple, cls.tolist())) if c not in seen and not seen.add(c)]] = True
-                if not new.any():
+                new[[i for i, c in enumerate(names) if c not in seen and seen.setdefault(c, 0) == 0]] = True
+                new_at = np.flatnonzero(new)
+                features, counts = features[np.repeat(new, counts)], counts[new]
+                mins = _minhashes(features, np.cumsum(counts) - counts, b.hashes, b.seed) if len(new_at) else np.empty((b.hashes, 0), np.uint32)
+                label = _labels(cls[new], mins)
+                seen.update(zip((names[i] for i in new_at.tolist()), label.tolist(), strict=True))
+                if members:
+                    of = np.fromiter((seen[c] for c in names), np.uint64, len(names))
+                    none = np.zeros(len(of), np.uint64)
+                    yield pa.record_batch([*map(_signed, (cls[:, 0] >> np.uint64(24) << np.uint64(24), of, none, none, ids.astype(np.int64))), _binary(cls)], names=[*_NAMES, "cls"])
+                if not len(new_at):
                     continue
-                cls, features, counts = cls[new], features[np.repeat(new, counts)], counts[new]
-                mins = _minhashes(features, np.cumsum(counts) - counts, b.hashes, b.seed)
-                label = _labels(cls, mins)
                 low = (np.minimum(counts, _LONGEST).astype(np.uint64) << np.uint64(_KEY_BITS)) | _sketches(mins, _LABEL_BITS, _KEY_BITS)
                 sketch = _sketches(mins, _LABEL_BITS + _KEY_BITS, 64)
                 halves = mins.reshape(b.repetitions, b.left + b.right, b.rows, -1)
                 keys, rights = [], []
                 for rep in range(b.repetitions):
-                    own = np.zeros((2, len(cls)), np.uint64)
+                    own = np.zeros((2, len(label)), np.uint64)
                     for j in range(b.right):
                         own[j // 7] |= (_folded(halves[rep, b.left + j], 0) >> np.uint64(55)) << np.uint64(9 * (j % 7))
                     for i in range(b.left):
@@ -167,7 +177,8 @@ def _rows_of(b: Banding, hot: np.ndarray, wanted: bool):
                 if len(hot):
                     at = np.isin(rows[0] >> np.uint64(24), hot) == wanted
                     rows = [r[at] for r in rows]
-                yield pa.record_batch([_signed(r) for r in rows], names=_NAMES)
+                if len(rows[0]):
+                    yield pa.record_batch([*map(_signed, rows), pa.nulls(len(rows[0]), pa.binary())], names=[*_NAMES, "cls"])
 
     return run
 
@@ -176,7 +187,7 @@ def _hot_halves(texts: DataFrame, n: int, b: Banding) -> np.ndarray:
     """Left halves that, by a sample, very many classes have. This decides where rows meet, not whether."""
     every = max(1, n // b.sampled)
     some = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(every)) == 0) if every > 1 else texts
-    rows = some.mapInArrow(_rows_of(b, np.empty(0, np.uint64), False), _ROW).select(F.shiftrightunsigned("key", 24).alias("half"), "label").distinct()
+    rows = some.mapInArrow(_rows_of(b, np.empty(0, np.uint64), False), f"{_ROW}, cls binary").select(F.shiftrightunsigned("key", 24).alias("half"), "label").distinct()
     found = rows.groupBy("half").count().where(F.col("count") >= max(20, b.hot // every)).select("half").collect()
     return np.array(sorted(r.half for r in found), np.uint64)
 
@@ -233,42 +244,42 @@ def _pairs_of(held: list[np.ndarray]) -> np.ndarray:
 
 
 def _met(b: Banding, whole: bool, chunk: int = 1_000_000):
-    """Rows in the order of their keys -> candidate pairs (a, b); rows of hot keys as they are, with nulls as a and b.
+    """Rows in the order of their keys -> candidate pairs (a, b); rows of hot keys and members as they are, with nulls as a and b.
 
     Rows of one left half meet if they agree in a right half as well; all rows of one key do if it is ``whole``."""
 
     def hot_rows(rows: list[np.ndarray]) -> pa.RecordBatch:
         none = pa.nulls(len(rows[0]), pa.int64())
-        return pa.record_batch([none, none, *map(_signed, rows)], names=["a", "b", *_NAMES])
+        return pa.record_batch([none, none, *map(_signed, rows), pa.nulls(len(rows[0]), pa.binary())], names=["a", "b", *_NAMES, "cls"])
 
     def pairs(p: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(p.shape[1], pa.int64())
-        return pa.record_batch([pa.array(p[0]), pa.array(p[1]), *[none] * len(_NAMES)], names=["a", "b", *_NAMES])
+        return pa.record_batch([pa.array(p[0]), pa.array(p[1]), *[none] * len(_NAMES), pa.nulls(p.shape[1], pa.binary())], names=["a", "b", *_NAMES, "cls"])
 
     def compared(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        new = np.ones(len(rows[0]), bool)
+        new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+        rows = [r[new] for r in rows]
         half = rows[0] >> np.uint64(24)
-        order = np.lexsort((rows[1], half))
-        new = np.ones(len(order), bool)
-        new[1:] = (half[order[1:]] != half[order[:-1]]) | (rows[1][order[1:]] != rows[1][order[:-1]])
-        order = order[new]
-        half = half[order]
         first = np.flatnonzero(np.concatenate(([True], half[1:] != half[:-1]))) if len(half) else np.empty(0, np.int64)
         size = np.diff(np.append(first, len(half)))
         many = np.repeat(size > b.hot, size)
         if many.any():
-            yield hot_rows([r[order[many]] for r in rows])
+            yield hot_rows([r[many] for r in rows])
         keep = ~many & np.repeat(size > 1, size)
         number = np.repeat(np.arange(len(size), dtype=np.uint64), size)[keep]
-        rows = [r[order[keep]] for r in rows]
+        rows = [r[keep] for r in rows]
         held, n = [], 0
         for j in range(1 if whole else b.right):
-            run = number if whole else (number << np.uint64(9)) | ((rows[2 + j // 7] >> np.uint64(9 * (j % 7))) & np.uint64(511))
-            by = np.argsort(run)
-            run = run[by]
+            # run, right half and place of a row in one number, so that a plain sort does
+            by = (number << np.uint64(33)) | np.arange(len(number), dtype=np.uint64)
+            if not whole:
+                by = np.sort(by | (((rows[2 + j // 7] >> np.uint64(9 * (j % 7))) & np.uint64(511)) << np.uint64(24)))
+            run = by >> np.uint64(24)
             met = np.zeros(len(run), bool)
             met[1:] = run[1:] == run[:-1]
             met[:-1] |= met[1:]
-            by, run = by[met], run[met]
+            by, run = (by[met] & np.uint64((1 << 24) - 1)).astype(np.int64), run[met]
             for p in _meetings([r[by] for r in rows], run, b):
                 held.append(p)
                 n += p.shape[1]
@@ -280,6 +291,11 @@ def _met(b: Banding, whole: bool, chunk: int = 1_000_000):
         held: list[list[np.ndarray]] = []
         n, streamed = 0, None
         for batch in batches:
+            if batch.column("cls").null_count < batch.num_rows:
+                own = batch.filter(batch.column("cls").is_valid())
+                none = pa.nulls(own.num_rows, pa.int64())
+                yield pa.record_batch([none, none, *(own.column(c) for c in [*_NAMES, "cls"])], names=["a", "b", *_NAMES, "cls"])
+                batch = batch.filter(batch.column("cls").is_null())
             rows = [batch.column(c).to_numpy().view(np.uint64) for c in _NAMES]
             if streamed is not None:  # the rest of a half that is hot goes on as it comes
                 same = (rows[0] >> np.uint64(24)) == streamed
@@ -316,8 +332,8 @@ def _of_hot(rows: DataFrame, b: Banding) -> DataFrame:
     each = rows.select("key", "label", "sketch", F.posexplode(F.array(*right)).alias("j", "right"))
     zero = F.lit(0).cast("long")
     each = each.select(half.bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 24) - 1))).alias("key"), "label", zero.alias("r0"), zero.alias("r1"), "sketch")
-    each = each.repartition(partitions_for(spark, rows.count() * b.right), F.shiftright("key", 24)).sortWithinPartitions("key")
-    found = materialize(each.mapInArrow(_met(b, True), f"a long, b long, {_ROW}"), "hot")
+    each = each.withColumn("cls", F.lit(None).cast("binary")).repartition(partitions_for(spark, rows.count() * b.right), F.shiftright("key", 24)).sortWithinPartitions("key", "label")
+    found = materialize(each.mapInArrow(_met(b, True), _FOUND), "hot")
     candidates, hot = found.where("a is not null").select("a", "b"), found.where("a is null").select(F.shiftright("key", 24).alias("half"), "key", "label", "sketch")
     if hot.isEmpty():
         return candidates
@@ -365,20 +381,6 @@ def _overlapping(threshold: float):
     return run
 
 
-def _members_of(b: Banding):
-    """(id, text) -> (id, cls, label)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for ids, features, starts, _ in _texts(batch, hashes):
-                cls = _classes(features, starts)
-                label = _labels(cls, _minhashes(features, starts, _LABEL_BITS, b.seed))
-                yield pa.record_batch([pa.array(ids.astype(np.int64)), _binary(cls), _signed(label)], names=["id", "cls", "label"])
-
-    return run
-
-
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
@@ -396,19 +398,19 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, banding: Banding
     texts = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()))
     n = df.count()
     hot_halves = _hot_halves(texts, n, b)
-    rows = texts.mapInArrow(_rows_of(b, hot_halves, False), _ROW)
-    rows = rows.repartition(partitions_for(spark, n * b.repetitions * b.left), F.shiftright("key", 24)).sortWithinPartitions("key")
-    found = materialize(rows.mapInArrow(_met(b, False), f"a long, b long, {_ROW}"), "buckets")
+    rows = texts.mapInArrow(_rows_of(b, hot_halves, False, True), f"{_ROW}, cls binary")
+    rows = rows.repartition(partitions_for(spark, n * b.repetitions * b.left), F.shiftright("key", 24)).sortWithinPartitions("key", "label")
+    found = materialize(rows.mapInArrow(_met(b, False), _FOUND), "buckets")
     del rows
     release(spark)
-    candidates, hot = found.where("a is not null").select("a", "b"), found.where("a is null").drop("a", "b")
+    candidates, hot = found.where("a is not null").select("a", "b"), found.where("a is null and cls is null").drop("a", "b", "cls")
     if len(hot_halves):
-        hot = hot.unionByName(texts.mapInArrow(_rows_of(b, hot_halves, True), _ROW))
+        hot = hot.unionByName(texts.mapInArrow(_rows_of(b, hot_halves, True), f"{_ROW}, cls binary").drop("cls"))
     if not hot.isEmpty():
         candidates = candidates.unionByName(_of_hot(hot.distinct(), b))
 
     parts = partitions_for(spark, n)
-    named = materialize(texts.mapInArrow(_members_of(b), "id long, cls binary, label long").distinct(), "members")
+    named = materialize(found.where("cls is not null").select(F.col("sketch").alias("id"), "cls", "label").distinct(), "members")
     members = named.select("id", "cls")
     same = named.groupBy("label").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select(F.col("label").alias("a"), F.col("label").alias("b"))
     candidates = materialize(candidates.repartition(parts, "a", "b").distinct().unionByName(same), "candidates")
@@ -430,14 +432,19 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, banding: Banding
 def duplicate_pairs(members: DataFrame, links: DataFrame, hot: int = 1000) -> DataFrame:
     """All pairs of ids (a < b) that are in linked classes or in one class. A class of more than ``hot`` ids meets its partners
     in parts, as the result is as large as the product of the two."""
-    parts = members.groupBy("cls").agg(F.ceil(F.count("*") / hot).cast("int").alias("parts"), F.count("*").alias("n"))
-    m = members.join(parts, "cls")
-    one = m.select(F.col("cls").alias("a"), F.col("id").alias("x"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "n")
-    every = m.select(F.col("cls").alias("b"), F.col("id").alias("y"))
-    of_a = parts.select(F.col("cls").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    across = links.select("a", "b").join(of_a, "a").join(every, "b").join(one, ["a", "part"]).select("x", "y")
-    again = m.where("n > 1").select(F.col("cls").alias("a"), F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    within = one.where("n > 1").join(again, ["a", "part"]).where("x < y").select("x", "y")
+    m = members.repartition("cls")
+    sizes = m.groupBy("cls").agg(F.ceil(F.count("*") / hot).cast("int").alias("parts"), F.count("*").alias("n"))
+    linked = links.select(F.explode(F.array("a", "b")).alias("cls")).distinct().withColumn("linked", F.lit(True))
+    m = materialize(m.join(sizes, "cls").join(linked, "cls", "left").where("n > 1 or linked"), "partners")
+    m = small(m)
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
+    every_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    one = m.where("linked").select(F.col("cls").alias("a"), F.col("id").alias("x"), part)
+    of_a = m.where("linked").select(F.col("cls").alias("a"), "parts").distinct().select("a", every_part)
+    of_b = m.where("linked").select(F.col("cls").alias("b"), F.col("id").alias("y"))
+    across = links.select("a", "b").join(of_a, "a").join(of_b, "b").join(one, ["a", "part"]).select("x", "y")
+    again = m.where("n > 1").select("cls", F.col("id").alias("y"), every_part)
+    within = m.where("n > 1").select("cls", F.col("id").alias("x"), part).join(again, ["cls", "part"]).where("x < y").select("x", "y")
     return across.unionByName(within).where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
