@@ -54,7 +54,7 @@ class Banding:
     rows: int = 4
     apart: float = 3.0
     hot: int = 16_384
-    sampled: int = 20_000
+    sampled: int = 5_000
     seed: int = 7
 
     def __post_init__(self):
