@@ -3,9 +3,12 @@
 Language: the posteriors of prompt and response under naive Bayes over character n-grams are compared. Truncation: how
 likely a text is to end after its last words, under word n-grams of complete answers in which rare words (names) are one
 class, and, if the last word is rare, how likely a word is to end after its last letters. Copy: the best local alignment of
-the response to the whole prompt. Empty and refusal: fixed patterns.
+the response to the whole prompt; a prompt of fewer than four words must be the whole answer. Empty: fixed placeholders. Refusal: fixed patterns name the first
+refusals, naive Bayes over words and pairs of words learns from all responses how these differ from the others, and what the
+response shares with its prompt does not count; so a question about something one cannot do is none, and a refusal that no
+pattern has can be one.
 
-Defined results: a response has one defect at most, the first of the order above; a null or blank prompt is no defect and
+A response with an end mark is never truncated, as it ends where a sentence does. Defined results: a response has one defect at most, the first of the order above; a null or blank prompt is no defect and
 leaves out copy and other_language; repeated rows give one row; responses of any length are read whole.
 """
 
@@ -73,10 +76,62 @@ def is_empty(shown: str) -> bool:
     return re.sub(r"[\W_]+", " ", shown.lower()).strip() in PLACEHOLDERS
 
 
-def is_refusal(shown: str) -> bool:
+def looks_like_refusal(shown: str) -> bool:
     return bool(REFUSALS.search(re.sub(r"\s+", " ", shown.lower().replace("’", "'"))))
 
 
+_REFUSAL_WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[?!.]")
+
+
+def refusal_features(shown: str) -> set[str]:
+    """Words and end marks, pairs of them, and those at the edges."""
+    w = ["^", *_REFUSAL_WORD.findall(shown.lower().replace("’", "'")), "$"]
+    return {*w[1:-1], *map(" ".join, zip(w, w[1:], strict=False))}
+
+
+class Refusals:
+    """How much more usual a feature is in responses that look like refusals than in others: the log ratio of its rates, each
+    drawn to the common one by ``back`` texts. counts: feature -> (texts that look like refusals, others).
+
+    A response that looks like a refusal is one if the mean over its features is ``least``; any other is if it is ``alone``
+    over ``enough`` features. Without ``known`` examples to learn from, looks decide."""
+
+    def __init__(self, counts: dict[str, tuple[int, int]], refused: int, others: int, back: float = 8.0, least: float = 2.0, alone: float = 3.5, enough: int = 5, known: int = 5):
+        self.least, self.alone, self.enough, self.learned = least, alone, enough, refused >= known and others >= known
+        self.weight = {}
+        for f, (a, b) in counts.items():
+            if a + b > 1:
+                p = (a + b) / (refused + others)
+                self.weight[f] = math.log((a + back * p) / (refused + back)) - math.log((b + back * p) / (others + back))
+
+    def __call__(self, shown: str, prompt: str = "") -> bool:
+        looks = looks_like_refusal(shown)
+        if not self.learned:
+            return looks
+        w = [x for f in refusal_features(shown) - (refusal_features(prompt) if prompt else set()) if (x := self.weight.get(f)) is not None]
+        mean = sum(w) / len(w) if w else 0.0
+        return mean >= self.least if looks else len(w) >= self.enough and mean >= self.alone
+
+
+def _refusal_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for t in set(b.column(0).to_pylist()):
+            if not is_empty(s := visible(t)):
+                side = not looks_like_refusal(s)
+                for f in (*refusal_features(s), ""):
+                    counts[f][side] += 1
+        yield _rows([(f, *n) for f, n in counts.items()], feature=pa.string(), refused=pa.int64(), others=pa.int64())
+
+
+def fit_refusals(pairs: DataFrame, features: int = 300_000) -> Refusals:
+    """Counted over all responses, repeated ones once a task; kept are the features of most texts (the bound) that occur in more than one."""
+    given = pairs.where("response is not null").select("response")
+    total = given.mapInArrow(_refusal_counts, "feature string, refused long, others long").groupBy("feature").agg(F.sum("refused").alias("refused"), F.sum("others").alias("others"))
+    kept = {r.feature: (r.refused, r.others) for r in total.where("refused + others > 1").orderBy(F.desc(F.col("refused") + F.col("others")), "feature").limit(features).collect()}
+    return Refusals(kept, *kept.pop("", (0, 0)))
+
+
 def sentences_of(text: str) -> tuple[list[list[str]], bool]:
     """The words of each sentence, and whether the text has an end mark."""
     return [_TOKEN.findall(s.lower()) for s in _SENTENCE.split(text)], bool(_END.search(text))
@@ -242,6 +297,8 @@ def copied_shares(prompts: list[str], answers: list[str], least: float = 0.4) ->
         n, m = len(_COPY_WORD.findall(p)), len(_COPY_WORD.findall(a))
         if n >= 4 and m >= least * n:
             todo.append((n, m, k))
+        elif 0 < n < 4 and n == m:
+            out[k] = float(_COPY_WORD.findall(p.lower()) == _COPY_WORD.findall(a.lower()))
     todo.sort()
     while todo:
         part, cells = [], 0
@@ -259,12 +316,12 @@ def copied_shares(prompts: list[str], answers: list[str], least: float = 0.4) ->
     return out
 
 
-def _judge(languages: Languages, endings: Endings, margin: float, copied: float):
+def _judge(languages: Languages, endings: Endings, refuses: Refusals, margin: float, copied: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prompts = [visible(t) for t in b.column("prompt").to_pylist()]
             shown = [visible(t) for t in b.column("response").to_pylist()]
-            defect: list[str | None] = [EMPTY if is_empty(s) else REFUSAL if is_refusal(s) else None for s in shown]
+            defect: list[str | None] = [EMPTY if is_empty(s) else REFUSAL if refuses(s, p) else None for p, s in zip(prompts, shown, strict=True)]
             at = [i for i, d in enumerate(defect) if d is None and prompts[i]]
             if at:
                 share = copied_shares([prompts[i] for i in at], [shown[i] for i in at])
@@ -293,7 +350,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = []
         for g, t in zip(b.column("group").to_pylist(), b.column("response").to_pylist(), strict=True):
-            if not is_empty(s := visible(t)) and not is_refusal(s) and not _BROKEN_OFF.search(s):
+            if not is_empty(s := visible(t)) and not looks_like_refusal(s) and not _BROKEN_OFF.search(s):
                 sentences, marked = sentences_of(s)
                 got.append((g, "\n".join(" ".join(x) for x in sentences), marked))
         if got:
@@ -367,7 +424,7 @@ def fit_endings(pairs: DataFrame, words: int = 300_000, contexts: int = 1_000_00
     return e
 
 
-def defective_pairs(pairs: DataFrame, languages: Languages, endings: Endings, margin: float = 4.0, copied: float = 0.47) -> DataFrame:
+def defective_pairs(pairs: DataFrame, languages: Languages, endings: Endings, refuses: Refusals, margin: float = 4.0, copied: float = 0.47) -> DataFrame:
     """(source, id, defect) of the defective among (source, id, prompt, response)."""
     given = pairs.select(F.col("source").cast("string").alias("source"), F.col("id").cast("long").alias("id"), F.col("prompt").cast("string").alias("prompt"), F.col("response").cast("string").alias("response"))
-    return given.mapInArrow(_judge(languages, endings, margin, copied), "source string, id long, defect string").distinct()
+    return given.mapInArrow(_judge(languages, endings, refuses, margin, copied), "source string, id long, defect string").distinct()

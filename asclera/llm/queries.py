@@ -34,7 +34,7 @@ def _defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = m.select(F.lit("meqsum").alias("source"), F.col("pair_id").alias("id"), F.col("pair_id").alias("group"), F.col("chq").alias("prompt"), F.col("summary").alias("response"))
     given = own.unionByName(runs.select(F.lit("run_eval").alias("source"), F.col("pred_id").alias("id"), F.col("pair_id").alias("group"), "prompt", F.col("preds").alias("response")))
     given = materialize(given.distinct(), "pairs")
-    return pairs.defective_pairs(given, fit_languages(_table(spark, sf_dir, "documents")), pairs.fit_endings(given))
+    return pairs.defective_pairs(given, fit_languages(_table(spark, sf_dir, "documents")), pairs.fit_endings(given), pairs.fit_refusals(given))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

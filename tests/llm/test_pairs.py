@@ -20,6 +20,7 @@ def answers():
 
 
 ENDINGS = D.Endings(list(answers()), known_share=0.24)
+LOOKS = D.Refusals({}, 0, 0)  # nothing learned: looks decide
 
 
 @pytest.mark.parametrize("text", [None, "", "  ", "​", " \n", "N/A", "n.a.", "[no answer]", "...", "-", "?", "NONE", "null"])
@@ -36,7 +37,7 @@ def test_empty(text):
     ],
 )
 def test_refusal(text, is_):
-    assert D.is_refusal(text) is is_
+    assert D.looks_like_refusal(text) is is_
 
 
 @pytest.mark.parametrize(
@@ -55,7 +56,8 @@ def test_copy_shares():
     half = " ".join(f"w{i}" for i in range(8, 30))
     near = " ".join(f"w{i}" if i % 9 else "oops" for i in range(40))
     got = D.copied_shares([q, q, q, q, "a b", ""], [q, half, near, " ".join(f"w{i}" for i in range(12)), "a b", "x"])
-    assert got[0] == 1 and got[1] == pytest.approx(22 / 40) and got[2] > 0.8 and got[3] < 0.47 and got[4] == got[5] == 0
+    assert got[0] == 1 and got[1] == pytest.approx(22 / 40) and got[2] > 0.8 and got[3] < 0.47 and got[4] == 1 and got[5] == 0
+    assert D.copied_shares(["Gretitis?", "Stop it", "a b c"], ["gretitis", "Do not stop it", "a b d"]).tolist() == [1, 0, 0]
 
 
 def test_defects(spark):
@@ -65,9 +67,9 @@ def test_defects(spark):
         ("m", 9, FR[1], FR[0] + "?"), ("m", 10, FR[1], EN[2] + "?"), ("m", 1, q, "What are the side effects of zolpamine in older adults?"), ("m", 2, q, None), ("m", 11, q, q * 200),
     ]
     df = spark.createDataFrame([(*r, "z") for r in rows], "source string, id long, prompt string, response string, defect string")
-    got = {(r.source, r.id): r.defect for r in D.defective_pairs(df, LANGS, ENDINGS).collect()}
+    got = {(r.source, r.id): r.defect for r in D.defective_pairs(df, LANGS, ENDINGS, LOOKS).collect()}
     assert got == {("m", 2): "empty", ("m", 3): "other_language", ("m", 4): "copy", ("m", 5): "truncated", ("m", 6): "refusal", ("m", 8): "empty", ("m", 10): "other_language", ("m", 11): "copy"}
-    assert D.defective_pairs(df.where("false"), LANGS, ENDINGS).count() == 0
+    assert D.defective_pairs(df.where("false"), LANGS, ENDINGS, LOOKS).count() == 0
 
 
 def test_endings_are_counted_over_all_responses_and_less_the_texts_own(spark):
@@ -82,7 +84,28 @@ def test_endings_are_counted_over_all_responses_and_less_the_texts_own(spark):
 
 def test_a_batch_without_defects(spark):
     df = spark.createDataFrame([("m", 1, EN[0], "What are the side effects of zolpamine in older adults?")], "source string, id long, prompt string, response string")
-    assert D.defective_pairs(df, LANGS, ENDINGS).count() == 0
+    assert D.defective_pairs(df, LANGS, ENDINGS, LOOKS).count() == 0
+
+
+DECLINE = ["I'm sorry, but I can't help with medical questions.", "As a language model, I cannot answer this.", "I must decline to rewrite this question because it concerns {n}.", "Sorry, I can't assist with that request.", "My guidelines prevent me from discussing {n}.", "It would not be appropriate for me to respond to questions about {i}.", "I am not able to provide health advice. Please see a professional."]
+ASK = ["My doctor said I cannot provide samples for {i}, why?", "I am unable to answer calls because of {i}; does {n} help?", "Can {i} come back once you stop {n}?", "What are the side effects of {n} in older adults?", "How long does {n} take to work for {i}?", "My mother has {i} and takes {n}, what helps?", "Is it safe to take {n} when I have {i}?", "My doctor said I should take {n} because of {i}, why?", "Why did my doctor send samples for {i}, and does {n} help?", "Who takes calls about {i} because of {n}; does it help?"]
+
+
+def test_refusals_are_learned_from_the_responses(spark):
+    rng = __import__("random").Random(3)
+    word = lambda end: "".join(rng.choices("bcdfglmnprst", k=3)) + rng.choice("aeiou") + "".join(rng.choices("blmnrt", k=2)) + end
+    made = [rng.choice(DECLINE if rng.random() < 0.1 else ASK[2:] if k < 2000 or k % 10 else ASK).format(n=word("ine"), i=word("osis")) for k in range(4000)]
+    rows = [("m", k, "a prompt", t) for k, t in enumerate(made[:2000])] + [("m", 1, "a prompt", made[1]), ("m", 9000, None, None), ("m", 9001, "x", "")]
+    refuses = D.fit_refusals(spark.createDataFrame(rows, "source string, id long, prompt string, response string"))
+    starts = tuple(d.split("{")[0] for d in DECLINE)
+    held_out = [(t, t.startswith(starts)) for t in made[2000:]]
+    found = [refuses(t) for t, _ in held_out]
+    right = sum(f and is_ for f, (_, is_) in zip(found, held_out, strict=True))
+    assert right == sum(found) == sum(is_ for _, is_ in held_out) > 100  # precision and recall 1 on responses not seen
+    assert refuses("I cannot answer that.") and refuses("Sorry, this question concerns things that my guidelines prevent me from.")
+    q = "My doctor said I cannot provide urine samples, why?"
+    assert D.looks_like_refusal(q) and not refuses(q) and not refuses("I can't help with this", "I can't help with this heavy bag any more")
+    assert D.fit_refusals(spark.createDataFrame(rows, "source string, id long, prompt string, response string").where("false")).learned is False
 
 
 def test_tags_and_languages():
