@@ -83,10 +83,14 @@ def looks_like_refusal(shown: str) -> bool:
 _REFUSAL_WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[?!.]")
 
 
-def refusal_features(shown: str) -> set[str]:
+def refusal_words(shown: str) -> list[str]:
+    return _REFUSAL_WORD.findall(shown.lower().replace("’", "'"))
+
+
+def refusal_features(words: list[str]) -> set[str]:
     """Words and end marks, pairs of them, and those at the edges."""
-    w = ["^", *_REFUSAL_WORD.findall(shown.lower().replace("’", "'")), "$"]
-    return {*w[1:-1], *map(" ".join, zip(w, w[1:], strict=False))}
+    w = ["^", *words, "$"]
+    return {*words, *map(" ".join, zip(w, w[1:], strict=False))}
 
 
 class Refusals:
@@ -94,7 +98,7 @@ class Refusals:
     drawn to the common one by ``back`` texts. counts: feature -> (texts that look like refusals, others).
 
     A response that looks like a refusal is one if the mean over its features is ``least``; any other is if it is ``alone``
-    over ``enough`` features. Without ``known`` examples to learn from, looks decide."""
+    over ``enough`` features, of which one word has ``alone`` by itself. Without ``known`` examples to learn from, looks decide."""
 
     def __init__(self, counts: dict[str, tuple[int, int]], refused: int, others: int, back: float = 8.0, least: float = 2.0, alone: float = 3.5, enough: int = 5, known: int = 5):
         self.least, self.alone, self.enough, self.learned = least, alone, enough, refused >= known and others >= known
@@ -103,12 +107,17 @@ class Refusals:
             if a + b > 1:
                 p = (a + b) / (refused + others)
                 self.weight[f] = math.log((a + back * p) / (refused + back)) - math.log((b + back * p) / (others + back))
+        self.telling = {f for f, x in self.weight.items() if x >= alone and " " not in f}
 
     def __call__(self, shown: str, prompt: str = "") -> bool:
         looks = looks_like_refusal(shown)
         if not self.learned:
             return looks
-        w = [x for f in refusal_features(shown) - (refusal_features(prompt) if prompt else set()) if (x := self.weight.get(f)) is not None]
+        words = refusal_words(shown)
+        if not looks and self.telling.isdisjoint(words):
+            return False
+        own = refusal_features(words) - (refusal_features(refusal_words(prompt)) if prompt else set())
+        w = [x for f in own if (x := self.weight.get(f)) is not None]
         mean = sum(w) / len(w) if w else 0.0
         return mean >= self.least if looks else len(w) >= self.enough and mean >= self.alone
 
@@ -119,7 +128,7 @@ def _refusal_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for t in set(b.column(0).to_pylist()):
             if not is_empty(s := visible(t)):
                 side = not looks_like_refusal(s)
-                for f in (*refusal_features(s), ""):
+                for f in (*refusal_features(refusal_words(s)), ""):
                     counts[f][side] += 1
         yield _rows([(f, *n) for f, n in counts.items()], feature=pa.string(), refused=pa.int64(), others=pa.int64())
 
