@@ -1,4 +1,5 @@
-"""Connected components of a graph given as a table of edges, by alternating large-star and small-star steps."""
+"""Connected components of a graph given as a table of edges: each partition unites its edges, so that it passes on no more than
+one a node, then alternating large-star and small-star steps unite the partitions."""
 
 from __future__ import annotations
 
@@ -30,7 +31,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a bounded graph -> (node, component), by union-find with the least node as root."""
+    """Edges -> a star (u, v) for each component that they have among them, by union-find with the least node as root."""
     own: dict = {}
     kind = None
 
@@ -50,32 +51,33 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = list(own)
         for at in range(0, len(nodes), 50_000):
             part = nodes[at : at + 50_000]
-            yield pa.record_batch([pa.array(part, kind), pa.array([find(x) for x in part], kind)], names=["node", "component"])
+            yield pa.record_batch([pa.array(part, kind), pa.array([find(x) for x in part], kind)], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100, one_task: int = 300_000) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 100, edges_each: int = 300_000) -> DataFrame:
     """(node, component) for the nodes of the first two columns of ``edges``; component is the least node of each.
 
-    Graphs of no more than ``one_task`` edges are united in one task, larger ones in rounds of joins, with the same result.
-
-    Any orderable type serves as node. Edges with a null end are ignored; loops and repeated edges do no harm; a node that
-    occurs only in a loop is a component of its own. No edges give no rows. The number of rounds grows with the logarithm
-    of the number of nodes.
+    Partitions of about ``edges_each`` edges are united first, whatever the size of the graph; the steps then go on until
+    nothing changes. Any orderable type serves as node. Edges with a null end are ignored; loops and repeated edges do no harm;
+    a node that occurs only in a loop is a component of its own. No edges give no rows. The number of rounds grows with the
+    logarithm of the number of nodes.
     """
     a, b = edges.columns[:2]
     given = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    given = materialize(given.distinct(), "edges")
-    if given.count() <= one_task:
-        kind = given.schema["u"].dataType.simpleString()
-        return given.coalesce(1).mapInArrow(_united, f"node {kind}, component {kind}")
-    nodes = given.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    now, before = given.where("u != v"), None
+    given = materialize(given, "edges")
+    kind = given.schema["u"].dataType.simpleString()
+    parts = max(1, -(-given.count() // max(1, edges_each)))
+    # a lone partition has no need to be spread; each node stays in the table, in an edge to itself at least
+    united = (given.coalesce(1) if parts == 1 else given.repartition(parts)).mapInArrow(_united, f"u {kind}, v {kind}")
+    united = materialize(united, "united")
+    now, before = united.where("u != v"), None
+    nodes = united.select(F.col("u").alias("node")).distinct()
     for _ in range(max_rounds):
-        now = materialize(_star(_star(now, True), False), "star")
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             break
         before = mark
+        now = materialize(_star(_star(now, True), False), "star")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

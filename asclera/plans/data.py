@@ -13,12 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.hierarchy(H.hierarchical_links(table(spark, sf_dir, "umls_triples"), table(spark, sf_dir, "relation_types")))
+def _hierarchy(spark: SparkSession, sf_dir: str, paths: bool = True) -> DataFrame:
+    return H.hierarchy(H.hierarchical_links(table(spark, sf_dir, "umls_triples"), table(spark, sf_dir, "relation_types")), paths=paths)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hierarchy(spark, sf_dir).select("node", "root_node", "depth")
+    return _hierarchy(spark, sf_dir, paths=False).select("node", "root_node", "depth")
 
 
 def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.cycles(_hierarchy(spark, sf_dir))
+    return H.cycles(_hierarchy(spark, sf_dir, paths=False))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,9 @@ tree AS (
   FROM nodes WHERE node NOT IN (SELECT child FROM links)
   UNION ALL
   SELECT l.child, l.parent, root_node, depth + 1, list_append(path, l.child) FROM tree JOIN links l ON l.parent = tree.node),
-loops AS (SELECT node, parent FROM nodes JOIN links ON child = node WHERE node NOT IN (SELECT node FROM tree))
+loops AS (SELECT node, parent FROM nodes JOIN links ON child = node WHERE node NOT IN (SELECT node FROM tree)),
+up AS (SELECT node, parent AS above FROM loops UNION SELECT up.node, l.parent FROM up JOIN loops l ON l.node = up.above),
+least AS (SELECT node, min(above) AS least FROM up WHERE node IN (SELECT above FROM up u WHERE u.node = up.node) GROUP BY node)
 """
 
 _RAW = r"""
@@ -93,6 +95,7 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": _LINKS + "SELECT node, root_node, depth FROM tree UNION ALL SELECT node, '', CAST(-1 AS BIGINT) FROM loops",
         "p5_paths": _LINKS + "SELECT node, parent, root_node, depth, array_to_string(path, ' > ') AS path, false AS in_cycle FROM tree UNION ALL SELECT node, parent, '', CAST(-1 AS BIGINT), '', true FROM loops",
         "p5_descendants": _LINKS + "SELECT a.node, d.node AS descendant, d.depth - a.depth AS distance FROM tree d, unnest(d.path) AS u(above) JOIN tree a ON a.node = u.above WHERE a.node <> d.node",
+        "p5_cycles": _LINKS + "SELECT node, parent, parent = least AS back_edge FROM loops JOIN least USING (node)",
         "p6_found": _RAW + "SELECT DISTINCT line_id, reason FROM judged WHERE reason IS NOT NULL",
         "p6_rows": _RAW + "SELECT line_id, CAST(v[1] AS BIGINT) AS triple_id, v[2] AS head, nullif(v[3], '') AS relation, v[4] AS tail, CAST(v[5] AS DOUBLE) AS confidence, v[6] AS asserted_on FROM judged WHERE reason IS NULL",
     }
