@@ -78,6 +78,11 @@ def section_weight(c: Column, priors: Mapping[str, float] = SECTION_PRIORS) -> C
     return F.greatest(F.lit(1.0), F.coalesce(F.array_max(F.transform(found, lambda x: of[F.lower(x)])), F.lit(1.0)))
 
 
+def trigrams(c: Column) -> Column:
+    """The distinct runs of three characters of the text with a blank on either side."""
+    return let(F.concat(F.lit(" "), c, F.lit(" ")), lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substr(s, i, F.lit(3)))))
+
+
 def seeded(c: Column, modulus: int = 1 << 32) -> Column:
     """The first 32 bits of the md5 of c, as a number: a hash that other engines have as well."""
     return F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("long") % modulus

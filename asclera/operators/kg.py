@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asclera.config import ALIASES, SALIENT_RELATIONS, VOCABULARY_OF
-from asclera.functions.text import let, strip
-from asclera.operators.retrieval import sparse_top_k, trigram_weights
+from asclera.functions.text import strip, trigrams
+from asclera.operators.retrieval import TRIGRAMS, sparse_top_k
 from asclera.runtime import materialize, small
 
 DEFAULT_RELATION = "associated_with"
@@ -36,10 +36,6 @@ def nodes(triples: DataFrame) -> DataFrame:
     return ends.groupBy("e.node").agg(F.min("e.o").alias("node_id"))
 
 
-def trigrams(c: Column) -> Column:
-    return let(F.concat(F.lit(" "), c, F.lit(" ")), lambda s: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substr(s, i, F.lit(3)))))
-
-
 def similar_pairs(left: DataFrame, right: DataFrame, tau: float) -> DataFrame:
     """(a, b, sim) of the distinct strings of two one-column tables whose trigram cosine is at least tau."""
     a = materialize(left.select(F.col(left.columns[0]).alias("s")).where("s != ''").distinct().withColumn("g", trigrams(F.col("s"))), "left")
@@ -68,7 +64,7 @@ def subgraph(entities: DataFrame, triples: DataFrame, max_triples: int = 15, tau
     hits = ents.join(near.select(F.col("a").alias("entity"), F.col("b").alias("node"), "sim"), "entity").select("query_id", "entity", "node", "sim")
     without = ents.join(hits.select("query_id").distinct(), "query_id", "left_anti")
     wanted = materialize(without.select("entity").distinct().withColumn("id", F.xxhash64("entity")), "wanted")
-    ranked = sparse_top_k(wanted.select("id", "entity"), own.select("node_id", "node"), fallback, trigram_weights, None)
+    ranked = sparse_top_k(wanted.select("id", "entity"), own.select("node_id", "node"), fallback, TRIGRAMS, None)
     ranked = ranked.join(wanted, F.col("id") == F.col("query_id")).join(own, F.col("node_id") == F.col("passage_id")).select("entity", "node", F.col("score").alias("sim"))
     hits = hits.unionByName(without.join(ranked, "entity").select("query_id", "entity", "node", "sim"))
     best = hits.groupBy("query_id", "node").agg(F.max("sim").alias("sim")).join(own, "node")

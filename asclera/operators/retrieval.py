@@ -1,110 +1,216 @@
 """Retrieval: sparse and dense scoring of a stated query set against a whole corpus, hybrid re-ranking, budgeted diversity.
 
-Queries are the stated side: they go to the tasks in blocks, and a task scores each batch of the corpus against a block at
-once and keeps its own best k of every query, so that k rows a query and task are shuffled and nothing else.
-
-Defined results: blank and null passages and queries are not scored; passages that share no term score 0 and fill up the
-ranks; ties go to the lesser id; an id given more than once counts once, with its highest score.
+A sparse index is a table with a row for each passage: its terms as hashes, their weights and the passage's prior. It can be
+written and read again; a search never sees the texts. Queries are the stated side: they go to the tasks in blocks, as the
+postings of their few terms. A task joins these with a batch of the index at once, sums, and keeps its best k of every query
+until it ends, so that k rows a query and task are shuffled and nothing else. Passages that share no term fill up the ranks
+with 0 without having been joined.
+
+Defined results: blank and null passages and queries are not scored; ties go to the lesser id; an id given more than once
+counts once, with its highest score.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asclera.functions.text import section_weight
+from asclera.functions.text import let, section_weight, trigrams
 from asclera.runtime import spread
 
 _WORD = re.compile(r"[^\W_]+")
 RANKED = "query_id long, passage_id long, score double"
+INDEX = "id long, prior double, terms array<long>, weights array<double>"
+
+
+def word_terms(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
+
+
+@dataclass(frozen=True)
+class TermEncoder:
+    """Terms by an expression, with their occurrences as weights: log(1 + n), or n in a vector of unit length."""
+
+    terms: Callable[[Column], Column]
+    unit: bool = False
+
+
+@dataclass(frozen=True)
+class ModelEncoder:
+    """Weights of terms by a model that is made once a task and takes texts in batches."""
 
+    make: Callable[[], Callable[[list[str]], list[dict[str, float]]]]
+    batch_size: int = 32
 
-def term_weights(text: str) -> dict[str, float]:
-    """The built-in sparse encoder: log(1 + occurrences) of each word."""
-    return {w: math.log1p(n) for w, n in Counter(_WORD.findall(text.lower())).items()}
 
+Encoder = TermEncoder | ModelEncoder
+WORDS, TRIGRAMS = TermEncoder(word_terms), TermEncoder(trigrams, unit=True)
 
-def trigram_weights(text: str) -> dict[str, float]:
-    """The built-in string encoder: a unit vector over the distinct character trigrams."""
-    padded = f" {text} "
-    grams = {padded[i : i + 3] for i in range(len(padded) - 2)}
-    return dict.fromkeys(grams, 1 / math.sqrt(len(grams))) if grams else {}
+
+def first_that_works(*makers: Callable[[], Encoder], only_first: bool = False) -> Encoder:
+    """The encoder of the first maker that doesn't fail; RuntimeError if none is left (or allowed)."""
+    failures = []
+    for make in makers[:1] if only_first else makers:
+        try:
+            return make()
+        except Exception as e:  # whatever a model's loading raises
+            failures.append(f"{type(e).__name__}: {e}")
+    raise RuntimeError("no encoder could be made: " + "; ".join(failures))
+
+
+def pooled_terms(logits: np.ndarray, vocabulary: list[str]) -> dict[str, float]:
+    """Weights of a text's terms from the logits of its tokens: the greatest log(1 + max(0, logit)) of each that has one."""
+    w = np.log1p(np.maximum(logits, 0)).max(0) if len(logits) else np.zeros(len(vocabulary))
+    return {vocabulary[i]: float(w[i]) for i in np.flatnonzero(w)}
+
+
+def term_pooling(logits: DataFrame) -> DataFrame:
+    """(id, term, weight) from (id, term, logit), a row for each token of a text: as ``pooled_terms``, for tables of logits."""
+    w = logits.groupBy("id", "term").agg(F.max(F.log1p(F.greatest(F.col("logit").cast("double"), F.lit(0.0)))).alias("weight"))
+    return w.where("weight > 0")
 
 
 def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, weight): the sparse index as a table, to be written partitioned or bucketed by term."""
-    terms = df.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)).alias("term"))
+    """(id, term, weight): the words of each text with their weights, a row each."""
+    terms = df.select(F.col(id_col).alias("id"), F.explode(word_terms(F.col(text_col))).alias("term"))
     return terms.groupBy("id", "term").agg(F.log1p(F.count("*")).alias("weight"))
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the best k of each column, by rounded score, then by lesser id."""
-    order = np.argsort(ids, kind="stable")
-    rank = np.empty(len(ids), np.int64)
-    rank[order] = np.arange(len(ids))
-    key = np.round(scores * 1e6).astype(np.int64) * len(ids) - rank[:, None]
-    if len(ids) > k:
-        rows = np.argpartition(-key, k - 1, axis=0)[:k]
-    else:
-        rows = np.tile(np.arange(len(ids))[:, None], (1, scores.shape[1]))
-    return rows.reshape(-1), np.tile(np.arange(scores.shape[1]), rows.shape[0])
+def _lists(values: pa.Array, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), values)
 
 
-def _emit(ids: np.ndarray, query_ids: np.ndarray, scores: np.ndarray, k: int) -> pa.RecordBatch:
-    rows, cols = _best(ids, scores, k)
-    return pa.record_batch([pa.array(query_ids[cols]), pa.array(ids[rows]), pa.array(np.round(scores[rows, cols], 6))], names=["query_id", "passage_id", "score"])
+def _counted(unit: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, counts = b.column("terms").flatten().to_numpy(), np.diff(b.column("terms").offsets.to_numpy())
+            row = np.repeat(np.arange(b.num_rows), counts)
+            order = np.lexsort((flat, row))
+            flat, row = flat[order], row[order]
+            first = np.flatnonzero(np.concatenate(([True], (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])))) if len(flat) else np.empty(0, np.int64)
+            n = np.diff(np.append(first, len(flat))).astype(float)
+            flat, row = flat[first], row[first]
+            w = n / np.sqrt(np.bincount(row, n * n, b.num_rows))[row] if unit else np.log1p(n)
+            each = np.bincount(row, minlength=b.num_rows)
+            yield pa.record_batch([b.column("id"), b.column("prior"), _lists(pa.array(flat), each), _lists(pa.array(w), each)], names=["id", "prior", "terms", "weights"])
 
+    return run
 
-def _first_of_each(ids: np.ndarray) -> np.ndarray:
-    return np.sort(np.unique(ids, return_index=True)[1])
 
+def _hash(term: str) -> int:
+    h = xxhash.xxh64_intdigest(term, 42)
+    return h - (1 << 64) if h >> 63 else h
 
-def _sparse(query_ids: list[int], queries: list[dict[str, float]], encode: Callable[[str], dict[str, float]], k: int):
-    vocab: dict[str, int] = {}
-    for q in queries:
-        for t in q:
-            vocab.setdefault(t, len(vocab))
-    matrix = np.zeros((len(vocab), len(queries)))
-    for j, q in enumerate(queries):
-        for t, w in q.items():
-            matrix[vocab[t], j] = w
-    own = np.array(query_ids, np.int64)
 
+def _modelled(encoder: ModelEncoder):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = encoder.make()
         for b in batches:
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            keep = _first_of_each(ids)
-            ids, prior = ids[keep], b.column("prior").to_numpy(zero_copy_only=False)[keep]
-            texts = b.column("text").take(pa.array(keep)).to_pylist()
-            scores = np.zeros((len(ids), len(own)))
-            for i, t in enumerate(texts):
-                pairs = [(vocab[w], x) for w, x in encode(t).items() if w in vocab]
-                if pairs:
-                    at, weight = zip(*pairs, strict=True)
-                    scores[i] = np.array(weight) @ matrix[list(at)]
-            yield _emit(ids, own, scores * prior[:, None], k)
+            texts, got = b.column("text").to_pylist(), []
+            for at in range(0, len(texts), encoder.batch_size):
+                got += model(texts[at : at + encoder.batch_size])
+            terms = [{_hash(t): w for t, w in g.items() if w} for g in got]
+            yield pa.record_batch(
+                [b.column("id"), b.column("prior"), pa.array([list(t) for t in terms], pa.list_(pa.int64())), pa.array([list(t.values()) for t in terms], pa.list_(pa.float64()))],
+                names=["id", "prior", "terms", "weights"],
+            )
 
     return run
 
 
-def _dense(query_ids: list[int], queries: np.ndarray, k: int):
+def build_index(passages: DataFrame, encoder: Encoder = WORDS, prior: Callable[[Column], Column] | None = section_weight) -> DataFrame:
+    """The sparse index (id, prior, terms, weights) of (id, text)."""
+    p = passages.select(F.col(passages.columns[0]).cast("long").alias("id"), F.col(passages.columns[1]).alias("text")).where("trim(text) != ''")
+    p = spread(p).withColumn("prior", prior(F.col("text")).cast("double") if prior else F.lit(1.0))
+    if isinstance(encoder, ModelEncoder):
+        return p.mapInArrow(_modelled(encoder), INDEX)
+    return p.select("id", "prior", F.transform(encoder.terms(F.col("text")), lambda t: F.xxhash64(t)).alias("terms")).mapInArrow(_counted(encoder.unit), INDEX)
+
+
+class _Best:
+    """The best k ids of each query so far: by rounded score, then by lesser id; an id once."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.ids, self.scores = np.empty((0, queries), np.int64), np.empty((0, queries))
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Scores: a row for each id, a column for each query."""
+        if not len(ids) or not self.k:
+            return
+        order = np.argsort(ids, kind="stable")
+        ids, scores = ids[order], np.round(scores[order], 6)
+        new = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        if len(new) < len(ids):
+            ids, scores = ids[new], np.maximum.reduceat(scores, new, axis=0)
+        every = np.broadcast_to(ids[:, None], scores.shape)
+        if len(ids) > self.k:
+            key = np.round(scores * 1e6).astype(np.int64) * len(ids) - np.arange(len(ids))[:, None]
+            rows = np.argpartition(-key, self.k - 1, axis=0)[: self.k]
+            every, scores = np.take_along_axis(every, rows, 0), np.take_along_axis(scores, rows, 0)
+        every, scores = np.concatenate([self.ids, every]), np.concatenate([self.scores, scores])
+        by = np.lexsort((-scores, every), axis=0)  # an id that was there before is equal to its neighbour, the lower score behind
+        every, scores = np.take_along_axis(every, by, 0), np.take_along_axis(scores, by, 0)
+        scores[1:][every[1:] == every[:-1]] = -np.inf
+        by = np.lexsort((every, -scores), axis=0)[: self.k]
+        self.ids, self.scores = np.take_along_axis(every, by, 0), np.take_along_axis(scores, by, 0)
+
+    def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        query = np.broadcast_to(query_ids, self.ids.shape)[kept := np.isfinite(self.scores)]
+        return pa.record_batch([pa.array(query), pa.array(self.ids[kept]), pa.array(self.scores[kept])], names=["query_id", "passage_id", "score"])
+
+
+def _sparse(queries: list, k: int, each: int = 1000):
+    """queries: rows (id, terms, weights)."""
+    own = np.array([q.id for q in queries], np.int64)
+    term = np.array([t for q in queries for t in q.terms], np.int64)
+    of = np.repeat(np.arange(len(queries)), [len(q.terms) for q in queries])
+    weight = np.array([w for q in queries for w in q.weights], float)
+    order = np.argsort(term, kind="stable")
+    of, weight = of[order], weight[order]
+    vocabulary, first, many = np.unique(term[order], return_index=True, return_counts=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(len(own), k)
+        for whole in batches:
+            for start in range(0, whole.num_rows, each):
+                b = whole.slice(start, each)
+                ids, prior = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "prior"))
+                offsets = b.column("terms").offsets.to_numpy()
+                flat, weights = b.column("terms").flatten().to_numpy(), b.column("weights").flatten().to_numpy()
+                scores = np.zeros(len(ids) * len(own))
+                if len(vocabulary) and len(flat):
+                    at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+                    hit = np.flatnonzero(vocabulary[at] == flat)
+                    row, at, w = np.repeat(np.arange(len(ids)), np.diff(offsets))[hit], at[hit], weights[hit]
+                    n = many[at]
+                    which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at], n)
+                    scores = np.bincount(np.repeat(row, n) * len(own) + of[which], np.repeat(w, n) * weight[which], len(scores))
+                best.add(ids, scores.reshape(len(ids), len(own)) * prior[:, None])
+        yield best.batch(own)
+
+    return run
+
+
+def _dense(query_ids: list[int], queries: np.ndarray, k: int, each: int = 2000):
     own, left = np.array(query_ids, np.int64), np.ascontiguousarray(queries.T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("id").to_numpy(zero_copy_only=False)
-            keep = _first_of_each(ids)
-            vectors = np.array([v for v in b.column("vector").take(pa.array(keep)).to_pylist()], np.float64)
-            if len(vectors):
-                yield _emit(ids[keep], own, vectors @ left, k)
+        best = _Best(len(own), k)
+        for whole in batches:
+            for start in range(0, whole.num_rows, each):
+                b = whole.slice(start, each)
+                vectors = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                best.add(b.column("id").to_numpy(zero_copy_only=False), vectors @ left)
+        yield best.batch(own)
 
     return run
 
@@ -126,14 +232,17 @@ def _blocks(queries: DataFrame, block: int) -> Iterator[list]:
         yield queries.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).orderBy("id").collect()
 
 
-def sparse_top_k(
-    queries: DataFrame, passages: DataFrame, k: int = 20, encode: Callable[[str], dict[str, float]] = term_weights, prior: Callable[[Column], Column] | None = section_weight, block: int = 1000
-) -> DataFrame:
-    """(query_id, passage_id, score, rank) from (id, text) and (id, text): products of sparse vectors times the section prior."""
-    q = queries.select(F.col(queries.columns[0]).cast("long").alias("id"), F.col(queries.columns[1]).alias("text")).where("trim(text) != ''").dropDuplicates(["id"])
-    p = passages.select(F.col(passages.columns[0]).cast("long").alias("id"), F.col(passages.columns[1]).alias("text")).where("trim(text) != ''")
-    p = spread(p).withColumn("prior", prior(F.col("text")) if prior else F.lit(1.0))
-    return _merged([p.mapInArrow(_sparse([r.id for r in b], [encode(r.text) for r in b], encode, k), RANKED) for b in _blocks(q, block)], k)
+def retrieve(queries: DataFrame, index: DataFrame, k: int = 20, encoder: Encoder = WORDS, block: int = 1000) -> DataFrame:
+    """(query_id, passage_id, score, rank): the best k passages of each query (id, text) by the product of the sparse vectors
+    times the prior. ``index`` as ``build_index`` made it with the same encoder."""
+    q = queries.select(F.col(queries.columns[0]).cast("long").alias("id"), F.col(queries.columns[1]).alias("text")).dropDuplicates(["id"])
+    q = build_index(q, encoder, None).select("id", "terms", "weights")
+    return _merged([index.mapInArrow(_sparse(b, k), RANKED) for b in _blocks(q, block)], k)
+
+
+def sparse_top_k(queries: DataFrame, passages: DataFrame, k: int = 20, encoder: Encoder = WORDS, prior: Callable[[Column], Column] | None = section_weight, block: int = 1000) -> DataFrame:
+    """``retrieve`` from an index that is made on the way."""
+    return retrieve(queries, build_index(passages, encoder, prior), k, encoder, block)
 
 
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = 2000) -> DataFrame:
@@ -188,41 +297,50 @@ def rerank(candidates: DataFrame, query_vectors: DataFrame, passage_vectors: Dat
     return c.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def mmr(relevance: list[float], tokens: list[int], vectors: np.ndarray, budget: int = 512, lam: float = 0.7) -> list[int]:
-    """Positions in the order of selection. The first pick is the most relevant, whatever its size. A later pick that goes
-    over the budget is dropped for good, and the most relevant of those that fit takes its place; without any it ends."""
-    n = len(relevance)
-    if not n:
-        return []
-    rel = np.array(relevance, float)
-    if (span := rel.max() - rel.min()) > 0:
-        rel = (rel - rel.min()) / span
-    unit = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)
-    sim = unit @ unit.T
-    chosen, left, used = [], list(range(n)), 0
-    while left:
-        score = rel[left] if not chosen else np.round(lam * rel[left] - (1 - lam) * sim[np.ix_(left, chosen)].max(1), 9)
-        pick = left[int(np.argmax(score))]
-        if chosen and used + tokens[pick] > budget:
-            left.remove(pick)
-            fits = [i for i in left if used + tokens[i] <= budget]
-            if not fits:
-                break
-            pick = max(fits, key=lambda i: (rel[i], -i))
-        left.remove(pick)
-        chosen.append(pick)
-        used += tokens[pick]
-        if used >= budget:
-            break
-    return chosen
-
-
 def mmr_select(ranked: DataFrame, budget: int = 512, lam: float = 0.7) -> DataFrame:
-    """(query_id, ord, passage_id) from (query_id, passage_id, score, rank, n_tokens, vector), a bounded list a query."""
-
-    def one(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by("rank")
-        got = mmr(t.column("score").to_pylist(), t.column("n_tokens").to_pylist(), np.array(t.column("vector").to_pylist(), float), budget, lam)
-        return pa.table({"query_id": pa.array([key[0].as_py()] * len(got), pa.int64()), "ord": pa.array(range(1, len(got) + 1), pa.int64()), "passage_id": t.column("passage_id").take(pa.array(got, pa.int64()))})
-
-    return ranked.select("query_id", "passage_id", "score", "rank", F.col("n_tokens").cast("long").alias("n_tokens"), "vector").groupBy("query_id").applyInArrow(one, "query_id long, ord long, passage_id long")
+    """(query_id, ord, passage_id) from (query_id, passage_id, score, rank, n_tokens, vector), a bounded list a query: greedy
+    choice of what is relevant and unlike what is chosen, within a budget of tokens.
+
+    One expression folds over the list. Its state: the places that are chosen, those that are left, the tokens used, and
+    whether it has ended. A step takes the best place; the first is the most relevant, whatever its size. If another goes over
+    the budget, it is dropped for good, and the most relevant one that fits takes its place; without any, or with the budget
+    used up, the fold has ended.
+    """
+    q = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "passage_id", F.col("score").cast("double").alias("score"), F.col("n_tokens").cast("long").alias("n_tokens"), "vector"))).alias("l"))
+    lo, hi = F.array_min(F.transform("l", lambda x: x["score"])), F.array_max(F.transform("l", lambda x: x["score"]))
+    norm = lambda v: F.sqrt(dot(v, v)) + F.lit(1e-9)
+    q = q.select(
+        "query_id", F.transform("l", lambda x: x["passage_id"]).alias("ids"), F.transform("l", lambda x: x["n_tokens"]).alias("size"),
+        F.transform("l", lambda x: F.when(hi > lo, (x["score"] - lo) / (hi - lo)).otherwise(x["score"])).alias("rel"),
+        F.transform("l", lambda x: let(norm(x["vector"]), lambda n: F.transform(x["vector"], lambda v: v.cast("double") / n))).alias("unit"),
+    )
+    q = q.withColumn("sim", F.transform("unit", lambda a: F.transform("unit", lambda b: dot(a, b))))
+    at = lambda c, i: F.element_at(c, i)
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("chosen"), F.sequence(F.lit(1), F.size("ids")).alias("left"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("ended"))
+
+    def first_of(places: Column, score: Callable[[Column], Column]) -> Column:
+        """The place with the highest score, of equals the first; null without any."""
+        return -F.array_max(F.transform(places, lambda i: F.struct(score(i).alias("s"), (-i).alias("i"))))["i"]
+
+    def marginal(s: Column, i: Column) -> Column:
+        like = F.array_max(F.transform(s["chosen"], lambda j: at(at(F.col("sim"), i), j)))
+        return F.when(F.size(s["chosen"]) == 0, at(F.col("rel"), i)).otherwise(F.round(lam * at(F.col("rel"), i) - (1 - lam) * like, 9))
+
+    def taken(s: Column, place: Column, left: Column) -> Column:
+        used = s["used"] + at(F.col("size"), place)
+        go_on = F.struct(F.concat(s["chosen"], F.array(place)).alias("chosen"), F.array_remove(left, place).alias("left"), used.alias("used"), (used >= budget).alias("ended"))
+        return F.when(place.isNotNull(), go_on).otherwise(F.struct(s["chosen"].alias("chosen"), none.alias("left"), s["used"].alias("used"), F.lit(True).alias("ended")))
+
+    def step(s: Column, _: Column) -> Column:
+        fits = lambda i: s["used"] + at(F.col("size"), i) <= budget
+
+        def with_best(best: Column) -> Column:
+            instead = let(first_of(F.filter(s["left"], lambda i: (i != best) & fits(i)), lambda i: at(F.col("rel"), i)), lambda i: taken(s, i, F.array_remove(s["left"], best)))
+            return F.when((F.size(s["chosen"]) == 0) | fits(best), taken(s, best, s["left"])).otherwise(instead)
+
+        return F.when(s["ended"] | (F.size(s["left"]) == 0), s).otherwise(let(first_of(s["left"], lambda i: marginal(s, i)), with_best))
+
+    chosen = F.aggregate("ids", start, step, lambda s: s["chosen"])
+    picked = q.select("query_id", "ids", F.posexplode(chosen).alias("pos", "place"))
+    return picked.select("query_id", (F.col("pos") + 1).cast("long").alias("ord"), at(F.col("ids"), F.col("place")).alias("passage_id"))

@@ -29,5 +29,10 @@ def write_postings(postings: DataFrame, path: str, buckets: int = 64) -> None:
     postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
+def write_index(index: DataFrame, path: str) -> None:
+    """A sparse index of ``operators.retrieval.build_index``."""
+    index.write.mode("overwrite").parquet(path)
+
+
 def write_vectors(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").parquet(path)

@@ -85,6 +85,13 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame | None:
     return lines.mapInArrow(run, "triple_id long, head string, relation string, tail string")
 
 
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    """A sparse index as ``sinks.write_index`` wrote it, to search in without its texts."""
+    from asclera.operators.retrieval import INDEX
+
+    return spark.read.schema(INDEX).parquet(path)
+
+
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """A persisted index: (id, vector) or postings, as Parquet."""
+    """Written vectors (id, vector)."""
     return spark.read.parquet(path)

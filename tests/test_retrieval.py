@@ -8,24 +8,57 @@ from asclera.operators import retrieval as R
 M = [(1.0, (1, 0)), (0.9, (1, 0)), (0.5, (0, 1)), (0.1, (0.6, 0.8))]
 
 
+def chosen(spark, cases):
+    """The places that mmr_select takes of each case (relevances, tokens, vectors), in order."""
+    rows = [(q, i, float(r), i + 1, n, [float(x) for x in v]) for q, (rel, tokens, vectors) in enumerate(cases) for i, (r, n, v) in enumerate(zip(rel, tokens, vectors, strict=True))]
+    return spark.createDataFrame(rows, "query_id long, passage_id long, score double, rank long, n_tokens int, vector array<double>")
+
+
+def places(df, cases):
+    got = {q: [] for q in range(cases)}
+    for r in df.orderBy("query_id", "ord").collect():
+        assert r.ord == len(got[r.query_id]) + 1
+        got[r.query_id].append(r.passage_id)
+    return [got[q] for q in range(cases)]
+
+
 @pytest.mark.parametrize(
     ("tokens", "lam", "budget", "want"),
     [((1, 1, 1, 1), 0.7, 512, [0, 1, 2, 3]), ((1, 1, 1, 1), 0.5, 512, [0, 2, 1, 3]), ((4, 5, 3, 2), 0.7, 8, [0, 2]), ((4, 5, 3, 2), 0.7, 3, [0])],
 )
-def test_mmr(tokens, lam, budget, want):
-    assert R.mmr([r for r, _ in M], list(tokens), np.array([v for _, v in M], float), budget, lam) == want
+def test_mmr(spark, tokens, lam, budget, want):
+    df = chosen(spark, [([r for r, _ in M], tokens, [v for _, v in M])])
+    assert places(R.mmr_select(df, budget, lam), 1) == [want]
 
 
-def test_mmr_falls_back_to_relevance():
-    v = np.array([(1, 0), (0, 1), (1, 0), (0, 1)], float)
-    assert R.mmr([1.0, 0.9, 0.5, 0.4], [4, 9, 2, 2], v, 8, 0.5) == [0, 2, 3]
-
-
-def test_mmr_without_diversity_is_relevance_order():
+def test_mmr_falls_back_to_relevance_and_equals_a_plain_loop(spark):
+    v = [(1, 0), (0, 1), (1, 0), (0, 1)]
+    assert places(R.mmr_select(chosen(spark, [([1.0, 0.9, 0.5, 0.4], [4, 9, 2, 2], v)]), 8, 0.5), 1) == [[0, 2, 3]]
     rng = np.random.default_rng(1)
-    rel = rng.permutation(10) / 10
-    assert R.mmr(rel.tolist(), [1] * 10, rng.normal(size=(10, 4)), 10**9, 1.0) == np.argsort(-rel).tolist()
-    assert R.mmr([], [], np.empty((0, 2))) == []
+    cases = [(np.sort(rng.integers(0, 9, n))[::-1], rng.integers(1, 9, n).tolist(), rng.normal(size=(n, 3))) for n in rng.integers(1, 11, 40)]
+
+    def loop(rel, tokens, vectors, budget, lam):
+        rel = np.array(rel, float)
+        rel = (rel - rel.min()) / (rel.max() - rel.min()) if rel.max() > rel.min() else rel
+        unit = np.array([x / (np.sqrt(x @ x) + 1e-9) for x in np.asarray(vectors, float)])
+        free, out, used = set(range(len(rel))), [], 0
+        while free and used < budget:
+            value = {i: rel[i] if not out else round(lam * rel[i] - (1 - lam) * max(unit[i] @ unit[j] for j in out), 9) for i in free}
+            top = min(free, key=lambda i: (-value[i], i))
+            if out and used + tokens[top] > budget:
+                free -= {top}
+                small = [i for i in free if used + tokens[i] <= budget]
+                if not small:
+                    break
+                top = min(small, key=lambda i: (-rel[i], i))
+            free -= {top}
+            out += [top]
+            used += tokens[top]
+        return out
+
+    for budget, lam in ((15, 0.7), (10**6, 1.0), (6, 0.2)):
+        assert places(R.mmr_select(chosen(spark, cases), budget, lam), len(cases)) == [loop(*c, budget, lam) for c in cases]
+    assert R.mmr_select(chosen(spark, cases).where("false")).count() == 0
 
 
 def test_rerank_golden(spark):
@@ -44,6 +77,55 @@ def test_sparse_top_k_pads_breaks_ties_and_ignores_blanks(spark):
     assert got == [(1, 7, round(1.5 * np.log(2) ** 2, 6)), (1, 2, a), (1, 5, a), (1, 9, 0.0)]
 
 
+def test_index_is_written_read_and_gives_what_brute_force_gives(spark, tmp_path):
+    import math
+    import random
+    from collections import Counter
+
+    from asclera.sources.sinks import write_index
+    from asclera.sources.tables import load_index
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=rng.randrange(1, 30))) for _ in range(300)]
+    p = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    write_index(R.build_index(p, prior=None), str(tmp_path / "index"))
+    index = load_index(spark, str(tmp_path / "index"))
+    q = p.where("id < 12")
+    w = [{t: math.log1p(n) for t, n in Counter(x.split()).items()} for x in texts]
+    for block in (1000, 5):
+        got = {}
+        for r in R.retrieve(q, index, 7, block=block).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.passage_id, r.score))
+        for i in range(12):
+            scores = [(round(sum(x * w[j].get(t, 0) for t, x in w[i].items()), 6), -j) for j in range(300)]
+            want = sorted(scores, reverse=True)[:7]
+            assert [j for j, _ in got[i]] == [-j for _, j in want] and np.allclose([s for _, s in got[i]], [s for s, _ in want], atol=2e-6)
+
+
+def test_model_encoders_and_pooling(spark):
+    vocabulary = ["pain", "heart", "lung"]
+
+    def make():
+        def model(texts):
+            return [R.pooled_terms(np.array([[3.0 if v == t else -1.0 for v in vocabulary] for t in x.split()]), vocabulary) for x in texts]
+
+        return model
+
+    p = spark.createDataFrame([(1, "heart pain"), (2, "lung"), (3, "arm")], "id long, text string")
+    got = [(r.passage_id, r.score) for r in R.sparse_top_k(p.where("id = 1"), p, 3, R.ModelEncoder(make, 2), None).orderBy("rank").collect()]
+    assert got == [(1, round(2 * np.log1p(3) ** 2, 6)), (2, 0.0), (3, 0.0)]
+    logits = spark.createDataFrame([(1, "a", 1.0), (1, "a", 3.0), (1, "b", -2.0), (2, "a", None)], "id long, term string, logit double")
+    assert [tuple(r) for r in R.term_pooling(logits).collect()] == [(1, "a", np.log1p(3))]
+
+    def fails():
+        raise OSError("no model")
+
+    assert R.first_that_works(fails, lambda: R.WORDS) is R.WORDS
+    for makers, only in (((fails, lambda: R.WORDS), True), ((fails, fails), False)):
+        with pytest.raises(RuntimeError, match="no model"):
+            R.first_that_works(*makers, only_first=only)
+
+
 def test_blocks_of_queries_give_the_same(spark):
     rng = np.random.default_rng(2)
     v = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(60)], "id long, vector array<double>")
