@@ -5,6 +5,8 @@ Searches take as queries every question whose id is divisible by 50, against all
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,13 +14,15 @@ from asclera.functions import text as T
 from asclera.operators import concepts as C
 from asclera.operators import evaluation as E
 from asclera.operators import faithfulness as A
+from asclera.operators import grounding as G
 from asclera.operators import kg as K
 from asclera.operators import prompts as P
 from asclera.operators import retrieval as R
 from asclera.operators.inference import infer
 from asclera.plans.data import table
-from asclera.runtime import materialize, small
-from asclera.sources.tables import text_pairs
+from asclera.runtime import keep, materialize, shared_dir
+from asclera.sources.sinks import write_index
+from asclera.sources.tables import load_index, text_pairs
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,12 +131,25 @@ def postings_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("term").agg(F.count("*").alias("n_passages"), F.round(F.sum("weight"), 6).alias("weight"))
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.sparse_top_k(_queries(spark, sf_dir), _passages(spark, sf_dir))
+def _written(index: DataFrame, name: str) -> str:
+    """The path of a table that is written for a query, in the folder for such."""
+    path = f"{shared_dir(index.sparkSession)}/asclera/{name}-{uuid.uuid4().hex}"
+    keep(index.sparkSession, path)
+    return path
+
+
+def _grounding(spark: SparkSession, sf_dir: str, **options) -> G.Grounding:
+    """The pipeline over all passages, from an index that is written and read again, and all triples."""
+    p = _passages(spark, sf_dir)
+    index = R.build_index(p)
+    path = _written(index, "index")
+    write_index(index, path)
+    return G.Grounding(p.withColumnRenamed("id", "passage_id"), load_index(spark, path), materialize(_triples(spark, sf_dir), "triples"), **options)
 
 
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sparse(spark, sf_dir)
+    g = _grounding(spark, sf_dir)
+    return R.retrieve(_queries(spark, sf_dir), g.index)
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,42 +157,29 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.dense_top_k(e.where("vec_id % 50 = 0"), e).select("query_id", F.col("passage_id").alias("vec_id"), "score", "rank")
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sparse candidates, the texts of their passages, and the queries."""
-    found = materialize(_sparse(spark, sf_dir), "sparse")
-    wanted = small(found.select("passage_id").distinct())
-    texts = materialize(_passages(spark, sf_dir).join(wanted, "passage_id", "left_semi").dropDuplicates(["passage_id"]), "texts")
-    return found, texts, _queries(spark, sf_dir)
-
-
-def _reranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    found, texts, queries = _candidates(spark, sf_dir)
-    vectors = R.hashed_vectors(texts, "passage_id", "text")
-    return R.rerank(found, R.hashed_vectors(queries, "query_id", "question"), vectors), vectors, texts
-
-
 def rerank_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reranked(spark, sf_dir)[0]
-
-
-def _selected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ranked, vectors, texts = _reranked(spark, sf_dir)
-    r = ranked.join(vectors.withColumnRenamed("id", "passage_id"), "passage_id").join(texts.select("passage_id", T.token_count(F.col("text")).alias("n_tokens")), "passage_id")
-    return R.mmr_select(r), texts
+    return _grounding(spark, sf_dir).reranked(_queries(spark, sf_dir))[0]
 
 
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _selected(spark, sf_dir)[0]
+    return _grounding(spark, sf_dir).selected(_queries(spark, sf_dir))[0]
 
 
-def _blocks(chosen: DataFrame, order: str, texts: DataFrame) -> DataFrame:
-    c = chosen.join(texts, "passage_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(order, "text"))).alias("l"))
-    return c.select("query_id", P.evidence_block(F.transform("l", lambda x: x["text"])).alias("evidence"))
+def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in when re-ranking keeps nothing: the first five candidates."""
+    return _grounding(spark, sf_dir, k_dense=0).selected(_queries(spark, sf_dir))[0]
 
 
 def evidence_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked, _, texts = _reranked(spark, sf_dir)
-    return _blocks(ranked, "rank", texts)
+    ranked, _, texts = _grounding(spark, sf_dir).reranked(_queries(spark, sf_dir))
+    return G.evidence_blocks(ranked, texts, order="rank")
+
+
+def term_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten vectors are taken for the logits of a text's ten tokens over a vocabulary of their dimensions."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).cast("long").alias("id"), F.posexplode("embedding").alias("pos", "logit"))
+    t = R.term_pooling(e.select("id", F.format_string("t%03d", "pos").alias("term"), "logit"))
+    return t.select("id", "term", F.round("weight", 6).alias("weight"))
 
 
 def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,21 +213,52 @@ def kg_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalise_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All spans of the documents, and the spans that have a preferred name, in each category."""
-    known = [(s, c) for v in K.ALIASES.values() for s in v for c in ("Dx", "Rx", "Proc", "Fup")]
-    named = spark.createDataFrame(known + [("Lasix", "Rx"), ("Lasix", "Dx"), ("Diabetes", "Dx")], "span string, category string").coalesce(1)
+    known = spark.createDataFrame([(s, c) for v in K.ALIASES.values() for s in v for c in C.CATEGORIES], "span string, category string").coalesce(1)
     spans = span_categories(spark, sf_dir).select("span", "category")
-    return spans.unionByName(named).distinct().withColumn("preferred", K.normalised(F.col("span"), F.col("category")))
+    return spans.unionByName(known).distinct().withColumn("preferred", K.normalised(F.col("span"), F.col("category")))
 
 
 def grounded_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen, texts = _selected(spark, sf_dir)
-    q = _queries(spark, sf_dir)
-    has = _entities(spark, sf_dir).select("query_id").distinct().withColumn("has", F.lit(True))
-    k = K.kg_context(_subgraph(spark, sf_dir))
-    j = q.join(_blocks(chosen, "ord", texts), "query_id", "left").join(k, "query_id", "left").join(has, "query_id", "left")
-    knowledge = F.when(F.col("has").isNull(), P.NO_CONCEPTS).otherwise(F.coalesce("knowledge", F.lit(P.NO_KNOWLEDGE)))
-    p = P.grounded(F.col("question"), F.coalesce("evidence", F.lit(P.NO_EVIDENCE)), knowledge)
-    return j.select("query_id", p["system"].alias("system"), p["user"].alias("user"))
+    return _grounding(spark, sf_dir).prompts(_queries(spark, sf_dir))
+
+
+def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.evaluation_prompts(_queries(spark, sf_dir), G.PASSAGES, None, _grounding(spark, sf_dir))
+
+
+def switched_off_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grounding(spark, sf_dir, use_evidence=False, use_kg=False).prompts(_queries(spark, sf_dir))
+
+
+def config_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts of every setting and retrieval mode."""
+    s = materialize(E.train_test_split(_questions(spark, sf_dir), "id"), "split")
+    shots, g, out = P.few_shot_prefix(s.where("not is_test")), _grounding(spark, sf_dir), None
+    for retrieval in (G.NONE, G.PASSAGES, G.GRAPH):
+        p = materialize(G.evaluation_prompts(_queries(spark, sf_dir), retrieval, None, g), "prompts")
+        first = F.concat("prefix", F.lit("\n\n"), "user")
+        both = [p.select(F.lit("zero_shot").alias("setting"), "query_id", "user"), p.crossJoin(F.broadcast(shots)).select(F.lit("few_shot").alias("setting"), "query_id", first.alias("user"))]
+        for x in both:
+            x = x.withColumn("retrieval", F.lit(retrieval))
+            out = x if out is None else out.unionByName(x)
+    return out
+
+
+def _first_sentence_of_question():
+    import re
+
+    return lambda system, user: [re.match(r"[^.?!]*", u.rsplit("Input Question: ", 1)[1].rsplit("\n\nReformulated Question:", 1)[0]).group() for u in user]
+
+
+def reformulations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stub model that reads the question out of the grounded prompt and gives back its first sentence."""
+    return _grounding(spark, sf_dir).reformulate(_queries(spark, sf_dir), _first_sentence_of_question)
+
+
+def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Split, prompts, generation by a stub model and metrics of both settings without retrieval."""
+    m, _ = G.evaluate(_questions(spark, sf_dir), _first_sentence_of_question, [{"setting": s, "retrieval": G.NONE} for s in ("zero_shot", "few_shot")])
+    return m.select("setting", "retrieval", "n_samples", *[F.col(k).alias(k.lower()) for k in C.CATEGORIES], "macro_f1", "chr_pct", "risk", "fkgl", "rouge_l", "bleu")
 
 
 def base_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,18 +285,38 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.rouge_l(_pairs(spark, sf_dir).select("pred_id", "prediction", "reference")).select("pred_id", F.round("rouge_l", 6).alias("rouge_l"))
 
 
+def rouge_l_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.rouge_l(_pairs(spark, sf_dir).select("pred_id", "prediction", "reference"), stemmed=True).select("pred_id", F.round("rouge_l", 6).alias("rouge_l"))
+
+
+def _word_buckets():
+    """A stub encoder: a word is the unit vector of one of 64 buckets."""
+    import hashlib
+    import re
+
+    import numpy as np
+
+    eye = np.eye(64)
+    return lambda texts: [eye[[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64 for w in re.findall(r"[a-z0-9]+", t.lower())]] for t in texts]
+
+
+def bert_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = E.bert_score(_pairs(spark, sf_dir).select("pred_id", "prediction", "reference"), _word_buckets)
+    return b.select("pred_id", *[F.round(c, 6).alias(c) for c in ("bert_p", "bert_r", "bert_f1")])
+
+
 def bleu4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.bleu(_pairs(spark, sf_dir), ("run_id",)).select("run_id", F.round("bleu", 6).alias("bleu"))
+    return E.bleu(_pairs(spark, sf_dir), ("run_id",), id_col="pred_id").select("run_id", F.round("bleu", 6).alias("bleu"))
 
 
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.metrics(materialize(_pairs(spark, sf_dir), "pairs"))
+    return E.metrics(materialize(_pairs(spark, sf_dir), "pairs"), id_col="pred_id")
 
 
 def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every configuration with the metrics of its run; those without a run have nulls."""
     runs = table(spark, sf_dir, "eval_runs")
-    m = E.metrics(materialize(_pairs(spark, sf_dir), "pairs"), ("run_id",))
+    m = E.metrics(materialize(_pairs(spark, sf_dir), "pairs"), ("run_id",), id_col="pred_id")
     return runs.join(m, "run_id", "left").select("run_id", "model_name", "setting", "retrieval", "n_samples", *[F.col(k).alias(k.lower()) for k in C.CATEGORIES], "macro_f1", "chr_pct", "risk", "fkgl", "rouge_l", "bleu")
 
 

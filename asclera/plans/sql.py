@@ -215,6 +215,18 @@ longest AS (SELECT query_id, ids, sel FROM (SELECT *, row_number() OVER (PARTITI
 selected AS (SELECT query_id, unnest(range(1, len(sel) + 1)) AS ord, ids[unnest(sel)] AS passage_id FROM longest)"""
 
 
+_BLOCKS = f"""{_MMR}, {_SUBGRAPH.replace(_QUERIES + ', ', '')},
+evidence AS (SELECT query_id, string_agg('[E' || ord || '] ' || replace({_strip('text')}, chr(10), ' '), chr(10) ORDER BY ord) AS evidence FROM selected JOIN passages USING (passage_id) WHERE ord <= 5 GROUP BY query_id),
+knowledge AS (SELECT query_id, string_agg('• (' || head || ') --[' || relation || ']--> (' || tail || ')', chr(10) ORDER BY ord) AS knowledge FROM sub GROUP BY query_id),
+known AS (SELECT query_id, question, coalesce(evidence, {_text(P.NO_EVIDENCE)}) AS evidence, CASE WHEN query_id NOT IN (SELECT query_id FROM entities) THEN {_text(P.NO_CONCEPTS)} ELSE coalesce(knowledge, {_text(P.NO_KNOWLEDGE)}) END AS knowledge
+  FROM queries LEFT JOIN evidence USING (query_id) LEFT JOIN knowledge USING (query_id))"""
+_PREFIX = f"""shots AS (SELECT * FROM split WHERE NOT is_test ORDER BY h, id LIMIT 3),
+prefix AS (SELECT {_text(P.FEW_SHOT)} || chr(10) || string_agg('Input: ' || source || chr(10) || 'Reformulated: ' || target || chr(10), chr(10) ORDER BY h, id) AS p FROM shots)"""
+_BUCKETS = "list_transform(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+'), lambda w: ('0x' || substr(md5(w), 1, 8))::bigint % 64)"
+_RUN = f"""{_SPLIT},
+pairs AS (SELECT id * 2 + k AS pred_id, 0 AS run_id, setting, source, regexp_extract(source, '^[^.?!]*') AS prediction, target AS reference FROM split, (VALUES ('zero_shot', 0), ('few_shot', 1)) v(setting, k) WHERE is_test)"""
+
+
 def oracle_sql() -> dict[str, str]:
     low = {k: k.lower() for k in cfg.CATEGORIES}
     bucket = ", ".join(f"coalesce(string_agg(span, '; ' ORDER BY pos) FILTER (category = '{k}'), '') AS {v}" for k, v in low.items())
@@ -224,7 +236,7 @@ def oracle_sql() -> dict[str, str]:
     score = "(" + " + ".join(same.values()) + ") / 4"
     risk = "CASE WHEN {0} >= 40 THEN 'High' WHEN {0} >= 30 THEN 'Moderate' ELSE 'Low' END"
     aliases = " ".join(f"WHEN category IN ({_list([c for c, v in cfg.VOCABULARY_OF.items() if v == voc])}) AND lower(span) = {_text(s)} THEN {_text(to)}" for voc, names in cfg.ALIASES.items() for s, to in names.items())
-    named = [(s, c) for v in cfg.ALIASES.values() for s in v for c in cfg.CATEGORIES] + [("Lasix", "Rx"), ("Lasix", "Dx"), ("Diabetes", "Dx")]
+    named = [(s, c) for v in cfg.ALIASES.values() for s in v for c in cfg.CATEGORIES]
     header = "Faithfulness F1 report: all runs on meqsum"
     lines = [_text(header), _text("-" * len(header)), "printf('  F1          : %.4f', m)", f"printf('  CHR%%        : %.2f%%  [', (1 - m) * 100) || {risk.format('((1 - m) * 100)')} || ']'"]
     lines += [f"printf('  F1 ({k:4s})  : %.4f', f1_{v})" for k, v in low.items()]
@@ -266,16 +278,25 @@ def oracle_sql() -> dict[str, str]:
         "base_prompt": f"WITH {_QUESTIONS} SELECT id, {_text(P.SYSTEM)} AS system, {_fill(P.BASE, question='source')} AS user FROM questions",
         "training_prompt": f"WITH {_QUESTIONS} SELECT id, {_fill(P.TRAINING.replace('{evidence}', '(no evidence)').replace('{knowledge}', '(no knowledge context)'), question='source')} AS user, target FROM questions",
         "mmr_select": f"WITH RECURSIVE {_MMR} SELECT query_id, ord, passage_id FROM selected",
-        "grounded_prompt": f"WITH RECURSIVE {_MMR}, {_SUBGRAPH.replace(_QUERIES + ', ', '')}, evidence AS (SELECT query_id, string_agg('[E' || ord || '] ' || replace({_strip('text')}, chr(10), ' '), chr(10) ORDER BY ord) AS evidence FROM selected JOIN passages USING (passage_id) WHERE ord <= 5 GROUP BY query_id), "
-        "knowledge AS (SELECT query_id, string_agg('• (' || head || ') --[' || relation || ']--> (' || tail || ')', chr(10) ORDER BY ord) AS knowledge FROM sub GROUP BY query_id), "
-        f"known AS (SELECT query_id, question, coalesce(evidence, {_text(P.NO_EVIDENCE)}) AS evidence, CASE WHEN query_id NOT IN (SELECT query_id FROM entities) THEN {_text(P.NO_CONCEPTS)} ELSE coalesce(knowledge, {_text(P.NO_KNOWLEDGE)}) END AS knowledge "
-        f"FROM queries LEFT JOIN evidence USING (query_id) LEFT JOIN knowledge USING (query_id)) SELECT query_id, {_text(P.SYSTEM)} AS system, {_fill(P.GROUNDED, evidence='evidence', knowledge='knowledge', question='question')} AS user FROM known",
+        "grounded_prompt": f"WITH RECURSIVE {_BLOCKS} SELECT query_id, {_text(P.SYSTEM)} AS system, {_fill(P.GROUNDED, evidence='evidence', knowledge='knowledge', question='question')} AS user FROM known",
+        "rag_prompt": f"WITH RECURSIVE {_BLOCKS} SELECT query_id, {_text(P.SYSTEM)} AS system, {_fill(P.GROUNDED.replace('{knowledge}', P.KNOWLEDGE_OFF), evidence='evidence', question='question')} AS user FROM known",
+        "switched_off_prompt": f"WITH {_QUERIES} SELECT query_id, {_text(P.SYSTEM)} AS system, {_fill(P.GROUNDED.replace('{evidence}', P.EVIDENCE_OFF).replace('{knowledge}', P.KNOWLEDGE_OFF), question='question')} AS user FROM queries",
+        "config_prompts": f"WITH RECURSIVE {_BLOCKS}, {_SPLIT}, {_PREFIX}, prompts AS (SELECT 'none' AS retrieval, query_id, {_fill(P.BASE, question='question')} AS user FROM queries "
+        f"UNION ALL SELECT 'rag', query_id, {_fill(P.GROUNDED.replace('{knowledge}', P.KNOWLEDGE_OFF), evidence='evidence', question='question')} FROM known UNION ALL SELECT 'ekg_rag', query_id, {_fill(P.GROUNDED, evidence='evidence', knowledge='knowledge', question='question')} FROM known) "
+        "SELECT 'zero_shot' AS setting, retrieval, query_id, user FROM prompts UNION ALL SELECT 'few_shot', retrieval, query_id, p || chr(10) || chr(10) || user FROM prompts, prefix",
+        "reformulations": f"WITH {_QUERIES} SELECT query_id, regexp_extract(question, '^[^.?!]*') AS output FROM queries",
+        "first_candidates": f"WITH {_SPARSE} SELECT query_id, rank AS ord, passage_id FROM sparse WHERE rank <= 5",
+        "term_pooling": "SELECT id, printf('t%03d', i) AS term, round(w, 6) AS weight FROM (SELECT vec_id // 10 AS id, i, max(ln(1 + greatest(x::double, 0))) AS w FROM "
+        "(SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY ALL) WHERE w > 0",
+        "evaluation_run": f"WITH RECURSIVE {_per_category('setting').replace(_PAIRS, _RUN)}, {_measured('setting')} SELECT setting, 'none' AS retrieval, n_samples, f1_dx AS dx, f1_rx AS rx, f1_proc AS proc, f1_fup AS fup, macro_f1, chr_pct, risk, fkgl, rouge_l, bleu FROM measured",
+        "bert_score": f"WITH {_PAIRS}, b AS (SELECT pred_id, {_BUCKETS.format('prediction')} AS p, {_BUCKETS.format('reference')} AS r FROM pairs), "
+        "s AS (SELECT pred_id, CASE WHEN len(p) * len(r) = 0 THEN 0.0::double ELSE len(list_filter(p, lambda x: list_contains(r, x))) / len(p)::double END AS bp, CASE WHEN len(p) * len(r) = 0 THEN 0.0::double ELSE len(list_filter(r, lambda x: list_contains(p, x))) / len(r)::double END AS br FROM b) "
+        "SELECT pred_id, round(bp, 6) AS bert_p, round(br, 6) AS bert_r, round(CASE WHEN bp + br = 0 THEN 0 ELSE 2 * bp * br / (bp + br) END, 6) AS bert_f1 FROM s",
         "rouge_l": f"WITH RECURSIVE {_PAIRS}, {_ROUGE} SELECT pred_id, round(rouge_l, 6) AS rouge_l FROM rouges",
         "eval_metrics": f"WITH RECURSIVE {_per_category('one').replace('pairs AS (SELECT pred_id, run_id', 'pairs AS (SELECT 1 AS one, pred_id, run_id')}, {_measured('one')} SELECT n_samples, fkgl, rouge_l, macro_f1, chr_pct, risk, f1_dx AS \"Dx\", f1_rx AS \"Rx\", f1_proc AS \"Proc\", f1_fup AS \"Fup\", bleu FROM measured",
         "experiment_grid": f"WITH RECURSIVE {_per_category('run_id')}, {_measured('run_id')} SELECT run_id, model_name, setting, retrieval, n_samples, f1_dx AS dx, f1_rx AS rx, f1_proc AS proc, f1_fup AS fup, macro_f1, chr_pct, risk, fkgl, rouge_l, bleu FROM eval_runs LEFT JOIN measured USING (run_id)",
         "train_test_split": f"WITH {_SPLIT} SELECT id, is_test FROM split",
-        "few_shot_prompt": f"WITH {_SPLIT}, shots AS (SELECT * FROM split WHERE NOT is_test ORDER BY h, id LIMIT 3), prefix AS (SELECT {_text(P.FEW_SHOT)} || chr(10) || "
-        f"string_agg('Input: ' || source || chr(10) || 'Reformulated: ' || target || chr(10), chr(10) ORDER BY h, id) AS p FROM shots) SELECT id, p || chr(10) || chr(10) || {_fill(P.BASE, question='source')} AS user FROM split, prefix WHERE is_test",
+        "few_shot_prompt": f"WITH {_SPLIT}, {_PREFIX} SELECT id, p || chr(10) || chr(10) || {_fill(P.BASE, question='source')} AS user FROM split, prefix WHERE is_test",
         "bleu4": f"WITH {_PAIRS}, {_bleu('run_id')} SELECT run_id, round(bleu, 6) AS bleu FROM bleus",
         "batch_inference": f"WITH {_QUESTIONS} SELECT id, regexp_extract(source, '^[^.?!]*') AS output FROM questions",
         "event_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",

@@ -32,15 +32,20 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Cut the lineage of df: write it as a table to the shared folder and read that. The table goes when Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/asclera/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(release_all)
-    _written[path] = spark
+    keep(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
+def keep(spark: SparkSession, path: str) -> None:
+    """Count a path as a table of ``materialize``: it is deleted in the end."""
+    if not _written:
+        atexit.register(release_all)
+    _written[path] = spark
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables of ``materialize`` that nothing reads any more, and let Spark remove the shuffle files of plans that are out of use;
     it does so when the driver collects its garbage."""
@@ -83,4 +88,4 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= most else df
 
 
-__all__ = ["BROADCAST_ROWS", "materialize", "partitions_for", "release", "release_all", "shared_dir", "small", "spread"]
+__all__ = ["BROADCAST_ROWS", "keep", "materialize", "partitions_for", "release", "release_all", "shared_dir", "small", "spread"]
