@@ -4,8 +4,11 @@ A record is the string of its words, rarest first (all records in the same order
 difference). If two records share at least ``threshold`` of the words of the larger one, no more than k = (1 - threshold) n
 of a record's n words are edited away. Cut into k + 1 segments from its rare end, one word each, an evaluation record keeps
 at least one of them intact, and the training record has it among its own first k + 1 words, which are the allowed
-positions. Records that meet in a segment are compared by an upper bound of their overlap from 256-bit sketches, in
-vectors, and what is left is verified by banded dynamic programming over the whole strings.
+positions. Records that meet in a segment are compared by an upper bound of their overlap: 256 parities of their words differ
+in no more places than the words do. What is left is verified by banded dynamic programming over the whole strings.
+
+Rows of a segment come to a task in order and are worked off as they come. Segments with more than ``HOT`` pairs, or more rows
+than a task holds, are streamed past and split into blocks.
 
 Which words are rare comes from counts over all records, in a table of fixed size (words that share a slot share a count,
 which costs time but no pair). Records with equal words are one class from the start, so copies cost nothing however many.
@@ -28,8 +31,8 @@ from asclera.runtime import materialize, partitions_for, small, spread
 
 SLOTS = 1 << 18
 _PARTS = "key long, cls long, train boolean, n int, s0 long, s1 long, s2 long, s3 long"
-#: Pairs of one segment that are compared in one task; more are compared in blocks.
-HOT = 1 << 27
+#: Pairs of one segment that are compared in one task; more are compared in blocks. Rows that a task holds.
+HOT, HELD = 1 << 27, 1_000_000
 
 
 def _slot(features: np.ndarray) -> np.ndarray:
@@ -72,8 +75,11 @@ def _segments(often: np.ndarray, threshold: float):
             take[has[new]] = True
             keep = (place < first[text]) & take[text]
             owner = text[keep]
+            place_of, one = (features >> np.uint64(6)) & np.uint64(3), np.uint64(1) << (features & np.uint64(63))
             bits = np.zeros((len(counts), 4), np.uint64)
-            np.bitwise_or.at(bits, (text, ((features >> np.uint64(6)) & np.uint64(3)).astype(np.int64)), np.uint64(1) << (features & np.uint64(63)))
+            starts = (np.cumsum(counts) - counts)[has]
+            for i in range(4):
+                bits[has, i] = np.bitwise_xor.reduceat(np.where(place_of == i, one, np.uint64(0)), starts)
             own = np.zeros(len(counts), np.uint64)
             own[has] = cls
             yield pa.record_batch(
@@ -84,21 +90,25 @@ def _segments(often: np.ndarray, threshold: float):
     return run
 
 
-def _near(ea: np.ndarray, ta: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Evaluation rows x training rows (cls, n, s0..s3) -> the pairs whose overlap can reach the threshold."""
-    left, right = [], []
-    step = max(1, 2_000_000 // max(1, len(ta)))
-    for at in range(0, len(ea), step):
-        e = ea[at : at + step]
-        most = np.maximum(e["n"][:, None], ta["n"][None, :])
-        least = np.minimum(e["n"][:, None], ta["n"][None, :])
-        x, y = np.nonzero(least >= threshold * most - 1e-9)
-        lost = sum(np.bitwise_count(e[s][x] & ~ta[s][y]).astype(np.int32) for s in ("s0", "s1", "s2", "s3"))
-        extra = sum(np.bitwise_count(ta[s][y] & ~e[s][x]).astype(np.int32) for s in ("s0", "s1", "s2", "s3"))
-        ok = np.minimum(e["n"][x] - lost, ta["n"][y] - extra) >= threshold * most[x, y] - 1e-9
-        left.append(e["cls"][x[ok]])
-        right.append(ta["cls"][y[ok]])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
+def _near(e: np.ndarray, t: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Evaluation rows x training rows (cls, n, s0..s3), both by rising n -> the pairs whose overlap can reach the threshold."""
+    if not len(e) or not len(t):
+        return
+    need = np.ceil(threshold * np.arange(max(e["n"][-1], t["n"][-1]) + 1) - 1e-9).astype(np.int32)
+    es, ts = (np.ascontiguousarray([x[f"s{i}"] for i in range(4)]) for x in (e, t))
+    en, tn = e["n"].astype(np.int32), t["n"].astype(np.int32)
+    for at in range(0, len(e), 32):
+        x = slice(at, at + 32)
+        low, high = np.searchsorted(tn, need[en[at]]), np.searchsorted(tn, int(en[x][-1] / threshold + 1e-6), "right")
+        for begin in range(low, high, 4096):
+            y = slice(begin, min(begin + 4096, high))
+            differ = np.bitwise_count(es[0, x, None] ^ ts[0, y]).astype(np.int16)
+            for i in range(1, 4):
+                differ += np.bitwise_count(es[i, x, None] ^ ts[i, y])
+            i, j = np.nonzero(differ <= en[x, None] + tn[y] - 2 * need[np.maximum(en[x, None], tn[y])])
+            n, m = en[x][i], tn[y][j]
+            ok = np.minimum(n, m) >= need[np.maximum(n, m)]
+            yield e["cls"][x][i[ok]], t["cls"][y][j[ok]]
 
 
 _ROW = np.dtype([("key", np.int64), ("cls", np.int64), ("train", bool), ("n", np.int64)] + [(f"s{i}", np.uint64) for i in range(4)])
@@ -115,31 +125,68 @@ def _rows(tables: list) -> np.ndarray:
     return out
 
 
-def _met(threshold: float, hot: int):
-    """Rows of segments -> candidate pairs (key, cls, other); the rows of hot segments as they are, with other null."""
+def _in_order(rows: np.ndarray) -> np.ndarray:
+    """By segment, evaluation rows first, by rising length; a class once."""
+    rows = rows[np.lexsort((rows["cls"], rows["n"], rows["train"], rows["key"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["train"][1:] != rows["train"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])
+    return rows[new]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _rows(list(batches))
-        rows = rows[np.lexsort((rows["train"], rows["key"]))]
+
+def _met(threshold: float, hot: int, held: int = HELD):
+    """Rows in the order of their segments -> candidate pairs (key, cls, other); rows of hot segments as they are, with other null."""
+
+    def as_they_are(rows: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.ascontiguousarray(rows[f]).view(np.int64) if f[0] == "s" else rows[f].astype(np.int32) if f == "n" else rows[f]) for f in _ROW.names]
+        return pa.record_batch([*columns, pa.nulls(len(rows), pa.int64())], names=[*_ROW.names, "other"])
+
+    def compared(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = _in_order(rows)
         edge = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1]))) if len(rows) else np.empty(0, np.int64)
         ends = np.append(edge, len(rows))
         trained = np.add.reduceat(rows["train"].astype(np.int64), edge) if len(edge) else edge
         size = np.diff(ends)
-        found = []
+        found, n = [], 0
         for k in np.flatnonzero((trained > 0) & (trained < size)).tolist():
-            own = rows[ends[k] : ends[k + 1]]
-            _, one = np.unique(np.stack([own["cls"], own["train"]]), axis=1, return_index=True)
-            own = own[np.sort(one)]
-            e, t = own[~own["train"]], own[own["train"]]
-            if len(e) * len(t) > hot:
-                yield pa.record_batch([pa.array(own[f].view(np.int64) if f[0] == "s" else own[f].astype(np.int32) if f == "n" else own[f]) for f in _ROW.names] + [pa.nulls(len(own), pa.int64())], names=[*_ROW.names, "other"])
-            else:
-                found.append(np.stack(_near(e, t, threshold)))
+            own, cut = rows[ends[k] : ends[k + 1]], int(size[k] - trained[k])
+            if cut * int(trained[k]) > hot:
+                yield as_they_are(own)
+                continue
+            for p in _near(own[:cut], own[cut:], threshold):
+                if len(p[0]):
+                    found.append(np.stack(p))
+                    n += len(p[0])
+            if n > 1_000_000:
+                found, n = [np.unique(np.concatenate(found, 1), axis=1)], 0
         if found:
             a, b = np.unique(np.concatenate(found, 1), axis=1)
             none = pa.nulls(len(a), pa.int64())
             yield pa.record_batch([none, pa.array(a), pa.nulls(len(a), pa.bool_()), pa.nulls(len(a), pa.int32()), none, none, none, none, pa.array(b)], names=[*_ROW.names, "other"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n, streamed = [], 0, None
+        for batch in batches:
+            rows = _rows([batch])
+            if streamed is not None:  # the rest of a segment that no task holds goes on as it comes
+                same = rows["key"] == streamed
+                yield as_they_are(rows[same])
+                if same.all():
+                    continue
+                rows, streamed = rows[~same], None
+            parts.append(rows)
+            n += len(rows)
+            if n >= held:
+                all_ = np.concatenate(parts)
+                cut = int(np.flatnonzero(all_["key"] == all_["key"][-1])[0])
+                yield from compared(all_[:cut])
+                rest = _in_order(all_[cut:])
+                if len(rest) >= held // 2:
+                    yield as_they_are(rest)
+                    streamed, rest = rest["key"][0], rest[:0]
+                parts, n = [rest], len(rest)
+        if n:
+            yield from compared(np.concatenate(parts))
+
     return run
 
 
@@ -153,8 +200,9 @@ def _in_blocks(rows: DataFrame, threshold: float, each: int = 8192) -> DataFrame
     cells = r.select("key", "cls", "train", "n", "s0", "s1", "s2", "s3", F.when(F.col("train"), F.col("other_block")).otherwise(F.col("own")).alias("i"), F.when(F.col("train"), F.col("own")).otherwise(F.col("other_block")).alias("j"))
 
     def cell(_: tuple, table: pa.Table) -> pa.Table:
-        own = _rows([table])
-        a, b = _near(own[~own["train"]], own[own["train"]], threshold)
+        own = _in_order(_rows([table]))
+        found = [np.stack(p) for p in _near(own[~own["train"]], own[own["train"]], threshold)]
+        a, b = np.concatenate([np.empty((2, 0), np.int64), *found], 1)
         return pa.table({"a": a, "b": b})
 
     return cells.groupBy("key", "i", "j").applyInArrow(cell, "a long, b long")
@@ -187,15 +235,21 @@ def banded_overlap(a: list[np.ndarray], b: list[np.ndarray], threshold: float) -
     return best
 
 
-def _verified(threshold: float):
+def _verified(threshold: float, cells: int = 4_000_000):
+    """Pairs of strings, as many at a time as make about ``cells`` cells of a band, those of like lengths together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                x = whole.slice(at, 500)
-                a, b = ([np.frombuffer(v, np.uint64) for v in x.column(c).to_pylist()] for c in ("fa", "fb"))
-                overlap = banded_overlap(a, b, threshold) / np.array([max(len(p), len(q)) for p, q in zip(a, b, strict=True)])
-                ok = pa.array(overlap >= threshold - 1e-9)
-                yield pa.record_batch([x.column("a").filter(ok), x.column("b").filter(ok), pa.array(overlap).filter(ok)], names=["a", "b", "overlap"])
+        for x in batches:
+            a, b = ([np.frombuffer(v, np.uint64) for v in x.column(c).to_pylist()] for c in ("fa", "fb"))
+            longest = np.array([max(len(p), len(q)) for p, q in zip(a, b, strict=True)], np.int64)
+            order = np.argsort(-longest, kind="stable")
+            overlap = np.zeros(x.num_rows)
+            while len(order):
+                n = int(longest[order[0]])
+                own, order = np.split(order, [max(1, cells // (n + 2 * (int((1 - threshold) * n) + 1)))])
+                overlap[own] = banded_overlap([a[i] for i in own], [b[i] for i in own], threshold) / longest[own]
+            ok = pa.array(overlap >= threshold - 1e-9)
+            yield pa.record_batch([x.column("a").filter(ok), x.column("b").filter(ok), pa.array(overlap).filter(ok)], names=["a", "b", "overlap"])
 
     return run
 
@@ -217,7 +271,7 @@ def _members(with_features: bool):
     return run
 
 
-def cross_split_overlaps(df: DataFrame, id_col: str, question_col: str, other_col: str, split_col: str, threshold: float = 0.8, hot: int = HOT) -> DataFrame:
+def cross_split_overlaps(df: DataFrame, id_col: str, question_col: str, other_col: str, split_col: str, threshold: float = 0.8, hot: int = HOT, held: int = HELD) -> DataFrame:
     """(eval_id, train_id, overlap): the pairs of a record outside and one inside the training split that overlap enough."""
     spark = df.sparkSession
     given = df.select(
@@ -230,8 +284,8 @@ def cross_split_overlaps(df: DataFrame, id_col: str, question_col: str, other_co
     often[slots["slot"]] = slots["n"]
 
     rows = given.mapInArrow(_segments(often, threshold), _PARTS)
-    rows = rows.repartition(partitions_for(spark, df.count() * 25), "key")
-    found = materialize(rows.mapInArrow(_met(threshold, hot), _PARTS + ", other long"), "segments")
+    rows = rows.repartition(partitions_for(spark, df.count() * 25), "key").sortWithinPartitions("key")
+    found = materialize(rows.mapInArrow(_met(threshold, hot, held), _PARTS + ", other long"), "segments")
     candidates = found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b"))
     heavy = found.where("other is null").drop("other")
     if not heavy.isEmpty():

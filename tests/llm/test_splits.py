@@ -26,8 +26,8 @@ def test_equals_brute_force_also_in_blocks(spark):
     df = spark.createDataFrame([(*r, "x", "train", 1) for r in rows], COLS)
     ok = {i: (f"{q}\n{s or ''}", (p or "").strip().lower() == "train") for i, q, s, p in rows if q and any(c.isalnum() for c in q)}
     want = {(i, j) for i, (x, t) in ok.items() if not t for j, (y, u) in ok.items() if u and i != j and overlap(x, y) >= 0.8 - 1e-9}
-    for hot in (S.HOT, 10):
-        got = [(r.eval_id, r.train_id) for r in S.cross_split_overlaps(df, "pair_id", "chq", "summary", "split_name", hot=hot).collect()]
+    for hot, held in ((S.HOT, S.HELD), (10, S.HELD), (S.HOT, 20)):
+        got = [(r.eval_id, r.train_id) for r in S.cross_split_overlaps(df, "pair_id", "chq", "summary", "split_name", hot=hot, held=held).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert (9005, 9004) in want and (8100, 8003) in want
 
