@@ -56,6 +56,8 @@ def _classes(features: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _segments(often: np.ndarray, threshold: float):
+    """(id, text, train) -> a row for each segment of a record, and one with its id as key and no words for the record itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for b in batches:
@@ -82,6 +84,8 @@ def _segments(often: np.ndarray, threshold: float):
                 bits[has, i] = np.bitwise_xor.reduceat(np.where(place_of == i, one, np.uint64(0)), starts)
             own = np.zeros(len(counts), np.uint64)
             own[has] = cls
+            none = pa.array(np.zeros(len(has), np.int64))
+            yield pa.record_batch([b.column("id").take(pa.array(has)), pa.array(cls.view(np.int64)), pa.array(train[has]), none.cast(pa.int32()), none, none, none, none], names=["key", "cls", "train", "n", "s0", "s1", "s2", "s3"])
             yield pa.record_batch(
                 [pa.array(features[order][keep].view(np.int64)), pa.array(own[owner].view(np.int64)), pa.array(train[owner]), pa.array(counts[owner].astype(np.int32))] + [pa.array(np.ascontiguousarray(bits[owner, i]).view(np.int64)) for i in range(4)],
                 names=["key", "cls", "train", "n", "s0", "s1", "s2", "s3"],
@@ -134,7 +138,8 @@ def _in_order(rows: np.ndarray) -> np.ndarray:
 
 
 def _met(threshold: float, hot: int, held: int = HELD):
-    """Rows in the order of their segments -> candidate pairs (key, cls, other); rows of hot segments as they are, with other null."""
+    """Rows in the order of their segments -> candidate pairs (key, cls, other); rows of hot segments and of whole records as they
+    are, with other null."""
 
     def as_they_are(rows: np.ndarray) -> pa.RecordBatch:
         columns = [pa.array(np.ascontiguousarray(rows[f]).view(np.int64) if f[0] == "s" else rows[f].astype(np.int32) if f == "n" else rows[f]) for f in _ROW.names]
@@ -167,6 +172,9 @@ def _met(threshold: float, hot: int, held: int = HELD):
         parts, n, streamed = [], 0, None
         for batch in batches:
             rows = _rows([batch])
+            if not rows["n"].all():
+                yield as_they_are(rows[rows["n"] == 0])
+                rows = rows[rows["n"] > 0]
             if streamed is not None:  # the rest of a segment that no task holds goes on as it comes
                 same = rows["key"] == streamed
                 yield as_they_are(rows[same])
@@ -254,21 +262,13 @@ def _verified(threshold: float, cells: int = 4_000_000):
     return run
 
 
-def _members(with_features: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            features, counts = multiset_features(b.column("text").to_pylist(), hashes)
-            cls, has = _classes(features, counts)
-            own = pa.array(cls.view(np.int64))
-            if with_features:
-                ends = np.cumsum(counts)
-                yield pa.record_batch([own, pa.array([np.sort(features[ends[i] - counts[i] : ends[i]]).tobytes() for i in has.tolist()], pa.binary())], names=["cls", "features"])
-            else:
-                at = pa.array(has)
-                yield pa.record_batch([b.column("id").take(at), own, b.column("train").take(at)], names=["id", "cls", "train"])
-
-    return run
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for b in batches:
+        features, counts = multiset_features(b.column("text").to_pylist(), hashes)
+        cls, has = _classes(features, counts)
+        ends = np.cumsum(counts)
+        yield pa.record_batch([pa.array(cls.view(np.int64)), pa.array([np.sort(features[ends[i] - counts[i] : ends[i]]).tobytes() for i in has.tolist()], pa.binary())], names=["cls", "features"])
 
 
 def cross_split_overlaps(df: DataFrame, id_col: str, question_col: str, other_col: str, split_col: str, threshold: float = 0.8, hot: int = HOT, held: int = HELD) -> DataFrame:
@@ -287,17 +287,18 @@ def cross_split_overlaps(df: DataFrame, id_col: str, question_col: str, other_co
     rows = rows.repartition(partitions_for(spark, df.count() * 25), "key").sortWithinPartitions("key")
     found = materialize(rows.mapInArrow(_met(threshold, hot, held), _PARTS + ", other long"), "segments")
     candidates = found.where("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b"))
-    heavy = found.where("other is null").drop("other")
+    heavy = found.where("other is null and n > 0").drop("other")
     if not heavy.isEmpty():
         candidates = candidates.unionByName(_in_blocks(heavy, threshold))
     candidates = materialize(candidates.distinct(), "candidates")
 
     needed = small(materialize(candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "needed"))
-    features = given.mapInArrow(_members(True), "cls long, features binary").join(needed, "cls", "left_semi").dropDuplicates(["cls"])
+    members = materialize(found.where("n = 0").select(F.col("key").alias("id"), "cls", "train").join(needed, "cls", "left_semi").distinct(), "members")
+    first = materialize(members.groupBy("cls").agg(F.min("id").alias("id")), "representatives")
+    features = given.join(small(first.select("id").distinct()), "id", "left_semi").mapInArrow(_features, "cls long, features binary").dropDuplicates(["cls"])
     features = materialize(features, "features")
     pairs = candidates.join(features.select(F.col("cls").alias("a"), F.col("features").alias("fa")), "a").join(features.select(F.col("cls").alias("b"), F.col("features").alias("fb")), "b")
     links = pairs.select("a", "b", "fa", "fb").mapInArrow(_verified(threshold), "a long, b long, overlap double")
-    members = given.mapInArrow(_members(False), "id long, cls long, train boolean").distinct()
     e = members.where("not train").select(F.col("cls").alias("a"), F.col("id").alias("eval_id"))
     t = members.where("train").select(F.col("cls").alias("b"), F.col("id").alias("train_id"))
     return links.join(e, "a").join(t, "b").where("eval_id != train_id").select("eval_id", "train_id", "overlap").distinct()
