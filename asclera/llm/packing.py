@@ -7,13 +7,15 @@ ones whose sum fits its expanded gap most tightly. Only a block's last sequences
 
 Defined results: a document longer than the capacity is cut into pieces of the capacity and a rest, which is packed as any
 other document; no other is cut. Null and empty texts have no tokens and join a sequence of their block without taking
-room. Rows that repeat an id are packed as often as they are given; rows without an id are left out. No documents give no rows.
+room. Rows that repeat an id are packed as often as they are given; rows without an id are packed as any other and given out
+with a null id. No documents give no rows. The vocabulary file is read by the driver and sent to the executors.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +34,20 @@ OUT = "sequence long, position int, id long, piece int, token_from long, n_token
 class TokenCounter:
     """Tokens of a text. Strings of special tokens are ordinary text."""
 
-    def __init__(self, ranks: str = RANKS):
+    def __init__(self, ranks: str | bytes = RANKS):
+        """ranks: the path of a vocabulary file, or what it holds."""
         import tiktoken
 
-        with open(ranks, "rb") as f:
-            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if isinstance(ranks, str):
+            ranks = Path(ranks).read_bytes()
+        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encode = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
 
     def __call__(self, text: str | None) -> int:
         return len(self.encode(text)) if text else 0
 
 
-def _counts(ranks: str):
+def _counts(ranks: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = TokenCounter(ranks)
         for b in batches:
@@ -55,7 +59,7 @@ def _counts(ranks: str):
 def token_counts(df: DataFrame, id_col: str, text_col: str, ranks: str = RANKS) -> DataFrame:
     """(id, n): the tokens of each text."""
     texts = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
-    return texts.mapInArrow(_counts(ranks), "id long, n long")
+    return texts.mapInArrow(_counts(Path(ranks).read_bytes()), "id long, n long")
 
 
 class _Sizes:
@@ -152,20 +156,21 @@ def pack_block(ids: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple
 def pack(df: DataFrame, id_col: str, text_col: str, capacity: int = 2048, block_docs: int = 100_000, ranks: str = RANKS) -> DataFrame:
     """One row for each document or piece: sequence, position, id, piece, token_from, n_tokens."""
     blocks = max(1, -(-df.count() // block_docs))
-    sizes = token_counts(df, id_col, text_col, ranks).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    sizes = token_counts(df, id_col, text_col, ranks).withColumn("block", F.pmod(F.xxhash64(F.coalesce("id", "n")), F.lit(blocks)).cast("int"))
 
     def block(key: tuple, t: pa.Table) -> pa.Table:
-        rows = pack_block(t.column("id").to_numpy(), t.column("n").to_numpy(), capacity)
+        t = t.sort_by("id")
+        rows = pack_block(np.arange(t.num_rows), t.column("n").to_numpy(), capacity)
         own = key[0].as_py()
         c = list(zip(*rows, strict=True)) or [[]] * 6
         return pa.table(
             {
-                "sequence": pa.array([b * blocks + own for b in c[0]], pa.int64()), "position": pa.array(c[1], pa.int32()), "id": pa.array(c[2], pa.int64()),
+                "sequence": pa.array([b * blocks + own for b in c[0]], pa.int64()), "position": pa.array(c[1], pa.int32()), "id": t.column("id").take(pa.array(c[2], pa.int64())),
                 "piece": pa.array(c[3], pa.int32()), "token_from": pa.array(c[4], pa.int64()), "n_tokens": pa.array(c[5], pa.int32()),
             }
         )
 
-    return sizes.where("id is not null").groupBy("block").applyInArrow(block, OUT)
+    return sizes.groupBy("block").applyInArrow(block, OUT)
 
 
 def room(packed: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -5,7 +5,7 @@ For each level an interpolated trigram model of words is fitted to the texts tha
 where there are several). A text's surprisal is taken token by token under every model; the expected grade under the
 softmax of the mean surprisals is a score, and isotonic regression on cross-fitted scores maps it to a grade.
 
-Defined results: null texts and texts without a word have no level; texts that are not in the wanted language have none;
+Defined results: null texts are left out; texts without a word, and those that are not in the wanted language, have a null level;
 grades that are null or not from 1 to 5 are left out; repeated rows give one row; whole texts count, however long.
 """
 
@@ -177,9 +177,9 @@ def _leveled(models: ReadingLevels, languages: Languages, wanted: str, margin: f
             scores = languages.scores(texts)
             grade, middle, high = models.grades(texts)
             grade[scores.max(1) - scores[:, own] > margin] = np.nan
-            keep = np.flatnonzero(~np.isnan(grade))
+            none = np.isnan(grade)
             yield pa.record_batch(
-                [b.column("id").take(keep), b.column("field").take(keep), pa.array(grade[keep]), pa.array(middle[keep]), pa.array(high[keep])],
+                [b.column("id"), b.column("field"), *[pa.array(x, pa.float64(), mask=none) for x in (grade, middle, high)]],
                 names=["id", "field", "grade", "median_bits", "p90_bits"],
             )
 
@@ -187,7 +187,7 @@ def _leveled(models: ReadingLevels, languages: Languages, wanted: str, margin: f
 
 
 def reading_levels(texts: DataFrame, models: ReadingLevels, languages: Languages, wanted: str = "en", margin: float = 1.0) -> DataFrame:
-    """(id, field, grade, level, median_bits, p90_bits) of the texts (id, field, text) in the wanted language."""
+    """(id, field, grade, level, median_bits, p90_bits) of the texts (id, field, text); null grades of those in other languages."""
     given = texts.select(F.col("id").cast("long").alias("id"), F.col("field").cast("string").alias("field"), F.col("text").cast("string").alias("text")).where("text is not null")
     out = spread(given).mapInArrow(_leveled(models, languages, wanted, margin), "id long, field string, grade double, median_bits double, p90_bits double").distinct()
-    return out.withColumn("level", F.least(F.lit(5), F.greatest(F.lit(1), F.floor(F.col("grade") + 0.5))).cast("int"))
+    return out.withColumn("level", F.when(F.col("grade").isNotNull(), F.least(F.lit(5), F.greatest(F.lit(1), F.floor(F.col("grade") + 0.5)))).cast("int"))

@@ -8,7 +8,7 @@ from asclera.llm import confusables as C
 @pytest.mark.parametrize(
     ("a", "b", "same"),
     [
-        ("café", "café", True), ("ｆｕｌｌ １２", "full 12", True), ("a​b﻿c­", "abc", True), ("a b　c d", "a b c d", True), ("раin", "pain", True), ("Νausea", "Nausea", True), ("ﬁne ﬂu", "fine flu", True),
+        ("café", "café", True), ("ｆｕｌｌ １２", "full 12", True), ("a​b﻿c­", "abc", True), ("a b　c d", "a b c d", True), ("раin", "pain", True), ("Νausea", "Nausea", True), ("Ꮲain", "Pain", True), ("ꓑain", "Pain", True), ("Ⲣain", "Pain", True), ("ᴄold", "cold", True), ("ꓑꓮ", "PA", False), ("ᎪᎷ", "AM", False), ("ﬁne ﬂu", "fine flu", True),
         ("5 µg", "5 μg", True), ("a‑b‐c", "a-b-c", True), ("（12）， a", "(12), a", True), ("𝐛old", "bold", True), ("⁠x", "x", True),
         ("café", "cafe", False), ("Pain", "pain", False), ("pain.", "pain", False), ("3⁵", "35", False), ("5 mg", "5 µg", False), ("a  b", "a b", False), ("сор", "cop", False), ("ΑΒ", "AB", False), ("a\nb", "a b", False), ("0", "O", False), ("ß", "ss", False), ("½", "1/2", False),
     ],
@@ -36,4 +36,14 @@ def test_pairs(spark):
 
 def test_a_third_of_the_rows_look_the_same(spark):
     rows = [(i, "hot text") for i in range(40)] + [(100, "hоt text")] + [(200 + i, f"other {i}") for i in range(80)]
-    assert C.lookalike_pairs(spark.createDataFrame(rows, "id long, t string"), "id", "t").count() == 40
+    df = spark.createDataFrame(rows, "id long, t string")
+    assert C.lookalike_pairs(df, "id", "t").count() == C.lookalike_pairs(df, "id", "t", hot=7).count() == 40
+
+
+def test_a_table_from_a_file(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("\ufeff# a comment\n\n13D2 ;\t0057 ;\tMA\t# W\n2CA6 ; 0054 ; MA\n0031 ; 006C ; MA # a digit stays\n2573 ; 0058 ; MA # box\n0430 ; 0061 ; MA\n0448 ; 006D 006D ; MA\n", "utf-8")
+    table = C.read_table(str(tmp_path / "list.txt"))
+    assert C.skeleton("a╳b", table) == "aXb" != C.skeleton("a╳b") and C.skeleton("Ꮢater", table) == "Water" and C.skeleton("шa 11", table) == "mma 11" and C.skeleton("шаш", table) == "шаш"
+    df = spark.createDataFrame([(1, "a╳b"), (2, "aXb")], "id long, t string")
+    assert C.lookalike_pairs(df, "id", "t").count() == 0 and C.lookalike_pairs(df, "id", "t", table).count() == 1
+    assert {r.form for r in C.consistent_texts(df, "id", "t", table).collect()} == {"aXb"}

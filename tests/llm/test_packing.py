@@ -43,6 +43,9 @@ def test_pack(spark):
                 assert (piece, start) == (k, at)
                 at += size
             assert at == n
+    nameless = spark.createDataFrame([(None, "one two three"), (None, "word " * 600), (7, "x")], "doc_id long, text string")
+    got = sorted((r.id is None, r.n_tokens) for r in P.pack(nameless, "doc_id", "text", 256).collect())
+    assert sum(n for none, n in got if none) == sum(map(count, ("one two three", "word " * 600))) and (False, 1) in got
     room = P.room(P.pack(df, "doc_id", "text", 256), 256).first()
     assert room.sequences * 256 - room.tokens == room.unused and room.sequences <= room.least_sequences + 1
     assert P.pack(df.where("false"), "doc_id", "text").count() == 0
