@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from asclera.operators.hierarchy import normal
-from asclera.runtime import small
+from asclera.runtime import BROADCAST_ROWS, materialize, small
 
 _OTHER, _COMMA, _QUOTE, _BLANK, _BREAK, _END = range(6)
 START, PLAIN, QUOTED, QUOTE_SEEN, CLOSED, BROKEN = range(6)
@@ -90,6 +91,86 @@ def tokenize(records: list[str | None]) -> list[tuple[list[str] | None, int, int
     return out
 
 
+_PIECE = "file string, block long, line long, kind int, raw string"
+#: What a piece of a block of a file is: a whole record, the end of one, a part without either end, the start of one.
+_WHOLE, _HEAD, _MIDDLE, _TAIL = range(4)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (file, block, line, value, odd), block after block -> pieces of records. odd: whether the block begins inside
+    quotes. A line ends a record if as many quotes as not have been seen."""
+    at, inside, inherited, held, first = None, False, False, [], 0
+
+    def left() -> list[tuple]:
+        return [(*at, first, _MIDDLE if inherited else _TAIL, "\n".join(held))] if held else []
+
+    for b in batches:
+        files, blocks, lines, odd = (b.column(c).to_pylist() for c in ("file", "block", "line", "odd"))
+        values, quotes = b.column("value"), pc.count_substring(b.column("value"), '"').to_numpy(zero_copy_only=False)
+        if not (quotes & 1).any() and not held and not any(odd):  # as in nearly all batches: each line is a record
+            at = (files[-1], blocks[-1])
+            inside = False
+            yield pa.record_batch([b.column("file"), b.column("block"), b.column("line"), pa.array(np.full(b.num_rows, _WHOLE, np.int32)), values], names=["file", "block", "line", "kind", "raw"])
+            continue
+        out: list[tuple] = []
+        for f, k, i, o, v, q in zip(files, blocks, lines, odd, values.to_pylist(), quotes.tolist(), strict=True):
+            if (f, k) != at:
+                out += left()
+                at, inside, inherited, held = (f, k), o, o, []
+            if not held:
+                first = i
+            held.append(v)
+            inside ^= bool(q & 1)
+            if not inside:
+                out.append((f, k, first, _HEAD if inherited else _WHOLE, "\n".join(held)))
+                held, inherited = [], False
+        yield _piece_batch(out)
+    if held:
+        yield _piece_batch(left())
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+    return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["file", "block", "line", "kind", "raw"])
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(record, raw): the records of text files, where a line break inside double quotes doesn't end one. Every block of a file
+    is read by itself: first the parities of its quotes are counted, and composed from block to block; then each is cut into
+    records, and those that lie across blocks are put together from their pieces. ``record`` tells them apart. In a file with
+    a quote too many the rest is one record."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value"
+    )
+    blocks = lines.groupBy("file", "block").agg(F.sum(F.regexp_count("value", F.lit('"'))).alias("quotes"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    odd = materialize(blocks.select("file", "block", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2 == 1).alias("odd")), "blocks")
+    if odd.count() > BROADCAST_ROWS:
+        raise ValueError("too many blocks of files in one read")
+    pieces = materialize(lines.join(F.broadcast(odd), ["file", "block"]).mapInArrow(_pieces, _PIECE), "pieces")
+    whole = pieces.where(F.col("kind") == _WHOLE).select(F.col("line").alias("record"), "raw")
+    order = Window.partitionBy("file").orderBy("block", "kind")
+    cut = pieces.where(F.col("kind") != _WHOLE).withColumn("n", F.sum((F.col("kind") == _TAIL).cast("int")).over(order))
+    parts = cut.groupBy("file", "n").agg(F.min("line").alias("record"), F.array_sort(F.collect_list(F.struct("block", "kind", "raw"))).alias("l"))
+    return whole.unionByName(parts.select("record", F.array_join(F.transform("l", lambda x: x["raw"]), "\n").alias("raw")))
+
+
+def read_fields(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """The header (of the first record), and (record, v, fields, bad) of all other records, with all their values. A record that
+    is the header again, as in a second file, is left out."""
+    records = materialize(read_records(spark, path), "records")
+    first = records.orderBy("record").limit(1).collect()
+    header = (tokenize([first[0].raw])[0][0] or []) if first else []
+    rest = records.where(F.col("raw") != first[0].raw) if first else records
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = tokenize(b.column(1).to_pylist())
+            yield pa.record_batch([b.column(0), pa.array([v for v, _, _ in got], pa.list_(pa.string())), pa.array([n for _, n, _ in got], pa.int32()), pa.array([o for _, _, o in got], pa.int64())], names=["record", "v", "fields", "bad"])
+
+    return header, rest.mapInArrow(run, "record long, v array<string>, fields int, bad long")
+
+
 def _tokenized(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +35,15 @@ def text_pairs(df: DataFrame, id_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(s).alias("source"), F.col(t).alias("target")).dropna(subset=["source", "target"]).distinct()
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """(source, target) of a CSV file with a header; quoted fields may hold line breaks."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    s, t = pair_columns(df.columns)
-    return df.select(F.col(s).alias("source"), F.col(t).alias("target")).dropna()
+def read_pairs(spark: SparkSession, path: str, source: str | None = None, target: str | None = None) -> DataFrame:
+    """(source, target) of a CSV file with a header; quoted fields may hold line breaks. The columns are those named, or found
+    by ``pair_columns``. Rows that lack either text, or don't have as many fields as the header, are left out."""
+    from asclera.sources.records import read_fields
+
+    header, rows = read_fields(spark, path)
+    s, t = (header.index(c) for c in ((source, target) if source and target else pair_columns(header)))
+    rows = rows.where(F.col("fields") == len(header))
+    return rows.select(F.nullif(F.col("v")[s], F.lit("")).alias("source"), F.nullif(F.col("v")[t], F.lit("")).alias("target")).dropna()
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -59,30 +60,19 @@ def corpus_of(spark: SparkSession, passages: list[str]) -> DataFrame:
 def read_triples(spark: SparkSession, path: str) -> DataFrame | None:
     """(triple_id, head, relation, tail) of a CSV file with a header, None if it doesn't exist. Rows with fewer than three
     fields are skipped; the tokenizer of ``records`` tells them from rows with an empty last field."""
-    from asclera.sources.records import tokenize
+    from asclera.sources.records import read_fields
 
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return None
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), F.col("value"))
-    first = lines.orderBy("id").limit(1).collect()
-    header = [h.strip().lower() for h in (tokenize([first[0].value])[0][0] or [])] if first else []
-    at = {k: next((header.index(n) for n in names if n in header), None) for k, names in TRIPLE_NAMES.items()}
+    header, rows = read_fields(spark, path)
+    names_of = [h.strip().lower() for h in header]
+    at = {k: next((names_of.index(n) for n in names if n in names_of), None) for k, names in TRIPLE_NAMES.items()}
     if None in at.values():
         at = {"head": 0, "relation": 1, "tail": 2}
-    skip = first[0].id if first else -1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, (v, n, _) in zip(b.column(0).to_pylist(), tokenize(b.column(1).to_pylist()), strict=True):
-                if i != skip and v is not None and n >= 3 and n > max(at.values()):
-                    rows.append((i, *(v[at[k]] for k in ("head", "relation", "tail"))))
-            c = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.record_batch([pa.array(c[0], pa.int64()), *[pa.array(x, pa.string()) for x in c[1:]]], names=["triple_id", "head", "relation", "tail"])
-
-    return lines.mapInArrow(run, "triple_id long, head string, relation string, tail string")
+    rows = rows.where((F.col("fields") >= 3) & (F.col("fields") > max(at.values())) & F.col("v").isNotNull())
+    return rows.select(F.col("record").alias("triple_id"), *[F.col("v")[i].alias(k) for k, i in at.items()])
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:

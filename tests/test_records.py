@@ -68,3 +68,33 @@ def test_quoting_agrees_with_a_pattern():
     raws = ["".join(rng.choices('a,"" \n', k=rng.randrange(0, 14))) for _ in range(3000)]
     for (_, _, bad), raw in zip(R.tokenize(raws), raws, strict=True):
         assert (bad == -1) == bool(re.fullmatch(f"{field}(?:,{field})*", raw)), repr(raw)
+
+
+def test_records_across_blocks_equal_the_csv_module(spark, tmp_path):
+    import csv
+    import io
+    import random
+
+    from asclera.sources.records import read_fields, read_records
+
+    rng = random.Random(9)
+    rows = [[rng.choice(["plain", 'has "quotes"', "two\nlines", "a,b", "", "x" * 90, "many\n" * 30]) + str(i), str(i)] for i in range(120)]
+    want = sorted(map(tuple, rows))
+    for name, part in (("a.csv", rows[:80]), ("b.csv", rows[80:])):
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([["text", "n"], *part])
+        (tmp_path / name).write_text(out.getvalue())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "700", "150"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            header, got = read_fields(spark, str(tmp_path))
+            assert header == ["text", "n"]
+            assert sorted((r.v[0], r.v[1]) for r in got.collect()) == [(t.strip(" \t"), n) for t, n in want]
+            ids = [r.record for r in read_records(spark, str(tmp_path)).collect()]
+            assert len(ids) == len(set(ids)) == 122
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "open").mkdir()
+    (tmp_path / "open" / "c.csv").write_text('a,b\n1,2\n"never closed\n3,4\n')
+    assert sorted(r.raw for r in read_records(spark, str(tmp_path / "open")).collect()) == ['"never closed\n3,4', "1,2", "a,b"]
