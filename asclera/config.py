@@ -7,25 +7,29 @@ from dataclasses import dataclass, field
 CATEGORIES = ("Dx", "Rx", "Proc", "Fup")
 
 # The default clinical lexicon.
-DX = (
-    "syndrome disease disorder cancer carcinoma tumor infection deficiency failure insufficiency dysfunction "
-    "neuropathy arthritis diabetes hypertension anemia hepatitis cirrhosis sepsis pneumonia asthma copd "
-    "nephritis nephropathy sclerosis fibrosis stenosis"
-).split()
-RX = (
-    "mg mcg tablet capsule dose injection infusion aspirin ibuprofen metformin insulin warfarin heparin "
-    "statin atorvastatin lisinopril metoprolol amoxicillin prednisone albuterol omeprazole furosemide amlodipine "
-    "losartan gabapentin levothyroxine clopidogrel ondansetron"
-).split()
-PROC = (
-    "surgery procedure biopsy catheterization transplant resection excision repair replacement anastomosis "
-    "nephrolithotomy nephrostomy endoscopy colonoscopy angioplasty stenting ablation dialysis chemotherapy "
-    "radiotherapy radiation mri ct ultrasound x-ray echocardiography echocardiogram"
-).split()
-FUP = (
-    "follow follow-up followup monitor monitoring recheck revisit repeat return clinic appointment "
-    "schedule referral refer consultation consult check test retest screen surveillance"
-).split()
+DX = [
+    "syndrome", "disease", "disorder", "cancer", "carcinoma", "tumor", "infection", "deficiency", "failure",
+    "insufficiency", "dysfunction", "neuropathy", "arthritis", "diabetes", "hypertension", "anemia", "hepatitis",
+    "cirrhosis", "sepsis", "pneumonia", "asthma", "copd", "nephritis", "nephropathy", "sclerosis", "fibrosis",
+    "stenosis",
+]
+RX = [
+    "mg", "mcg", "tablet", "capsule", "dose", "injection", "infusion", "aspirin", "ibuprofen", "metformin", "insulin",
+    "warfarin", "heparin", "statin", "atorvastatin", "lisinopril", "metoprolol", "amoxicillin", "prednisone",
+    "albuterol", "omeprazole", "furosemide", "amlodipine", "losartan", "gabapentin", "levothyroxine", "clopidogrel",
+    "ondansetron",
+]
+PROC = [
+    "surgery", "procedure", "biopsy", "catheterization", "transplant", "resection", "excision", "repair", "replacement",
+    "anastomosis", "nephrolithotomy", "nephrostomy", "endoscopy", "colonoscopy", "angioplasty", "stenting", "ablation",
+    "dialysis", "chemotherapy", "radiotherapy", "radiation", "mri", "ct", "ultrasound", "x-ray", "echocardiography",
+    "echocardiogram",
+]
+FUP = [
+    "follow", "follow-up", "followup", "monitor", "monitoring", "recheck", "revisit", "repeat", "return", "clinic",
+    "appointment", "schedule", "referral", "refer", "consultation", "consult", "check", "test", "retest", "screen",
+    "surveillance",
+]
 
 # Word endings and doses that decide a category.
 PROC_SUFFIX = r"(otomy|oscopy|ectomy|plasty|ography|ogram|gram)\b"
