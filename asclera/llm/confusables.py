@@ -6,7 +6,7 @@ Greek or Cyrillic words are genuine as long as the whole word is of that script;
 script they become the letters that they look like. A single space is a single space, however wide; other runs of white
 space stay as they are.
 
-The table of look-alike letters here has those of eight scripts. A larger one, such as the public list of Unicode TS 39, is a
+The table of look-alike letters here has those of six scripts beside Latin ones. A larger one, such as the public list of Unicode TS 39, is a
 parameter (``read_table``): letters of other scripts in it follow the same rule, all other characters that are not ASCII always
 become their prototypes.
 
