@@ -138,13 +138,13 @@ def _written(index: DataFrame, name: str) -> str:
     return path
 
 
-def _grounding(spark: SparkSession, sf_dir: str, **options) -> G.Grounding:
-    """The pipeline over all passages, from an index that is written and read again, and all triples."""
+def _grounding(spark: SparkSession, sf_dir: str, graph: bool = False, **options) -> G.Grounding:
+    """The pipeline over all passages, from an index that is written and read again, and with ``graph`` all triples."""
     p = _passages(spark, sf_dir)
     index = R.build_index(p)
     path = _written(index, "index")
     write_index(index, path)
-    return G.Grounding(p.withColumnRenamed("id", "passage_id"), load_index(spark, path), materialize(_triples(spark, sf_dir), "triples"), **options)
+    return G.Grounding(p.withColumnRenamed("id", "passage_id"), load_index(spark, path), materialize(_triples(spark, sf_dir), "triples") if graph else None, **options)
 
 
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +219,7 @@ def normalise_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grounded_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grounding(spark, sf_dir).prompts(_queries(spark, sf_dir))
+    return _grounding(spark, sf_dir, graph=True).prompts(_queries(spark, sf_dir))
 
 
 def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +233,7 @@ def switched_off_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def config_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompts of every setting and retrieval mode."""
     s = materialize(E.train_test_split(_questions(spark, sf_dir), "id"), "split")
-    shots, g, out = P.few_shot_prefix(s.where("not is_test")), _grounding(spark, sf_dir), None
+    shots, g, out = P.few_shot_prefix(s.where("not is_test")), _grounding(spark, sf_dir, graph=True), None
     for retrieval in (G.NONE, G.PASSAGES, G.GRAPH):
         p = materialize(G.evaluation_prompts(_queries(spark, sf_dir), retrieval, None, g), "prompts")
         first = F.concat("prefix", F.lit("\n\n"), "user")
@@ -252,7 +252,7 @@ def _first_sentence_of_question():
 
 def reformulations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stub model that reads the question out of the grounded prompt and gives back its first sentence."""
-    return _grounding(spark, sf_dir).reformulate(_queries(spark, sf_dir), _first_sentence_of_question)
+    return _grounding(spark, sf_dir, graph=True).reformulate(_queries(spark, sf_dir), _first_sentence_of_question)
 
 
 def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
