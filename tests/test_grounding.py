@@ -61,6 +61,30 @@ def test_evaluation_prompts(spark, questions, grounding):
         G.Grounding.from_sources(spark)
 
 
+def test_evidence_at_hand_is_not_searched_again(monkeypatch, questions, grounding):
+    modes = (G.PASSAGES, G.GRAPH)
+    want = [sorted(map(tuple, G.evaluation_prompts(questions, m, None, grounding).collect())) for m in modes]
+    evidence = grounding.evidence(questions)
+    monkeypatch.setattr(G.Grounding, "candidates", lambda *_: pytest.fail("searched again"))
+    assert [sorted(map(tuple, G.evaluation_prompts(questions, m, None, grounding, evidence).collect())) for m in modes] == want
+
+
+def test_config_prompts_search_once(spark, monkeypatch, tmp_path):
+    from asclera.plans import reference
+
+    tables = {
+        "meqsum": ([(i, f"question {i} on diabetes", f"short {i}") for i in range(101)], "pair_id long, chq string, summary string"),
+        "pubmed_medlineplus_passages": (list(enumerate(PASSAGES)), "passage_id long, passage_text string"),
+        "umls_triples": ([(1, "metformin", "treats", "diabetes")], "triple_id long, head string, relation string, tail string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    searches, candidates = [], G.Grounding.candidates
+    monkeypatch.setattr(G.Grounding, "candidates", lambda self, q: searches.append(1) or candidates(self, q))
+    got = reference.config_prompts(spark, str(tmp_path)).groupBy("setting", "retrieval").count().collect()
+    assert len(got) == 6 and {r["count"] for r in got} == {3} and len(searches) == 1
+
+
 def test_evaluate(spark, grounding):
     pairs = spark.createDataFrame([(i, f"question {i} on diabetes", f"QUESTION {i} ON DIABETES") for i in range(10)], "id long, source string, target string")
     configs = [{"setting": s, "retrieval": r} for s in ("zero_shot", "few_shot") for r in (G.NONE, G.GRAPH)]

@@ -147,3 +147,36 @@ def test_evidence_block(spark):
 def test_fill_keeps_braces_and_percent(spark):
     df = spark.createDataFrame([("100% {x}", None)], "q string, e string")
     assert df.select(P.fill("a {q} b {e}!", q=F.col("q"), e=F.col("e"))).first()[0] == "a 100% {x} b !"
+
+
+@pytest.mark.parametrize(("least", "words"), [(0, 40), (-3, 40), (0, 4000)])
+def test_few_pairs_are_scored_twice_and_none_is_lost(monkeypatch, least, words):
+    """Ties, ids given more than once, rows without terms, weights below 0; terms that all have, and terms that few have."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    n, m, k = 6000, 60, 5
+    terms = [rng.choice(words, rng.integers(0, 12), replace=False) * 1_000_003 - 10**7 for _ in range(n + m)]
+    weights = [rng.integers(least, 4, len(t)) / 7 for t in terms]
+    ids, prior = rng.integers(0, 5500, n), rng.choice([1.0, 1.2], n)
+    both = [pa.array([x.tolist() for x in v[:n]], pa.list_(t)) for v, t in ((terms, pa.int64()), (weights, pa.float64()))]
+    index = pa.record_batch([pa.array(ids), pa.array(prior), *both], names=["id", "prior", "terms", "weights"])
+    queries = [SimpleNamespace(id=100 + i, terms=terms[n + i].tolist(), weights=weights[n + i].tolist()) for i in range(m)]
+    twice, exact = [], R._Search.exact
+    monkeypatch.setattr(R._Search, "exact", lambda self, c, query, row: twice.append(len(query)) or exact(self, c, query, row))
+    got = {q.id: [] for q in queries}
+    for b in R._sparse(queries, k, block=17, each=500)(iter([index.slice(0, 2500), index.slice(2500)])):
+        for q, i, s in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            got[q].append((-s, i))
+    of = [dict(zip(t.tolist(), w.tolist(), strict=True)) for t, w in zip(terms, weights, strict=True)]
+    for j, q in enumerate(queries):
+        best = {}
+        for i in range(n):
+            s = round(sum(of[n + j].get(t, 0) * w for t, w in of[i].items()) * prior[i], 6)
+            best[ids[i]] = max(best.get(ids[i], -np.inf), s)
+        want = sorted((-s, i) for i, s in best.items())[:k]
+        mine = sorted(got[q.id])
+        assert [i for _, i in mine] == [i for _, i in want] and np.allclose([s for s, _ in mine], [s for s, _ in want], atol=2e-6)
+    assert least < 0 or sum(twice) < 0.05 * n * m
