@@ -281,7 +281,7 @@ def oracle_sql() -> dict[str, str]:
         "grounded_prompt": f"WITH RECURSIVE {_BLOCKS} SELECT query_id, {_text(P.SYSTEM)} AS system, {_fill(P.GROUNDED, evidence='evidence', knowledge='knowledge', question='question')} AS user FROM known",
         "rag_prompt": f"WITH RECURSIVE {_BLOCKS} SELECT query_id, {_text(P.SYSTEM)} AS system, {_fill(P.GROUNDED.replace('{knowledge}', P.KNOWLEDGE_OFF), evidence='evidence', question='question')} AS user FROM known",
         "switched_off_prompt": f"WITH {_QUERIES} SELECT query_id, {_text(P.SYSTEM)} AS system, {_fill(P.GROUNDED.replace('{evidence}', P.EVIDENCE_OFF).replace('{knowledge}', P.KNOWLEDGE_OFF), question='question')} AS user FROM queries",
-        "config_prompts": f"WITH RECURSIVE {_BLOCKS}, {_SPLIT}, {_PREFIX}, prompts AS (SELECT 'none' AS retrieval, query_id, {_fill(P.BASE, question='question')} AS user FROM queries "
+        "config_prompts": f"WITH RECURSIVE {_BLOCKS.replace('pair_id % 50 = 0', 'pair_id IS NOT NULL')}, {_SPLIT}, {_PREFIX}, prompts AS (SELECT 'none' AS retrieval, query_id, {_fill(P.BASE, question='question')} AS user FROM queries "
         f"UNION ALL SELECT 'rag', query_id, {_fill(P.GROUNDED.replace('{knowledge}', P.KNOWLEDGE_OFF), evidence='evidence', question='question')} FROM known UNION ALL SELECT 'ekg_rag', query_id, {_fill(P.GROUNDED, evidence='evidence', knowledge='knowledge', question='question')} FROM known) "
         "SELECT 'zero_shot' AS setting, retrieval, query_id, user FROM prompts UNION ALL SELECT 'few_shot', retrieval, query_id, p || chr(10) || chr(10) || user FROM prompts, prefix",
         "reformulations": f"WITH {_QUERIES} SELECT query_id, regexp_extract(question, '^[^.?!]*') AS output FROM queries",

@@ -85,6 +85,28 @@ def test_config_prompts_search_once(spark, monkeypatch, tmp_path):
     assert len(got) == 6 and {r["count"] for r in got} == {3} and len(searches) == 1
 
 
+def test_config_prompts_of_all_questions(spark, tmp_path):
+    """Whatever their ids; none without an id or a text; as the SQL has them."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    asked = [(i, f"Could metformin help with diabetes and {w}?", f"short {i}") for i, w in ((1, "eyes"), (2, "sugar"), (50, "feet"), (77, "sleep"), (77, "sleep"))]
+    tables = {
+        "meqsum": ([*asked, (3, " ", "blank"), (4, None, "none"), (None, "diabetes without an id", None)], "pair_id long, chq string, summary string"),
+        "pubmed_medlineplus_passages": (list(enumerate(PASSAGES)), "passage_id long, passage_text string"),
+        "umls_triples": ([(1, "metformin", "treats", "diabetes")], "triple_id long, head string, relation string, tail string"),
+    }
+    con = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        path = str(tmp_path / f"{name}.parquet")
+        spark.createDataFrame(rows, schema).write.parquet(path)
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}/*.parquet'")
+    got = sorted(map(tuple, entry.queries()["config_prompts"](spark, str(tmp_path)).select("setting", "retrieval", "query_id", "user").collect()))
+    assert {r[2] for r in got} == {1, 2, 50, 77} and len(got) == 24
+    assert got == sorted(con.execute(f"SELECT setting, retrieval, query_id, user FROM ({entry.oracle_sql()['config_prompts']})").fetchall())
+
+
 def test_evaluate(spark, grounding):
     pairs = spark.createDataFrame([(i, f"question {i} on diabetes", f"QUESTION {i} ON DIABETES") for i in range(10)], "id long, source string, target string")
     configs = [{"setting": s, "retrieval": r} for s in ("zero_shot", "few_shot") for r in (G.NONE, G.GRAPH)]

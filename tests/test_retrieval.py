@@ -133,6 +133,20 @@ def test_blocks_of_queries_give_the_same(spark):
     assert one == many and len(one) == 300
 
 
+def test_passes_and_runs_give_the_same(spark, monkeypatch):
+    rng, words = np.random.default_rng(3), [f"w{i}" for i in range(30)]
+    p, q = (spark.createDataFrame([(i, " ".join(rng.choice(words, rng.integers(1, 9)))) for i in range(n)], "id long, text string") for n in (300, 25))
+    index = R.build_index(p)
+    one, many = (sorted(map(tuple, R.retrieve(q, index, 4, block=b, each=e).collect())) for b, e in ((1000, 8), (3, 2)))
+    assert one == many and len(one) == 100
+    heaviest, rows = R._heaviest_first, []
+    monkeypatch.setattr(R, "_heaviest_first", lambda batches, vocabulary, each: (rows.append(b.num_rows) or b for b in heaviest(batches, vocabulary, each, 1)))
+    asked = R.build_index(q, R.WORDS, None).collect()
+    batches = index.toArrow().combine_chunks().to_batches(max_chunksize=70)
+    found = R._merged([spark.createDataFrame(b.to_pandas(), R.RANKED) for b in R._sparse(asked, 4)(iter(batches))], 4)
+    assert sorted(map(tuple, found.collect())) == one and rows == [70, 70, 70, 70, 20]
+
+
 def test_empty_tables(spark):
     p, q = spark.createDataFrame([], "passage_id long, text string"), spark.createDataFrame([], "query_id long, question string")
     assert R.sparse_top_k(q, p).count() == 0
